@@ -1,0 +1,4 @@
+"""No streaming operators: feedback analysis is defined over a fixed selection.
+
+A micro-batch job can call the batch operators from ``foreachBatch``.
+"""
