@@ -1,3 +1,10 @@
 """Customer-feedback analytics as Spark jobs: every product and category in one run."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions sent to Python workers travel by value, so executors need no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -70,7 +70,7 @@ def _pairs(n: Column) -> Column:
 
 def _subsets(keys: Column) -> Column:
     """Every non-empty subset of a short sorted array, as arrays."""
-    masks = F.sequence(F.lit(1), F.shiftleft(F.lit(1), F.size(keys)) - 1)
+    masks = F.sequence(F.lit(1), F.pow(F.lit(2), F.size(keys)).cast("int") - 1)
     return F.transform(masks, lambda m: F.filter(keys, lambda k, i: F.getbit(m, i) == 1))
 
 
