@@ -74,46 +74,57 @@ def _subsets(keys: Column) -> Column:
     return F.transform(masks, lambda m: F.filter(keys, lambda k, i: F.getbit(m, i) == 1))
 
 
-def review_keys(tags: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Labelled reviews with their cluster and sorted set of theme keys."""
+def key_signatures(tags: DataFrame, clusters: DataFrame) -> DataFrame:
+    """How many labelled reviews of a cluster have the same set of theme keys.
+
+    Reviews that agree in both become one row, so a mass of copies costs nothing.
+    """
     keys = tags.select("review_id", "theme_key").distinct().groupBy("review_id").agg(
         F.array_sort(F.collect_list("theme_key")).alias("keys"))
-    return clusters.select("review_id", "cluster").join(keys, "review_id", "left").withColumn(
-        "keys", F.coalesce("keys", F.array().cast("array<string>")))
+    return clusters.select("review_id", "cluster").join(keys, "review_id").groupBy(
+        "cluster", "keys").agg(F.count("*").alias("n"))
+
+
+def _wide_pairs(signatures: DataFrame) -> DataFrame:
+    """Merging pairs of reviews of which at least one has many keys, by signature."""
+    named = signatures.withColumns({
+        "sig": F.to_json(F.struct("cluster", "keys")), "wide": F.size("keys") > MAX_KEYS_EXPANDED})
+    side = lambda x: named.select(
+        F.col("sig").alias(f"{x}_sig"), F.col("cluster").alias(f"{x}_cluster"), F.col("n").alias(f"{x}_n"),
+        F.col("wide").alias(f"{x}_wide"), F.explode("keys").alias("key"))
+    met = side("a").filter("a_wide").join(side("b"), "key").filter("not b_wide or a_sig <= b_sig").drop(
+        "key").distinct()
+    own = F.col("a_sig") == F.col("b_sig")
+    pairs = F.when(own, _pairs(F.col("a_n"))).otherwise(F.col("a_n") * F.col("b_n"))
+    zero = F.lit(0).cast("long")
+    return met.agg(
+        F.coalesce(F.sum(F.when(F.col("a_cluster") == F.col("b_cluster"), pairs)), zero).alias("same_many"),
+        F.coalesce(F.sum(pairs), zero).alias("all_many"))
 
 
 def merge_rates(tags: DataFrame, clusters: DataFrame) -> DataFrame:
     """Share of same-cluster and of cross-cluster pairs that have a theme in common.
 
-    No pair is formed. Two reviews share a theme iff their key sets intersect, and
-    by inclusion and exclusion the number of such pairs is the sum over key sets S
-    of (-1)^(|S|+1) times the pairs of reviews that both contain S. So each review
-    emits the subsets of its few keys, and the subsets are counted. Reviews with
-    more than ``MAX_KEYS_EXPANDED`` keys are matched exactly by key instead.
+    No pair of reviews is formed. Two reviews share a theme iff their key sets
+    intersect, and by inclusion and exclusion the number of such pairs is the sum
+    over key sets S of (-1)^(|S|+1) times the pairs of reviews that both contain S.
+    So each distinct key set emits its subsets, weighted by its reviews, and the
+    subsets are counted. Key sets of more than ``MAX_KEYS_EXPANDED`` keys have too
+    many subsets; they are matched exactly, set against set.
     """
-    held = settle(review_keys(tags, clusters), "review_keys")
-    few = held.filter(F.size("keys") <= MAX_KEYS_EXPANDED)
-    counts = few.filter(F.size("keys") > 0).select(
-        "cluster", F.explode(_subsets(F.col("keys"))).alias("subset")
-    ).groupBy("subset", "cluster").agg(F.count("*").alias("n"))
+    held = settle(key_signatures(tags, clusters), "signatures")
+    counts = held.filter(F.size("keys") <= MAX_KEYS_EXPANDED).select(
+        "cluster", "n", F.explode(_subsets(F.col("keys"))).alias("subset")
+    ).groupBy("subset", "cluster").agg(F.sum("n").alias("n"))
     sign = F.when(F.size("subset") % 2 == 1, 1).otherwise(-1)
-    same = counts.agg(F.coalesce(F.sum(sign * _pairs(F.col("n"))), F.lit(0)).alias("same_few"))
-    both = counts.groupBy("subset").agg(F.sum("n").alias("n")).agg(
-        F.coalesce(F.sum(sign * _pairs(F.col("n"))), F.lit(0)).alias("all_few"))
-    many = held.filter(F.size("keys") > MAX_KEYS_EXPANDED).select(
-        F.col("review_id").alias("a"), F.col("cluster").alias("a_cluster"), F.explode("keys").alias("key"))
-    other = held.select(
-        F.col("review_id").alias("b"), F.col("cluster").alias("b_cluster"),
-        (F.size("keys") > MAX_KEYS_EXPANDED).alias("b_many"), F.explode_outer("keys").alias("key"))
-    wide = many.join(other, "key").filter("a <> b and (not b_many or a < b)").select(
-        "a", "b", (F.col("a_cluster") == F.col("b_cluster")).alias("same")).distinct().agg(
-        F.count_if("same").alias("same_many"), F.count("*").alias("all_many"))
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
-    totals = sizes.agg(
+    summed = lambda: F.coalesce(F.sum(sign * _pairs(F.col("n"))), F.lit(0))
+    same = counts.agg(summed().alias("same_few"))
+    every = counts.groupBy("subset").agg(F.sum("n").alias("n")).agg(summed().alias("all_few"))
+    totals = clusters.groupBy("cluster").agg(F.count("*").alias("n")).agg(
         F.coalesce(F.sum(_pairs(F.col("n"))), F.lit(0)).alias("same_pairs"),
         F.coalesce(_pairs(F.sum("n")), F.lit(0)).alias("all_pairs"))
     row = totals.withColumn("_k", F.lit(1))
-    for part in (same, both, wide):
+    for part in (same, every, _wide_pairs(held)):
         row = row.join(part.withColumn("_k", F.lit(1)), "_k")
     merged_same = F.col("same_few") + F.col("same_many")
     merged_cross = F.col("all_few") + F.col("all_many") - merged_same

@@ -8,6 +8,7 @@ that a grouping is an exact partition, and that level after level maps every lab
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -138,21 +139,19 @@ def reconcile(labels: DataFrame, group: Grouper, limits: LabelLimits = LabelLimi
         require_none(grouping_problems(groups, chunks), LabelError, f"level {level} grouping")
         applied = settle(apply_grouping(chunks, groups), "label_map")
         maps.append(applied.select(*SCOPE, F.lit(level).alias("level"), "label", "representative"))
-        state = applied.groupBy(*SCOPE).agg(
-            F.max("chunk").alias("_last"), F.count("*").alias("_labels"),
-            F.count_if(F.col("label") == F.col("representative")).alias("_kept"))
-        unfinished = state.filter("_last > 0")
+        unfinished = settle(
+            applied.groupBy(*SCOPE).agg(
+                F.max("chunk").alias("_last"), F.count("*").alias("_labels"),
+                F.count_if(F.col("label") == F.col("representative")).alias("_kept"),
+            ).filter("_last > 0"), "unfinished")
+        if unfinished.isEmpty():
+            return reduce(DataFrame.unionByName, maps)
         require_none(unfinished.filter("_kept >= _labels").select(*SCOPE), LabelError,
                      f"level {level} merged nothing")
         current = applied.filter("label = representative").join(
             unfinished.select(*SCOPE), SCOPE, "left_semi").select(
             *SCOPE, "label",
             (F.col("chunk").cast("long") * limits.max_labels + F.col("group_no")).alias("label_pos"))
-        if current.isEmpty():
-            merged = maps[0]
-            for part in maps[1:]:
-                merged = merged.unionByName(part)
-            return merged
     raise LabelError(f"labels did not fit one request within {limits.max_levels} levels")
 
 

@@ -171,13 +171,15 @@ def _by_theme(values: list[Column]) -> Column:
 
 def findings(
     reviews: DataFrame, products: DataFrame, vocabulary: Sequence[Theme], unit: Unit,
-    window: DateWindow | None = None,
+    window: DateWindow | None = None, totals: DataFrame | None = None,
 ) -> DataFrame:
     """Ranked findings of every scope, with the representative row but no quote."""
     selected = in_window(reviews, window)
     tallies = scope_tallies(mentions(selected, vocabulary), products).filter(enough_evidence(unit))
-    totals = scope_totals(selected, products).select("scope_kind", "scope_key", "selected")
-    supported = tallies.join(totals, ["scope_kind", "scope_key"]).select(
+    if totals is None:
+        totals = scope_totals(selected, products)
+    counted = totals.select("scope_kind", "scope_key", "selected")
+    supported = tallies.join(counted, ["scope_kind", "scope_key"]).select(
         "scope_kind", "scope_key", "polarity", "theme",
         _by_theme([F.lit(t.key) for t in vocabulary]).alias("theme_key"),
         _by_theme([F.lit(t.label) for t in vocabulary]).alias("label"),

@@ -82,7 +82,7 @@ def assemble(
     if promoted is not None:
         packed = promoted.select(*SCOPE, F.struct(
             "promo_count", "full_price_count", "promo_average", "full_price_average",
-            "rating_delta", "promotions", "comparable", "note").alias("promotion"))
+            "rating_delta", "label_count", "promotions", "comparable", "note").alias("promotion"))
         out = out.join(packed, SCOPE, "left")
     zero = F.lit(0).cast("long")
     empty = lambda c: F.coalesce(F.col(c), F.array().cast(listed.schema[c].dataType)).alias(c)
@@ -103,13 +103,19 @@ def rule_briefs(
     reviews: DataFrame, products: DataFrame, vocabulary: Sequence[Theme], unit: Unit,
     window: DateWindow | None = None,
 ) -> DataFrame:
-    """The rule engine for every product and category in one job."""
-    found = themes.with_quotes(
-        themes.findings(reviews, products, vocabulary, unit, window), reviews, vocabulary)
+    """The rule engine for every product and category in one job.
+
+    Products and totals are needed in several places, so they are written once; the
+    joins with them then follow their true size.
+    """
+    products = settle(products, "products")
     selected = in_window(reviews, window)
+    totals = settle(themes.scope_totals(selected, products), "totals")
+    ranked = themes.findings(reviews, products, vocabulary, unit, window, totals)
+    found = settle(themes.with_quotes(ranked, reviews, vocabulary), "quoted")
     return assemble(
-        scope_list(products), themes.scope_totals(selected, products), found,
-        themes.recommendations(found, vocabulary), promo.promotions(selected, products), unit, window)
+        scope_list(products), totals, found, themes.recommendations(found, vocabulary),
+        promo.promotions(selected, products), unit, window)
 
 
 def scoped_tags(
@@ -124,7 +130,7 @@ def reconciled_tags(
     tags: DataFrame, group: lab.Grouper, limits: LabelLimits = LabelLimits()
 ) -> DataFrame:
     """Scoped tags under their reconciled labels; labels are merged before grouping."""
-    offered = settle(lab.distinct_labels(tags), "labels")
+    offered = lab.distinct_labels(tags)
     label_map = lab.reconcile(offered, group, limits)
     composed = settle(lab.compose_levels(offered, label_map, limits), "composed")
     lab.require_composed(composed)
@@ -136,8 +142,9 @@ def tag_briefs(
     window: DateWindow | None = None, limits: LabelLimits = LabelLimits(),
 ) -> DataFrame:
     """The tag engine for every product and category in one job."""
-    totals = themes.scope_totals(in_window(reviews, window), products)
+    products = settle(products, "products")
+    totals = settle(themes.scope_totals(in_window(reviews, window), products), "totals")
     canonical = settle(reconciled_tags(
         scoped_tags(tags, reviews, products, window), group, limits), "canonical_tags")
-    found = tf.with_authors(tf.tag_findings(canonical, totals, unit), reviews)
+    found = settle(tf.with_authors(tf.tag_findings(canonical, totals, unit), reviews), "credited")
     return assemble(scope_list(products), totals, found, tf.derived_advice(found, unit), None, unit, window)

@@ -281,12 +281,13 @@ SELECT CASE WHEN trim(review_id) = '' THEN 'blank_id' ELSE 'blank_text' END AS p
   WHERE trim(review_id) = '' OR trim(text) = ''
 UNION ALL SELECT 'repeated_id', review_id, count(*) FROM raw WHERE trim(review_id) <> '' GROUP BY review_id HAVING count(*) > 1"""
 _ANY = lambda words: "'(^|[^a-z0-9])(" + "|".join(words) + ")([^a-z0-9]|$)'"
-ORACLE["tags_by_keyword"] = _with(R, K) + f"""SELECT review_id, label AS theme,
-  CASE WHEN regexp_matches(piece, {_ANY(['the', 'le', 'el', 'der'])}, 'i') THEN 'praise'
+_MARKED = " UNION ALL ".join(
+    f"SELECT review_id, piece, {_q(t.label)} AS theme FROM pieces WHERE regexp_matches(piece, {_ANY(t.keywords)}, 'i')"
+    for t in VOCABULARY)
+ORACLE["tags_by_keyword"] = _with(R) + f""", pieces AS (SELECT review_id, unnest({PIECES}) AS piece FROM r), marked AS ({_MARKED})
+SELECT review_id, theme, CASE WHEN regexp_matches(piece, {_ANY(['the', 'le', 'el', 'der'])}, 'i') THEN 'praise'
     WHEN regexp_matches(piece, {_ANY(['of', 'les', 'los', 'das'])}, 'i') THEN 'fault' ELSE 'neutral' END AS sentiment,
-  count(*) AS tags, CAST(sum(length(piece)) AS BIGINT) AS evidence_chars
-  FROM (SELECT review_id, i, piece, label FROM (SELECT review_id, generate_subscripts(pieces, 1) AS i, unnest(pieces) AS piece
-      FROM (SELECT review_id, {PIECES} AS pieces FROM r)) CROSS JOIN k WHERE {_HIT.format(x='piece')} GROUP BY ALL) GROUP BY ALL"""
+  count(*) AS tags, CAST(sum(length(piece)) AS BIGINT) AS evidence_chars FROM marked GROUP BY ALL"""
 _PLACED = "pl AS (SELECT review_id, row_number() OVER (ORDER BY review_date, row_pos) - 1 AS sel_pos FROM r)"
 ORACLE["tags_coverage"] = _with(R, _PLACED) + """SELECT CASE WHEN sel_pos % 97 = 5 THEN 'missing' ELSE 'duplicated' END AS problem, review_id
   FROM pl WHERE sel_pos % 97 = 5 OR sel_pos % 89 = 3"""

@@ -196,7 +196,7 @@ def themes_scope_summary(spark: SparkSession, sf: str) -> DataFrame:
 def promotions_by_scope(spark: SparkSession, sf: str) -> DataFrame:
     sales = sale_rows(spark, sf)
     return promotions.promotions(sales, ingest.product_dimension(sales)).withColumn(
-        "promotions", F.array_join("promotions", ", "))
+        "promotions", F.array_join("promotions", ", ")).drop("label_count")
 
 
 @query
