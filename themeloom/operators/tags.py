@@ -27,9 +27,19 @@ def without_fence(payload: Column) -> Column:
 
 
 def parse_responses(raw: DataFrame) -> DataFrame:
-    """Add ``items``: the payload as an array of variants, NULL if it is not one."""
-    parsed = F.try_parse_json(without_fence(F.col("payload")))
-    return raw.select(*BATCH, F.try_variant_get(parsed, "$", "array<variant>").alias("items"))
+    """Add ``items``: the payload as an array of variants, NULL if it is not one.
+
+    The parser stops after the first JSON value and ignores what follows, so the
+    payload is parsed inside brackets and inside braces: only a payload that is one
+    whole value survives both, as the single element of the outer array.
+    """
+    plain = without_fence(F.col("payload"))
+    inside = F.try_parse_json(F.concat(F.lit("["), plain, F.lit("]")))
+    closed = F.try_parse_json(F.concat(F.lit('{"v":'), plain, F.lit("}")))
+    outer = F.try_variant_get(inside, "$", "array<variant>")
+    whole = (F.size(outer) == 1) & closed.isNotNull()
+    items = F.try_variant_get(F.try_element_at(outer, F.lit(1)), "$", "array<variant>")
+    return raw.select(*BATCH, F.when(whole, items).alias("items"))
 
 
 def _string_field(name: str) -> Column:
