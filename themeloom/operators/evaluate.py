@@ -114,7 +114,7 @@ def merge_rates(tags: DataFrame, clusters: DataFrame) -> DataFrame:
     """
     held = settle(key_signatures(tags, clusters), "signatures")
     counts = held.filter(F.size("keys") <= MAX_KEYS_EXPANDED).select(
-        "cluster", "n", F.explode(_subsets(F.col("keys"))).alias("subset")
+        "cluster", "n", F.explode_outer(_subsets(F.col("keys"))).alias("subset")
     ).groupBy("subset", "cluster").agg(F.sum("n").alias("n"))
     sign = F.when(F.size("subset") % 2 == 1, 1).otherwise(-1)
     summed = lambda: F.coalesce(F.sum(sign * _pairs(F.col("n"))), F.lit(0))

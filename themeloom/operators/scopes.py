@@ -69,16 +69,13 @@ def expand_scopes(rows: DataFrame, products: DataFrame) -> DataFrame:
     whatever it read is read once. A blank top category gives no category scope.
     """
     keyed = products.select("product_id", "top_category")
-    scopes = F.filter(
-        F.array(
-            F.struct(F.lit(PRODUCT).alias("kind"), F.col("product_id").alias("key")),
-            F.struct(F.lit(CATEGORY).alias("kind"), F.col("top_category").alias("key")),
-        ),
-        lambda s: (s["kind"] == PRODUCT) | (s["key"] != ""),
+    scopes = F.array(
+        F.struct(F.lit(PRODUCT).alias("kind"), F.col("product_id").alias("key")),
+        F.struct(F.lit(CATEGORY).alias("kind"), F.col("top_category").alias("key")),
     )
-    return rows.join(keyed, "product_id").select(
-        *rows.columns, F.explode(scopes).alias("_s")
-    ).select(F.col("_s.kind").alias("scope_kind"), F.col("_s.key").alias("scope_key"), *rows.columns)
+    return rows.join(keyed, "product_id").select(*rows.columns, F.explode(scopes).alias("_s")).select(
+        F.col("_s.kind").alias("scope_kind"), F.col("_s.key").alias("scope_key"), *rows.columns
+    ).filter((F.col("scope_kind") == PRODUCT) | (F.col("scope_key") != ""))
 
 
 def in_scopes(per_product: DataFrame, products: DataFrame) -> DataFrame:

@@ -33,13 +33,15 @@ def parse_responses(raw: DataFrame) -> DataFrame:
     payload is parsed inside brackets and inside braces: only a payload that is one
     whole value survives both, as the single element of the outer array.
     """
-    plain = without_fence(F.col("payload"))
-    inside = F.try_parse_json(F.concat(F.lit("["), plain, F.lit("]")))
-    closed = F.try_parse_json(F.concat(F.lit('{"v":'), plain, F.lit("}")))
-    outer = F.try_variant_get(inside, "$", "array<variant>")
-    whole = (F.size(outer) == 1) & closed.isNotNull()
-    items = F.try_variant_get(F.try_element_at(outer, F.lit(1)), "$", "array<variant>")
-    return raw.select(*BATCH, F.when(whole, items).alias("items"))
+    plain = raw.select(*BATCH, without_fence(F.col("payload")).alias("_plain"))
+    parsed = plain.select(
+        *BATCH,
+        F.try_parse_json(F.concat(F.lit("["), "_plain", F.lit("]"))).alias("_inside"),
+        F.try_parse_json(F.concat(F.lit('{"v":'), "_plain", F.lit("}"))).isNotNull().alias("_closed"),
+    ).withColumn("_outer", F.try_variant_get("_inside", "$", "array<variant>"))
+    items = F.try_variant_get(F.try_element_at("_outer", F.lit(1)), "$", "array<variant>")
+    whole = F.col("_closed") & (F.size("_outer") == 1)
+    return parsed.select(*BATCH, F.when(whole, items).alias("items"))
 
 
 def _string_field(name: str) -> Column:
@@ -50,7 +52,9 @@ def _string_field(name: str) -> Column:
 
 def entries(responses: DataFrame) -> DataFrame:
     """One row per entry of a usable response; ``well_formed`` if its shape holds."""
-    item = responses.select(*BATCH, F.posexplode("items").alias("entry_pos", "item"))
+    # The outer form keeps the parse out of a pushed-down filter, where it would be repeated.
+    item = responses.select(*BATCH, F.posexplode_outer("items").alias("entry_pos", "item")).filter(
+        "entry_pos is not null")
     fields = item.select(
         *BATCH, "entry_pos",
         _string_field("review_id").alias("review_id"),
