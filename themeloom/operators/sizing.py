@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,25 +45,29 @@ def bounded_batches(selection: DataFrame, limits: BatchLimits = BatchLimits()) -
     size is cut into slices of bounded size.
     """
     placed = with_position(selection, SCOPE, selection_order(), "sel_pos")
-    sliced = placed.withColumn("slice", F.floor(F.col("sel_pos") / limits.slice_rows))
-
-    def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("sel_pos")
-        batch, held, used = 0, 0, 0
-        numbers = np.empty(len(rows), dtype="int64")
-        for i, size in enumerate(rows["text_bytes"].to_numpy()):
-            if held and (held == limits.max_rows or used + size > limits.max_bytes):
-                batch, held, used = batch + 1, 0, 0
-            numbers[i] = batch
-            held, used = held + 1, used + size
-        return rows.assign(batch_no=numbers, oversized=rows["text_bytes"] > limits.max_bytes)[
-            ["scope_kind", "scope_key", "slice", "batch_no", "sel_pos", "review_id", "text_bytes", "oversized"]]
-
-    return sliced.select(*SCOPE, "slice", "sel_pos", "review_id", "text_bytes").groupBy(
-        *SCOPE, "slice"
-    ).applyInPandas(
-        fill, "scope_kind string, scope_key string, slice long, batch_no long, sel_pos long, "
-              "review_id string, text_bytes long, oversized boolean")
+    in_order = placed.select(
+        *SCOPE, F.floor(F.col("sel_pos") / limits.slice_rows).alias("slice"),
+        "sel_pos", "review_id", "text_bytes",
+    ).repartition(*SCOPE, "slice").sortWithinPartitions(*SCOPE, "slice", "sel_pos")
+
+    def fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Rows stream by in order; only the open batch is remembered between frames.
+        place, batch, held, used = None, 0, 0, 0
+        for rows in frames:
+            numbers = []
+            keys = zip(rows["scope_kind"], rows["scope_key"], rows["slice"])
+            for at, size in zip(keys, rows["text_bytes"].tolist()):
+                if at != place:
+                    place, batch, held, used = at, 0, 0, 0
+                elif held == limits.max_rows or used + size > limits.max_bytes:
+                    batch, held, used = batch + 1, 0, 0
+                numbers.append(batch)
+                held, used = held + 1, used + size
+            yield rows.assign(batch_no=numbers, oversized=rows["text_bytes"] > limits.max_bytes)
+
+    return in_order.mapInPandas(
+        fill, "scope_kind string, scope_key string, slice long, sel_pos long, review_id string, "
+              "text_bytes long, batch_no long, oversized boolean")
 
 
 def batch_counts(batches: DataFrame) -> DataFrame:

@@ -6,10 +6,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeloom.corpora import document_reviews, table
+from themeloom.model import Theme
 from themeloom.operators.labels import SCOPE
 from themeloom.sources.files import as_reviews, read_table
 
 
+# Words of the part names.
+PART_VOCABULARY = (
+    Theme("size", "size", ("small", "large"), "measure"), Theme("colour", "colour", ("red", "blue"), "compare"),
+    Theme("kind", "kind", ("widget", "ring", "small ring"), "sort"),
+)
+
+
 def pick(index: Column, *values: Column | str | None) -> Column:
     """The value at ``index`` of a short list; NULL beyond it."""
     chain = F.when(index == 0, _col(values[0]))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from themeloom.corpora import VOCABULARY
 from themeloom.functions.text import WHITESPACE
+from verification.inputs import PART_VOCABULARY
 
 _SPACES = "||".join(f"chr({ord(c)})" for c in WHITESPACE)
 _SPACE_RE = r"[\t\n\v\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
@@ -146,6 +147,8 @@ ORACLE["ingest_text_sample"] = _with(R) + f"""SELECT row_pos, review_id, text_by
     FROM r GROUP BY product_id ORDER BY 1 LIMIT 12))
   WHERE total <= 204800 AND request <= 256000"""
 
+SCOPES = """sc AS (SELECT 'product' AS scope_kind, product_id AS scope_key, name AS subject FROM p
+  UNION ALL SELECT DISTINCT 'category', top_category, top_category FROM p)"""
 # -- scopes -------------------------------------------------------------------
 
 _IN = "review_date BETWEEN DATE '2026-02-01' AND DATE '2026-04-30'"
@@ -155,6 +158,8 @@ ORACLE["scopes_one_category"] = _with(R, P) + f"""SELECT review_id, product_id,
 ORACLE["scopes_all"] = _with(R, P, S) + "SELECT scope_kind, scope_key, review_id FROM s"
 ORACLE["scopes_selection_order"] = _with(R, P, S) + """SELECT scope_kind, scope_key, review_id,
   row_number() OVER (PARTITION BY scope_kind, scope_key ORDER BY review_date, row_pos) - 1 AS sel_pos FROM s"""
+ORACLE["scopes_unknown"] = _with(R, P, SCOPES) + """SELECT scope_kind, scope_key FROM (SELECT DISTINCT unnest([lang, source]) AS scope_key FROM documents),
+  (VALUES ('product'), ('category')) kinds(scope_kind) WHERE (scope_kind, scope_key) NOT IN (SELECT (scope_kind, scope_key) FROM sc)"""
 ORACLE["scopes_partition_check"] = _with(R) + f"SELECT review_id, CAST(0 AS BIGINT) AS times FROM r WHERE NOT ({_IN})"
 
 # -- rule engine --------------------------------------------------------------
@@ -170,6 +175,13 @@ ORACLE["themes_recommendations"] = _with(*RULES) + "SELECT scope_kind, scope_key
 ORACLE["themes_scope_summary"] = _with(R, P, S, T) + """SELECT scope_kind, scope_key, selected AS review_count,
   floor(mean * 10 + 0.5) / 10 AS average_rating FROM t"""
 
+_PART_VALUES = ", ".join(
+    f"({i}, {_q(t.key)}, {_q(t.label)}, {_q(k)}, {_q(t.recommendation)})"
+    for i, t in enumerate(PART_VOCABULARY) for k in t.keywords)
+RECORDS = """r AS (SELECT row_pos, product_id, p_type AS top, rating, NULL::DATE AS review_date, review_text AS text FROM z WHERE source_reason IS NULL),
+p AS (SELECT product_id, arg_min(top, row_pos) AS top_category FROM r GROUP BY 1)"""
+ORACLE["themes_record_findings"] = _with(EXP, RECORDS, S, f"k(theme, theme_key, label, kw, advice) AS (VALUES {_PART_VALUES})", H, M, T,
+  F0.replace("HAVING count(*) >= 2", "").replace("review_date, row_pos", "row_pos"), F1) + _FIND
 SALES = """r AS (SELECT l_orderkey * 10 + l_linenumber AS row_pos, CAST(l_partkey AS VARCHAR) AS product_id, p_type AS top,
   CAST(1 + (l_linenumber + CAST(l_quantity AS INTEGER)) % 5 AS INTEGER) AS rating, l_discount * 100 AS discount_percent,
   CASE WHEN l_discount > 0 THEN 'code ' || l_returnflag END AS promotion FROM lineitem JOIN part ON l_partkey = p_partkey),
@@ -191,8 +203,6 @@ ORACLE["promotions_by_scope"] = _with(SALES, S, PROMO) + """SELECT scope_kind, s
   full_price_average, comparable, rating_delta, note, promotions FROM gn"""
 ORACLE["promotions_labels"] = _with(R, P, S) + "SELECT DISTINCT scope_kind, scope_key, promotion FROM s WHERE promotion IS NOT NULL"
 
-SCOPES = """sc AS (SELECT 'product' AS scope_kind, product_id AS scope_key, name AS subject FROM p
-  UNION ALL SELECT DISTINCT 'category', top_category, top_category FROM p)"""
 # Labels here are one lower-case word or phrase, so they need no change inside a sentence.
 LISTS = """l AS (SELECT scope_kind, scope_key,
   string_agg(rank || ':' || label || ':' || mentions || ':' || percent || ':' || quote_author, '|' ORDER BY rank) FILTER (polarity = 'positive') AS praise,
@@ -326,6 +336,9 @@ ORACLE["labels_grouping_problems"] = _with(*TAGS, LC) + """SELECT scope_kind, sc
 ORACLE["labels_map"] = _with(*TAGS, LC, LM) + "SELECT * FROM lm"
 ORACLE["labels_composed"] = _with(*TAGS, LC, LM) + """SELECT m0.scope_kind, m0.scope_key, m0.label, coalesce(m1.rep, m0.rep) AS canonical
   FROM m0 LEFT JOIN m1 ON m0.scope_kind = m1.scope_kind AND m0.scope_key = m1.scope_key AND m0.rep = m1.label"""
+ORACLE["labels_level_problems"] = _with(*TAGS) + """SELECT *, CASE WHEN representatives >= labels THEN 'merged_nothing' ELSE 'too_many_levels' END AS problem FROM (
+  SELECT scope_kind, scope_key, 0 AS level, count(*) AS labels, count(DISTINCT lower(label)) AS representatives FROM ls GROUP BY scope_kind, scope_key
+  UNION ALL SELECT scope_kind, scope_key, 2, count(*), count(DISTINCT split_part(lower(label), ' ', 1)) FROM ls GROUP BY scope_kind, scope_key) WHERE labels > 6"""
 ORACLE["labels_canonical"] = _with(*TAGS, CT) + """SELECT scope_kind, scope_key, canonical,
   row_number() OVER (PARTITION BY scope_kind, scope_key ORDER BY min(label_pos)) - 1 AS position FROM cm GROUP BY scope_kind, scope_key, canonical"""
 ORACLE["labels_canonical_tags"] = _with(*TAGS, CT) + """SELECT scope_kind, scope_key, review_id, entry_pos, sentiment, canonical_theme, canonical_key,

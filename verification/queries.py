@@ -137,6 +137,17 @@ def scopes_selection_order(spark: SparkSession, sf: str) -> DataFrame:
         "scope_kind", "scope_key", "review_id", "sel_pos")
 
 
+@query
+def scopes_unknown(spark: SparkSession, sf: str) -> DataFrame:
+    """Every language and source of the documents, asked for as product and as category."""
+    products = document_reviews(spark, sf)[1]
+    docs = table(spark, sf, "documents").select("lang", "source").distinct()
+    kinds = F.explode(F.array(F.lit("product"), F.lit("category")))
+    asked = docs.select(F.explode(F.array("lang", "source")).alias("scope_key")).distinct().select(
+        kinds.alias("scope_kind"), "scope_key")
+    return scopes.unknown_scopes(asked, products)
+
+
 @query
 def scopes_partition_check(spark: SparkSession, sf: str) -> DataFrame:
     reviews, products = document_reviews(spark, sf)
@@ -192,6 +203,14 @@ def themes_scope_summary(spark: SparkSession, sf: str) -> DataFrame:
     return themes.selection_summary(themes.scope_totals(*document_reviews(spark, sf)))
 
 
+@query
+def themes_record_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """Product records: undated, one record is enough evidence."""
+    rows = ingest.classify(files.route(inputs.raw_export(spark, sf)))
+    return themes.findings(
+        ingest.accepted(rows), ingest.product_dimension(rows), inputs.PART_VOCABULARY, PRODUCT_RECORD).drop("theme")
+
+
 @query
 def promotions_by_scope(spark: SparkSession, sf: str) -> DataFrame:
     sales = sale_rows(spark, sf)
@@ -358,6 +377,15 @@ def labels_composed(spark: SparkSession, sf: str) -> DataFrame:
         "scope_kind", "scope_key", "label", "canonical")
 
 
+@query
+def labels_level_problems(spark: SparkSession, sf: str) -> DataFrame:
+    """A label map with a level added on which nothing merges, against a tighter limit."""
+    found = settle(labels.distinct_labels(_scoped(spark, sf)), "labels")
+    first = found.select("scope_kind", "scope_key", F.lit(0).alias("level"), "label", F.lower("label").alias("representative"))
+    last = first.withColumn("level", F.lit(2)).withColumn("representative", F.split(F.lower("label"), " ")[0])
+    return labels.level_problems(first.unionByName(last), LabelLimits(max_labels=6))
+
+
 @query
 def labels_canonical(spark: SparkSession, sf: str) -> DataFrame:
     found = settle(labels.distinct_labels(_scoped(spark, sf)), "labels")
