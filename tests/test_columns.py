@@ -26,8 +26,8 @@ def test_ratings(spark):
 
 
 def test_amounts_and_discounts(spark):
-    assert values(spark, numbers.amount, ["₹1,099", "64%", "24,269", "", "n/a", " 1 000 ", "₹"]) == [
-        1099.0, 64.0, 24269.0, None, None, 1000.0, None]
+    assert values(spark, numbers.amount, ["₹1,099", "64%", "24,269", "", "n/a", " 1 000 ", "₹", "1e999"]) == [
+        1099.0, 64.0, 24269.0, None, None, 1000.0, None, None]
     assert values(spark, numbers.discount, ["10%", "10", "101", "-1", "", "x", "0", " 5.5 %", "100"]) == [
         10.0, 10.0, None, None, None, None, 0.0, 5.5, 100.0]
 

@@ -14,11 +14,10 @@ def strict_number(cell: Column) -> Column:
     """A decimal numeral as DOUBLE, else NULL; a blank cell counts as zero.
 
     The shape is tested first because a cast alone would also take ``4d`` or ``inf``.
+    A numeral beyond the range of DOUBLE is infinite; every caller has an upper bound.
     """
     plain = trimmed(cell)
-    value = F.when(plain.rlike(DECIMAL_SHAPE), plain.try_cast("double"))
-    finite = F.when(F.abs(value) <= 1.7976931348623157e308, value)
-    return F.when(plain == "", F.lit(0.0)).otherwise(finite)
+    return F.when(plain.rlike(DECIMAL_SHAPE), plain.try_cast("double")).when(plain == "", 0.0)
 
 
 def round_half_up(value: Column, digits: int = 0) -> Column:
@@ -29,29 +28,49 @@ def round_half_up(value: Column, digits: int = 0) -> Column:
     return F.floor(value * scale + 0.5).cast("double") / scale
 
 
+_STARS = (1, 2, 3, 4, 5)
+
+
+def exact_stars(value: Column) -> Column:
+    """A number that is whole stars 1..5, else NULL; ``4.0`` passes, ``3.5`` does not."""
+    return F.when(value.isin(*map(float, _STARS)), value.cast("int"))
+
+
+def whole_stars(value: Column) -> Column:
+    """An average rating rounded half up to whole stars 1..5, else NULL."""
+    return F.when(round_half_up(value).isin(*_STARS), round_half_up(value).cast("int"))
+
+
 def star_rating(cell: Column) -> Column:
-    """Whole stars 1..5, else NULL; ``4.0`` passes, blank and ``3.5`` do not."""
-    value = strict_number(cell)
-    return F.when((value == F.floor(value)) & value.between(1, 5), value.cast("int"))
+    """Whole stars 1..5 of a text cell, else NULL."""
+    return exact_stars(strict_number(cell))
 
 
 def rounded_rating(cell: Column) -> Column:
-    """An average rating rounded to whole stars 1..5, else NULL."""
-    stars = round_half_up(strict_number(cell))
-    return F.when(stars.between(1, 5), stars.cast("int"))
+    """Whole stars of a text cell holding an average rating, else NULL."""
+    return whole_stars(strict_number(cell))
 
 
 def amount(cell: Column) -> Column:
     """A price, percentage or count with its decoration stripped; NULL if unreadable."""
     bare = F.regexp_replace(trimmed(cell), f"[₹,%]|{SPACE_CLASS}", "")
-    return F.when(bare != "", strict_number(bare))
+    value = F.when(bare.rlike(DECIMAL_SHAPE), bare.try_cast("double"))
+    return F.when(F.abs(value) < float("inf"), value)
+
+
+def without_percent(cell: Column) -> Column:
+    """The number of a cell that may end in a percent sign."""
+    return strict_number(F.regexp_replace(trimmed(cell), "%$", ""))
+
+
+def valid_discount(cell: Column, value: Column) -> Column:
+    """The parsed ``value`` of a discount cell if it lies within 0..100, else NULL."""
+    return F.when((trimmed(cell) != "") & value.between(0, 100), value)
 
 
 def discount(cell: Column) -> Column:
     """A discount within 0..100, optional percent sign; NULL otherwise."""
-    plain = trimmed(cell)
-    value = strict_number(F.regexp_replace(plain, "%$", ""))
-    return F.when((plain != "") & value.between(0, 100), value)
+    return valid_discount(cell, without_percent(cell))
 
 
 def mean_to_tenth(total: Column, rows: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from themeloom.functions.category import leaf_category, top_category
 from themeloom.functions.dates import strict_date
-from themeloom.functions.numbers import discount, star_rating
+from themeloom.functions.numbers import exact_stars, valid_discount, without_percent
 from themeloom.functions.text import blank_to_null, trimmed
 from themeloom.model import InputError, PRODUCT_RECORD, REVIEW, Unit
 from themeloom.sources.files import PRODUCT_EXPORT
@@ -24,24 +24,26 @@ def classify(raw: DataFrame) -> DataFrame:
     matched against that table, by broadcast when it is small. Rows without an id
     are never matched, so a mass of blank ids loads no single task.
     """
-    cell = {c: trimmed(F.col(c)) for c in (
-        "review_id", "product_id", "product_name", "category", "rating", "review_text")}
-    typed = raw.select(
-        "row_pos",
-        cell["review_id"].alias("review_id"),
-        cell["product_id"].alias("product_id"),
-        cell["product_name"].alias("product_name"),
-        F.when(cell["category"] == "", "Uncategorized").otherwise(cell["category"]).alias("category"),
-        star_rating(cell["rating"]).alias("rating"),
+    names = ("review_id", "product_id", "product_name", "category", "review_text")
+    rest = [c for c in raw.columns if c not in names]
+    cells = raw.select(*rest, *[trimmed(F.col(c)).alias(c) for c in names])
+    numbers = cells.withColumns({
+        "_discount": without_percent(F.col("discount_percent")),
+        "_day": F.when(F.col("is_dated"), strict_date(F.col("review_date"))),
+    })
+    typed = numbers.select(
+        "row_pos", "review_id", "product_id", "product_name",
+        F.when(F.col("category") == "", "Uncategorized").otherwise(F.col("category")).alias("category"),
+        exact_stars(F.col("stars_value")).alias("rating"),
         "source_rating",
-        F.when(F.col("is_dated"), strict_date(F.col("review_date"))).alias("review_date"),
-        cell["review_text"].alias("text"),
+        F.col("_day").alias("review_date"),
+        F.col("review_text").alias("text"),
         blank_to_null(F.col("review_title")).alias("title"),
         F.lit(None).cast("string").alias("author"),
         F.when(F.col("has_verified"), trimmed(F.col("verified_purchase")) == "true").alias("verified"),
         blank_to_null(F.col("country")).alias("country"),
         blank_to_null(F.col("promotion")).alias("promotion"),
-        discount(F.col("discount_percent")).alias("discount_percent"),
+        valid_discount(F.col("discount_percent"), F.col("_discount")).alias("discount_percent"),
         "source",
         "is_dated",
         "source_reason",
@@ -76,6 +78,15 @@ def classify(raw: DataFrame) -> DataFrame:
     )
 
 
+def load(raw: DataFrame) -> DataFrame:
+    """Classified rows, written once as columnar files.
+
+    Every later step reads them several times: counts read narrow columns only, and
+    the text is read once more for the quotes.
+    """
+    return settle(classify(raw), "classified")
+
+
 REVIEW_COLUMNS = (
     "row_pos", "review_id", "product_id", "review_date", "rating", "source_rating", "text",
     "category", "title", "author", "verified", "country", "promotion", "discount_percent", "source",

@@ -90,8 +90,7 @@ def _pick_order(hits: Column, rating: Column, day: Column) -> Column:
 
 def mentions(reviews: DataFrame, vocabulary: Sequence[Theme]) -> DataFrame:
     """One row per review and mentioned theme with a polarity; no text."""
-    polar = reviews.select("row_pos", "product_id", "review_date", "rating", "text").filter(
-        "rating >= 4 or rating <= 2")
+    polar = reviews.select("row_pos", "product_id", "review_date", "rating", "text").filter("rating <> 3")
     # An inner explode would copy the whole match into a pushed-down filter and run
     # it many times per row; the outer form is planned as written.
     hit = theme_hits(polar, vocabulary).select(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from themeloom.functions.category import category_path
-from themeloom.functions.numbers import amount, rounded_rating, strict_number
+from themeloom.functions.numbers import amount, strict_number, whole_stars
 from themeloom.functions.text import WHITESPACE, trimmed
 from themeloom.model import InputError
 
@@ -82,7 +82,8 @@ def as_reviews(raw: DataFrame) -> DataFrame:
         raise InputError("missing required columns: " + ", ".join(lacking))
     return raw.select(
         "row_pos",
-        *REVIEW_REQUIRED,
+        *[c for c in REVIEW_REQUIRED if c != "rating"],
+        strict_number(F.col("rating")).alias("stars_value"),
         *[F.col(c) if c in raw.columns else F.lit(None).cast("string").alias(c)
           for c in REVIEW_OPTIONAL],
         F.lit("review_date" in raw.columns).alias("is_dated"),
@@ -103,35 +104,36 @@ def product_records(raw: DataFrame) -> DataFrame:
     if lacking:
         raise InputError("the product export lacks columns: " + ", ".join(lacking))
 
-    def cell(name: str):
-        return trimmed(F.col(name)) if name in raw.columns else F.lit("")
-
-    path = category_path(cell("category"))
+    # Cells, then numbers, then verdicts: each step reads the one before it by name, so
+    # the plan holds every parse once.
+    named = (*EXPORT_KEPT[:-1], "review_content")
+    cells = raw.select("row_pos", *[
+        (trimmed(F.col(c)) if c in raw.columns else F.lit("")).alias(c) for c in named])
+    numbers = cells.select(
+        "*", category_path(F.col("category")).alias("category_path"),
+        strict_number(F.col("rating")).alias("source_rating"))
+    stars = numbers.withColumn("stars", whole_stars(F.col("source_rating")))
     reason = (
-        F.when(cell("product_id") == "", "missing_product_id")
-        .when(cell("review_content") == "", "missing_review_text")
-        .when(rounded_rating(cell("rating")).isNull(), "invalid_rating")
+        F.when(F.col("product_id") == "", "missing_product_id")
+        .when(F.col("review_content") == "", "missing_review_text")
+        .when(F.col("stars").isNull(), "invalid_rating")
     )
-    return raw.select(
+    return stars.select(
         "row_pos",
         F.format_string(RECORD_ID_FORMAT, F.col("row_pos")).alias("review_id"),
-        cell("product_id").alias("product_id"),
-        cell("product_name").alias("product_name"),
-        path.alias("category_path"),
-        F.coalesce(F.try_element_at(path, F.lit(-1)), F.lit("")).alias("category"),
-        rounded_rating(cell("rating")).alias("rating"),
-        strict_number(cell("rating")).alias("source_rating"),
-        cell("review_content").alias("review_text"),
-        amount(cell("discounted_price")).alias("discounted_price"),
-        amount(cell("actual_price")).alias("actual_price"),
-        amount(cell("discount_percentage")).alias("discount_percent"),
-        amount(cell("rating_count")).alias("rating_count"),
-        F.struct(
-            *[cell(c).alias(c) for c in (
-                "discounted_price", "actual_price", "discount_percentage", "rating",
-                "rating_count", "category",
-            )]
-        ).alias("raw"),
+        "product_id",
+        "product_name",
+        "category_path",
+        F.coalesce(F.try_element_at("category_path", F.lit(-1)), F.lit("")).alias("category"),
+        F.col("stars").alias("rating"),
+        "source_rating",
+        F.col("review_content").alias("review_text"),
+        amount(F.col("discounted_price")).alias("discounted_price"),
+        amount(F.col("actual_price")).alias("actual_price"),
+        amount(F.col("discount_percentage")).alias("discount_percent"),
+        amount(F.col("rating_count")).alias("rating_count"),
+        F.struct("discounted_price", "actual_price", "discount_percentage", "rating", "rating_count",
+                 "category").alias("raw"),
         reason.alias("source_reason"),
     )
 
@@ -142,8 +144,8 @@ def export_as_reviews(raw: DataFrame) -> DataFrame:
     return records.select(
         "row_pos", "review_id", "product_id", "product_name",
         F.col("raw.category").alias("category"),
-        F.col("rating").cast("string").alias("rating"),
         "review_text",
+        F.col("rating").cast("double").alias("stars_value"),
         *[F.lit(None).cast("string").alias(c) for c in REVIEW_OPTIONAL],
         F.lit(False).alias("is_dated"),
         F.lit(False).alias("has_verified"),

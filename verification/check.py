@@ -20,7 +20,9 @@ def session(cores: str = "8") -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]")
         .config("spark.sql.shuffle.partitions", cores).config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.showConsoleProgress", "false").getOrCreate())
+        .config("spark.ui.showConsoleProgress", "false")
+        # Generated code that does not compile is an error here, not a silent slow path.
+        .config("spark.sql.codegen.fallback", "false").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
