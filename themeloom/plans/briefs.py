@@ -141,10 +141,14 @@ def tag_briefs(
     tags: DataFrame, reviews: DataFrame, products: DataFrame, group: lab.Grouper, unit: Unit,
     window: DateWindow | None = None, limits: LabelLimits = LabelLimits(),
 ) -> DataFrame:
-    """The tag engine for every product and category in one job."""
+    """The tag engine for every product and category in one job.
+
+    Scoped tags are written once: labels and findings both read them, and grounding
+    them in their texts is the dear part.
+    """
     products = settle(products, "products")
     totals = settle(themes.scope_totals(in_window(reviews, window), products), "totals")
-    canonical = settle(reconciled_tags(
-        scoped_tags(tags, reviews, products, window), group, limits), "canonical_tags")
+    scoped = settle(scoped_tags(tags, reviews, products, window), "scoped_tags")
+    canonical = settle(reconciled_tags(scoped, group, limits), "canonical_tags")
     found = settle(tf.with_authors(tf.tag_findings(canonical, totals, unit), reviews), "credited")
     return assemble(scope_list(products), totals, found, tf.derived_advice(found, unit), None, unit, window)
