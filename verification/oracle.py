@@ -346,14 +346,14 @@ ORACLE["labels_canonical_tags"] = _with(*TAGS, CT) + """SELECT scope_kind, scope
 SUP = """su AS (SELECT scope_kind, scope_key, CASE sentiment WHEN 'praise' THEN 'positive' ELSE 'negative' END AS polarity,
   canonical_key AS theme_key, arg_min(canonical_theme, (review_date, row_pos, entry_pos)) AS label, count(DISTINCT review_id) AS mentions,
   arg_min(evidence, (review_date, row_pos, evidence)) AS quote, arg_min(review_id, (review_date, row_pos)) AS review_id,
-  arg_min(row_pos, (review_date, row_pos)) AS row_pos FROM ct WHERE sentiment <> 'neutral' {when} GROUP BY ALL)"""
+  arg_min(row_pos, (review_date, row_pos)) AS row_pos FROM ct WHERE sentiment <> 'neutral' GROUP BY ALL)"""
 TF = """tf AS (SELECT su.*, selected, CAST(floor(mentions / selected * 100 + 0.5) AS INTEGER) AS percent,
   CAST(row_number() OVER (PARTITION BY scope_kind, scope_key, polarity ORDER BY mentions DESC, lower(label), label) AS INTEGER) AS rank
   FROM su JOIN t USING (scope_kind, scope_key) WHERE mentions >= 2)"""
-FOUND = [*TAGS, CT, SUP.format(when=""), T, TF]
+FOUND = [*TAGS, CT, SUP, T, TF]
 ORACLE["tag_findings_by_scope"] = _with(*FOUND) + "SELECT * FROM tf"
-ORACLE["tag_findings_below_threshold"] = _with(*TAGS, CT, SUP.format(when="AND review_date < DATE '2026-01-20'")) + """SELECT
-  scope_kind, scope_key, polarity, theme_key, label, mentions FROM su WHERE mentions < 2"""
+ORACLE["tag_findings_below_threshold"] = _with(*TAGS, CT, SUP) + """SELECT
+  scope_kind, scope_key, polarity, theme_key, label, mentions FROM su WHERE mentions < 8"""
 ORACLE["tag_findings_mapping_problems"] = _with(*TAGS, CT) + """, sp AS (SELECT *, canonical_key || CASE WHEN sentiment = 'neutral' THEN '!' ELSE '' END AS ck FROM ct)
 SELECT DISTINCT scope_kind, scope_key, theme_key AS raw_key, 'wrong_key' AS problem FROM sp WHERE sentiment = 'neutral'
 UNION ALL SELECT DISTINCT scope_kind, scope_key, theme_key, 'never_offered' FROM sp WHERE sentiment = 'neutral'
