@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from themeloom.model import PRODUCT_RECORD, REVIEW, DateWindow, SelectionError, Theme, vocabulary_from
+from themeloom.model import PRODUCT_RECORD, REVIEW, DateWindow, InputError, SelectionError, Theme, vocabulary_from
 from themeloom.operators import ingest, promotions, scopes, themes
 from themeloom.plans import briefs, report
 from themeloom.sources import files, fixtures
@@ -133,6 +133,11 @@ def test_large_vocabulary_agrees_with_plain_matching(spark):
     assert made == {(r.row_pos, w) for r in plain.collect() for i, w in enumerate(words) if r[str(i)]}
 
 
+def test_an_empty_vocabulary_is_refused(spark):
+    with pytest.raises(InputError):
+        themes.theme_hits(spark.createDataFrame([("x",)], "text string"), ())
+
+
 def test_vocabulary_table(spark):
     df = spark.createDataFrame([("k", "L", ["a", "b"], "r")],
                                "theme_key string, label string, keywords array<string>, recommendation string")

@@ -18,7 +18,7 @@ from themeloom.functions.numbers import mean_to_tenth, share_percent
 from themeloom.functions.text import (
     attribution, first_sentence_with, keyword_pattern, sentences, vocabulary_words, words_of,
 )
-from themeloom.model import DateWindow, Theme, Unit
+from themeloom.model import DateWindow, InputError, Theme, Unit
 from themeloom.operators.scopes import in_scopes, in_window
 from themeloom.storage import settle
 
@@ -59,6 +59,8 @@ def theme_hits(rows: DataFrame, vocabulary: Sequence[Theme]) -> DataFrame:
     ``theme`` is the position in the vocabulary and ``n`` the number of its distinct
     keywords in the text.
     """
+    if not vocabulary:
+        raise InputError("the vocabulary is empty")
     usable = [[k for k in dict.fromkeys(t.keywords) if k.strip()] for t in vocabulary]
     every = [w for keywords in usable for k in keywords for w in words_of(k)]
     wordless = any(not words_of(k) for keywords in usable for k in keywords)
