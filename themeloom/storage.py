@@ -8,35 +8,36 @@ any time without losing it, because it lies in the cluster's checkpoint folder.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_local_folder: str | None = None
+_written: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a private one in local mode only."""
-    global _local_folder
+    """The folder named by ``spark.checkpoint.dir``, else one in the session's warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    if _local_folder is None:
-        _local_folder = "file://" + tempfile.mkdtemp(prefix="themeloom-")
-    return _local_folder
+    return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_settled").rstrip("/")
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return it as a table read from there."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete what ``settle`` has written in this process; results that read it must be done."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    while _written:
+        path = hadoop.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def with_position(df: DataFrame, by: list[str], order: list[str], name: str = "position") -> DataFrame:
     """Add ``name``: 0-based rank of each row within ``by``, in ``order``.
 
