@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from themeloom.llm import bpe, packing
+from themeloom.llm import bpe, exact, packing, simhash
 from themeloom.llm.batches import table
 
 #: The tokenizer of all queries.
@@ -16,9 +16,18 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), TOKENIZER)
 
 
+def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact.groups(table(spark, folder, "documents"))
+
+
 def op8_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op8_bpe_round_trip)}
-ORACLE: dict[str, str] = {}
+def op9_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_copies(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op3_best_fit_packing, op5_exact_dedup, op8_bpe_round_trip, op9_simhash_near_dedup)}
+ORACLE: dict[str, str] = {"op5_exact_dedup": exact.ORACLE}
