@@ -5,13 +5,19 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from themeloom.llm import bpe, exact, packing, simhash
+from themeloom.llm import bpe, exact, language, packing, simhash
 from themeloom.llm.batches import table
 
 #: The tokenizer of all queries.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    model = language.train(documents)
+    return language.predict(documents.select("doc_id", "text"), model).drop("text")
+
+
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), TOKENIZER)
 
@@ -29,5 +35,5 @@ def op9_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_best_fit_packing, op5_exact_dedup, op8_bpe_round_trip, op9_simhash_near_dedup)}
+    op1_language_id, op3_best_fit_packing, op5_exact_dedup, op8_bpe_round_trip, op9_simhash_near_dedup)}
 ORACLE: dict[str, str] = {"op5_exact_dedup": exact.ORACLE}
