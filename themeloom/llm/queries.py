@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from themeloom.llm import bpe, exact, language, packing, simhash
+from themeloom.llm import bpe, exact, language, packing, secrets, simhash
 from themeloom.llm.batches import table
 
 #: The tokenizer of all queries.
@@ -34,6 +34,11 @@ def op9_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_copies(table(spark, folder, "documents"))
 
 
+def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return secrets.scan(documents, secrets.train(documents)).drop("text", "clean_text")
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op3_best_fit_packing, op5_exact_dedup, op8_bpe_round_trip, op9_simhash_near_dedup)}
+    op1_language_id, op3_best_fit_packing, op5_exact_dedup, op8_bpe_round_trip, op9_simhash_near_dedup, op10_secret_scan)}
 ORACLE: dict[str, str] = {"op5_exact_dedup": exact.ORACLE}
