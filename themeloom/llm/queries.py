@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from themeloom.llm import bpe, exact, language, packing, secrets, simhash
+from themeloom.llm import bpe, exact, language, order_minhash, packing, secrets, simhash
 from themeloom.llm.batches import table
 
 #: The tokenizer of all queries.
@@ -22,6 +22,10 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), TOKENIZER)
 
 
+def op4_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return order_minhash.compare(table(spark, folder, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.groups(table(spark, folder, "documents"))
 
@@ -40,5 +44,5 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op3_best_fit_packing, op5_exact_dedup, op8_bpe_round_trip, op9_simhash_near_dedup, op10_secret_scan)}
+    op1_language_id, op3_best_fit_packing, op4_order_minhash, op5_exact_dedup, op8_bpe_round_trip, op9_simhash_near_dedup, op10_secret_scan)}
 ORACLE: dict[str, str] = {"op5_exact_dedup": exact.ORACLE}
