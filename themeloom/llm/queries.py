@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from themeloom.llm import bpe, exact, language, order_minhash, packing, secrets, simhash
+from themeloom.llm import bpe, exact, html_text, language, order_minhash, packing, secrets, simhash
 from themeloom.llm.batches import table
 
 #: The tokenizer of all queries.
@@ -30,6 +30,11 @@ def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.groups(table(spark, folder, "documents"))
 
 
+def op6_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages, html_text.train(pages))
+
+
 def op8_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), TOKENIZER)
 
@@ -44,5 +49,5 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op3_best_fit_packing, op4_order_minhash, op5_exact_dedup, op8_bpe_round_trip, op9_simhash_near_dedup, op10_secret_scan)}
+    op1_language_id, op3_best_fit_packing, op4_order_minhash, op5_exact_dedup, op6_html_text, op8_bpe_round_trip, op9_simhash_near_dedup, op10_secret_scan)}
 ORACLE: dict[str, str] = {"op5_exact_dedup": exact.ORACLE}
