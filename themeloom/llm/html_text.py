@@ -312,7 +312,7 @@ def train(df: DataFrame, html: str = "html", pages: int = SAMPLE_PAGES) -> Model
             .mapInPandas(labelled, "key long, i int, x array<double>, y int, above int, kind int")
             .orderBy(F.xxhash64("key", "i"), "key", "i").limit(SAMPLE_NODES).toPandas())
     start = np.zeros(FEATURES)
-    start[[0, 1, 2, 3, 4, 5, 10, 12]] = -1, -4, 3, 1, 1, -1, 1, -3
+    start[[0, 1, 2, 3, 4, 5, 10, 12]] = -1, -16, 3, 1, 1, -1, 1, -3
     if rows.empty or rows["y"].nunique() < 2:
         return Model(start, 0.5, [[[0.9, 0.1], [0.1, 0.9]]] * 2)
     x, y, above, kind = np.stack(rows["x"]), rows["y"].to_numpy(float), rows["above"].to_numpy(), rows["kind"].to_numpy()
