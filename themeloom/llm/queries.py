@@ -5,11 +5,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from themeloom.llm import bpe, exact, html_text, language, order_minhash, packing, secrets, simhash
+from themeloom.llm import bpe, exact, html_text, language, order_minhash, packing, secrets, simhash, surrogates, urls
 from themeloom.llm.batches import table
 
 #: The tokenizer of all queries.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+#: The key of the surrogates of the registered query; a secret elsewhere.
+SURROGATE_KEY = "key of the registered query"
 
 
 def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
@@ -18,6 +20,10 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict(documents.select("doc_id", "text"), model).drop("text")
 
 
+def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(table(spark, folder, "pages"), urls.rule_table(spark, urls.RULES))
+
+
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), TOKENIZER)
 
@@ -35,6 +41,10 @@ def op6_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(pages, html_text.train(pages))
 
 
+def op7_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    return surrogates.replace(table(spark, folder, "documents").select("doc_id", "text"), SURROGATE_KEY)
+
+
 def op8_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), TOKENIZER)
 
@@ -49,5 +59,5 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op3_best_fit_packing, op4_order_minhash, op5_exact_dedup, op6_html_text, op8_bpe_round_trip, op9_simhash_near_dedup, op10_secret_scan)}
-ORACLE: dict[str, str] = {"op5_exact_dedup": exact.ORACLE}
+    op1_language_id, op2_url_filter, op3_best_fit_packing, op4_order_minhash, op5_exact_dedup, op6_html_text, op7_surrogates, op8_bpe_round_trip, op9_simhash_near_dedup, op10_secret_scan)}
+ORACLE: dict[str, str] = {"op2_url_filter": urls.oracle(), "op5_exact_dedup": exact.ORACLE}
