@@ -40,7 +40,13 @@ PATTERNS = {
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.?[ ]{_CAPITAL}(?:[ ]{_CAPITAL})?",
 }
 KINDS = tuple(PATTERNS)
-_ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+_TITLE_INITIALS = "".join(sorted({t[0] for ts in TITLES.values() for t in ts}))
+#: What an entity can begin with is tested first, which is all that most places of a text need.
+_ANY = "|".join((
+    PATTERNS["email"], rf"(?=\d)(?:{'|'.join(PATTERNS[k] for k in ('ip', 'ssn', 'card'))})",
+    rf"(?=[+(])(?:{PATTERNS['phone']})", rf"(?=[A-Z])(?:{PATTERNS['iban']})", rf"(?=[{_TITLE_INITIALS}])(?:{PATTERNS['name']})"))
+#: Texts without any of this hold no entity.
+_HINT = rf"[0-9@]|(?=[{_TITLE_INITIALS}])(?:{_TITLE})\.?[ ]\p{{Lu}}"
 
 
 def _letters(*spans: tuple[int, int], without: str = "") -> str:
@@ -164,7 +170,8 @@ def replace(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """
     counts = ["n_entities", *(f"n_{k}" for k in KINDS)]
     kept = [c for c in df.columns if c != text and c not in counts]
-    found = F.transform(F.regexp_extract_all(filled(text), F.lit(_ANY), 0), lambda v: F.struct(kind_of(v).alias("kind"), v.alias("value")))
+    values = F.when(filled(text).rlike(_HINT), F.regexp_extract_all(filled(text), F.lit(_ANY), 0)).otherwise(F.array().cast("array<string>"))
+    found = F.transform(values, lambda v: F.struct(kind_of(v).alias("kind"), v.alias("value")))
     rows = df.select(F.struct(*[F.col(c) for c in kept]).alias("_row") if kept else F.lit(None).alias("_row"),
                      filled(text).alias("_text"), found.alias("_found"))
     some = F.size("_found") > 0
