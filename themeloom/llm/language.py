@@ -16,13 +16,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from themeloom.llm.batches import bounded, filled
 
 #: Bounds of what is fitted: labelled rows, and words and n-grams of the model.
 SAMPLE_ROWS, MODEL_WORDS, MODEL_GRAMS = 20_000, 60_000, 60_000
+#: Rarer words and n-grams say little: next to what is never seen, their languages differ by the size of the training text.
+LEAST_COUNT = 5
 #: Longest n-gram, and the share of a word's n-grams that must be known for a length to count.
 LONGEST, KNOWN = 5, 0.5
 #: Words after which more evidence no longer sharpens a score.
@@ -49,13 +51,16 @@ class Model:
     gram_scores: np.ndarray
 
     def backoff(self, word: str) -> np.ndarray:
-        """Log frequencies of an unseen word: the mean over its n-grams of the longest length that is known."""
+        """Log frequencies of an unseen word: those of its n-grams of the longest length that is known.
+
+        Each character is in n of them, so their sum is divided by n.
+        """
         marked = f" {word} "
         for n in range(min(LONGEST, len(marked)), 0, -1):
             all_of = [marked[i:i + n] for i in range(len(marked) - n + 1)]
             known = [self.grams[g] for g in all_of if g in self.grams]
             if known and len(known) >= KNOWN * len(all_of):
-                return self.gram_scores[known].mean(axis=0)
+                return self.gram_scores[known].sum(axis=0) / n
         return np.zeros(len(self.languages))
 
     def score_of(self, word: str) -> np.ndarray:
@@ -96,7 +101,8 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     lengths = {(r["lang"], r["size"]): r["n"] for r in grams.groupBy("lang", F.length("item").alias("size")).agg(F.sum("n").alias("n")).collect()}
 
     def most(table: DataFrame, n: int) -> list:
-        return table.orderBy(F.desc("n"), "item", "lang").limit(n).collect()
+        common = F.sum("n").over(Window.partitionBy("item")) >= LEAST_COUNT
+        return table.withColumn("_common", common).filter("_common").orderBy(F.desc("n"), "item", "lang").limit(n).collect()
 
     languages = sorted(totals)
     word_index, word_scores = _scores(most(words, MODEL_WORDS), languages, totals)
