@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from themeloom.functions import category, dates, numbers, text
-from themeloom.plans.report import _short, short_label
+from themeloom.plans.report import short_label
 
 
 def values(spark, column, cells):
@@ -89,8 +89,11 @@ def test_short_labels(spark):
     long = "Northwind Braided Charging Cable (Light Blue, 2 m, with pouch) for phones and tablets of any make"
     run_on = "WORD" * 30
     no_cut = "Tecno Spark 9, " + "longwordhere " * 8
-    made = values(spark, short_label, ["Short  title", long, run_on, None])
+    nested = "Northwind Charger (for home (and car), with case) and more words - extra parts for anyone at all"
+    made = values(spark, short_label, ["Short  title", long, run_on, None, no_cut, nested, ") stray, " + "w" * 30 + " with much more text behind it, and more"])
     assert made[0] == "Short title" and made[3] is None
     assert made[1] == "Northwind Braided Charging Cable"
     assert made[2] == "WORD" * 15 + "WOR" + "…"
-    assert _short(no_cut).endswith("…") and len(_short(no_cut)) <= 64
+    assert made[4].endswith("…") and len(made[4]) <= 64
+    assert made[5] == "Northwind Charger (for home (and car), with case) and more words"
+    assert made[6] == ") stray, " + "w" * 30

@@ -19,7 +19,7 @@ def selection(spark, sizes):
 def greedy(sizes, limits):
     batches, used = [], 0
     for i, size in enumerate(sizes):
-        new = i % limits.slice_rows == 0 or len(batches[-1]) == limits.max_rows or used + size > limits.max_bytes
+        new = not batches or len(batches[-1]) == limits.max_rows or used + size > limits.max_bytes
         if new:
             batches.append([])
             used = 0
@@ -28,18 +28,19 @@ def greedy(sizes, limits):
     return batches
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_batches_cover_everything_within_limits(spark, seed):
-    rng = random.Random(seed)
-    sizes = [rng.choice([1, 40, 90, 100, 101, 500]) for _ in range(157)]
-    limits = BatchLimits(max_rows=4, max_bytes=100, slice_rows=50)
-    made = sizing.bounded_batches(selection(spark, sizes), limits).collect()
-    got = {}
-    for r in made:
-        got.setdefault((r.slice, r.batch_no), []).append(r.sel_pos)
-        assert r.oversized == (r.text_bytes > 100)
-    assert [sorted(got[k]) for k in sorted(got)] == greedy(sizes, limits)
-    assert sum(n for n in [sizing.batch_counts(sizing.bounded_batches(selection(spark, sizes), limits)).first()[2]]) == len(got)
+@pytest.mark.parametrize("slice_rows", (1, 7, 50, 10_000))
+def test_batches_are_greedy_whatever_the_slices(spark, slice_rows):
+    rng = random.Random(slice_rows)
+    limits = BatchLimits(max_rows=4, max_bytes=100)
+    for count in (157, 50, 9, 1):
+        sizes = [rng.choice([1, 30, 40, 90, 100, 101, 500]) for _ in range(count)]
+        batches = sizing.bounded_batches(selection(spark, sizes), limits, slice_rows)
+        got = {}
+        for r in batches.collect():
+            got.setdefault(r.batch_no, []).append(r.sel_pos)
+            assert r.oversized == (r.text_bytes > 100)
+        assert [sorted(got[k]) for k in sorted(got)] == greedy(sizes, limits)
+        assert sizing.batch_counts(batches).first().filled_batches == len(got)
 
 
 def estimate(spark, rows, size, filled=0, **kw):

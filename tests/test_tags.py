@@ -95,6 +95,7 @@ def test_coverage(spark):
     assert coverage(spark, "abcd", ["ab", "d"]) == [("missing", "c")]
     assert coverage(spark, "abc", ["ab", "bc"]) == [("duplicated", "b")]
     assert coverage(spark, "abc", ["ac", "b"]) == [("out_of_order", "b"), ("out_of_order", "c")]
+    assert coverage(spark, "abc", ["ba", "a"]) == [("duplicated", "a"), ("missing", "c"), ("out_of_order", "a"), ("out_of_order", "b")]
 
 
 # -- labels -------------------------------------------------------------------

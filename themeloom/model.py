@@ -48,23 +48,15 @@ class Theme:
     recommendation: str
 
 
-MAX_KEYWORDS = 5_000
-
-
 def vocabulary_from(table: DataFrame) -> tuple[Theme, ...]:
     """Vocabulary table (theme_key, label, keywords, recommendation) as a parameter.
 
-    Keywords are compiled into the plan as literals, so the table must be small;
-    its size is checked before anything is fetched.
+    Every theme is taken, those without keywords too; NULL keywords count as none. The
+    vocabulary becomes part of the plan, so it is a table somebody wrote, not one derived
+    from the rows.
     """
-    rows = table.select("theme_key", "label", "keywords", "recommendation").limit(MAX_KEYWORDS + 1)
-    themes = tuple(
-        Theme(r.theme_key, r.label, tuple(r.keywords), r.recommendation)
-        for r in rows.orderBy("theme_key").collect()
-    )
-    if sum(len(t.keywords) for t in themes) > MAX_KEYWORDS:
-        raise InputError(f"a vocabulary may hold at most {MAX_KEYWORDS} keywords")
-    return themes
+    rows = table.select("theme_key", "label", "keywords", "recommendation").orderBy("theme_key").collect()
+    return tuple(Theme(r.theme_key, r.label, tuple(r.keywords or ()), r.recommendation) for r in rows)
 
 
 @dataclass(frozen=True)
@@ -85,7 +77,6 @@ class BatchLimits:
 
     max_rows: int = 12
     max_bytes: int = 16 * 1024
-    slice_rows: int = 10_000
 
 
 @dataclass(frozen=True)

@@ -14,6 +14,16 @@ def _rate(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole)
 
 
+def _side_by_side(*rows: DataFrame) -> DataFrame:
+    """One-row aggregates as one row: their figures are summed under each name, never joined."""
+    named = [r.select(F.explode(F.map_from_arrays(
+        F.array(*map(F.lit, r.columns)), F.array(*[F.col(c).cast("long") for c in r.columns]))).alias("name", "value")) for r in rows]
+    every = named[0]
+    for r in named[1:]:
+        every = every.unionByName(r)
+    return every.agg(*[F.sum(F.when(F.col("name") == c, F.col("value"))).alias(c) for r in rows for c in r.columns])
+
+
 def evidence_validity(outcomes: DataFrame, by: Sequence[str]) -> DataFrame:
     """Valid tags among valid and rejected ones."""
     sums = outcomes.groupBy(*by).agg(F.sum("valid").alias("valid"), F.sum("rejected").alias("rejected"))
@@ -54,9 +64,7 @@ def mixed_recall(tags: DataFrame, labels: DataFrame) -> DataFrame:
         F.col("sentiment") == F.when(F.col("kind") == "praise-only", "fault").otherwise("praise")
     ).alias("control_violations"))
     total = labels.agg(F.count_if(F.col("kind") == "mixed").alias("mixed_reviews"))
-    # Three one-row aggregates side by side.
-    return total.withColumn("_k", F.lit(1)).join(hits.withColumn("_k", F.lit(1)), "_k").join(
-        controls.withColumn("_k", F.lit(1)), "_k").select(
+    return _side_by_side(total, hits, controls).select(
         "mixed_reviews", "mixed_hits", "misattributed", "control_violations",
         F.coalesce(_rate(F.col("mixed_hits"), F.col("mixed_reviews")), F.lit(0.0)).alias("mixed_recall"))
 
@@ -123,9 +131,7 @@ def merge_rates(tags: DataFrame, clusters: DataFrame) -> DataFrame:
     totals = clusters.groupBy("cluster").agg(F.count("*").alias("n")).agg(
         F.coalesce(F.sum(_pairs(F.col("n"))), F.lit(0)).alias("same_pairs"),
         F.coalesce(_pairs(F.sum("n")), F.lit(0)).alias("all_pairs"))
-    row = totals.withColumn("_k", F.lit(1))
-    for part in (same, every, _wide_pairs(held)):
-        row = row.join(part.withColumn("_k", F.lit(1)), "_k")
+    row = _side_by_side(totals, same, every, _wide_pairs(held))
     merged_same = F.col("same_few") + F.col("same_many")
     merged_cross = F.col("all_few") + F.col("all_many") - merged_same
     cross = F.col("all_pairs") - F.col("same_pairs")

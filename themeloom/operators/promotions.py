@@ -13,8 +13,6 @@ from themeloom.operators.scopes import in_scopes, in_window
 # Fixed value: a smaller difference of means counts as none.
 MEANINGFUL_DELTA = 0.1
 
-MAX_LISTED_LABELS = 10_000
-
 
 def is_promoted() -> Column:
     """A promotion label, or a discount above zero."""
@@ -56,9 +54,8 @@ def promotions(
     """One row per scope that has a promoted purchase.
 
     Counts are hash-aggregated per product and summed per category. Labels are made
-    distinct before they are listed, so a list holds labels, never rows. A scope with
-    more than ``MAX_LISTED_LABELS`` labels has ``promotions`` NULL, so that no list
-    outgrows a row; ``promotion_labels`` holds every label of every scope as rows.
+    distinct before they are listed, so a list holds labels, never rows, and every scope
+    lists all of its labels; ``promotion_labels`` holds them as rows.
     """
     selected = in_window(reviews, window)
     promo = is_promoted()
@@ -88,18 +85,14 @@ def promotions(
         .drop("_promo_stars", "_full_stars")
     )
     every = promotion_labels(selected, products)
-    sizes = every.groupBy("scope_kind", "scope_key").agg(F.count("*").alias("label_count"))
-    short = sizes.filter(F.col("label_count") <= MAX_LISTED_LABELS).drop("label_count")
-    lists = every.join(short, ["scope_kind", "scope_key"], "left_semi").groupBy(
-        "scope_kind", "scope_key").agg(
+    lists = every.groupBy("scope_kind", "scope_key").agg(
         F.array_sort(F.collect_list(F.collate("promotion", "UNICODE"))).alias("_labels"))
     labels = lists.select(
         "scope_kind", "scope_key",
         F.transform("_labels", lambda x: F.collate(x, "UTF8_BINARY")).alias("promotions"))
-    none = F.when(F.col("label_count") == 0, F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
     return (
-        compared.join(sizes, ["scope_kind", "scope_key"], "left")
-        .join(labels, ["scope_kind", "scope_key"], "left")
-        .withColumn("label_count", F.coalesce("label_count", F.lit(0).cast("long")))
+        compared.join(labels, ["scope_kind", "scope_key"], "left")
         .withColumn("promotions", F.coalesce("promotions", none))
+        .withColumn("label_count", F.size("promotions").cast("long"))
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,7 +13,7 @@ from themeloom.functions.numbers import round_half_up
 from themeloom.model import BatchLimits, CostModel, RunCeiling, Sizing
 from themeloom.operators.labels import SCOPE
 from themeloom.operators.scopes import in_scopes, selection_order
-from themeloom.storage import with_position
+from themeloom.storage import settle, with_position
 
 SIZED = ("rows", "text_bytes")
 
@@ -36,43 +37,114 @@ def row_density(sizes: DataFrame, cost: CostModel = CostModel()) -> DataFrame:
         F.when(F.col("rows") > 0, F.col("output_tokens") / F.col("rows")).otherwise(F.lit(0.0)))
 
 
-def bounded_batches(selection: DataFrame, limits: BatchLimits = BatchLimits()) -> DataFrame:
+# Positions that one pass of filling covers; batches do not depend on it.
+SLICE_ROWS = 10_000
+
+
+def _by_slice(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """The key and the rows of one slice at a time, of frames sorted by slice; the key comes first in a row."""
+    key, held = None, []
+    for frame in frames:
+        for row in frame.itertuples(index=False, name=None):
+            if row[:3] != key:
+                if held:
+                    yield key, held
+                key, held = row[:3], []
+            held.append(row)
+    if held:
+        yield key, held
+
+
+def _framed(rows: Iterator[tuple], columns: list[str], size: int = 50_000) -> Iterator[pd.DataFrame]:
+    while part := list(islice(rows, size)):
+        yield pd.DataFrame(part, columns=columns)
+
+
+def _batch_ends(sizes: list[int], limits: BatchLimits) -> list[int]:
+    """Where a batch that begins at each row ends; the first row is taken however large it is."""
+    ends, end, used = [], 0, 0
+    for start in range(len(sizes)):
+        if end <= start:
+            end, used = start, 0
+        while end < len(sizes) and end - start < limits.max_rows and (end == start or used + sizes[end] <= limits.max_bytes):
+            used += sizes[end]
+            end += 1
+        ends.append(end)
+        used -= sizes[start]
+    return ends
+
+
+def bounded_batches(
+    selection: DataFrame, limits: BatchLimits = BatchLimits(), slice_rows: int = SLICE_ROWS
+) -> DataFrame:
     """Batches in selection order within the row and byte limits.
 
     ``selection`` has (scope, review_date, row_pos, review_id, text_bytes), no text.
-    A row larger than a whole batch goes alone and is flagged. Filling a batch is
-    sequential, so it is done per slice of ``slice_rows`` positions: a scope of any
-    size is cut into slices of bounded size.
+    A row larger than a whole batch goes alone and is flagged. Where a batch begins
+    depends on all rows before it, but a slice of positions can be entered at one of
+    ``max_rows`` places only. So each slice is filled from each of them in parallel,
+    which gives the place where the next slice is entered; these few numbers per slice
+    are followed along the scope, and then every slice is filled from its true entry.
     """
-    placed = with_position(selection, SCOPE, selection_order(), "sel_pos")
-    in_order = placed.select(
-        *SCOPE, F.floor(F.col("sel_pos") / limits.slice_rows).alias("slice"),
-        "sel_pos", "review_id", "text_bytes",
-    ).repartition(*SCOPE, "slice").sortWithinPartitions(*SCOPE, "slice", "sel_pos")
+    rows = max(slice_rows, limits.max_rows)
+    placed = settle(with_position(selection, SCOPE, selection_order(), "sel_pos").select(
+        *SCOPE, F.floor(F.col("sel_pos") / rows).alias("slice"), "sel_pos", "review_id", "text_bytes"), "placed")
+    # The last batch of a slice may need the first rows of the next one.
+    ahead = placed.filter((F.col("slice") > 0) & (F.col("sel_pos") % rows < limits.max_rows)).withColumn("slice", F.col("slice") - 1)
+    in_order = lambda df: df.repartition(*SCOPE, "slice").sortWithinPartitions(*SCOPE, "slice", "sel_pos")
+
+    def enter(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def found() -> Iterator[tuple]:
+            for key, part in _by_slice(frames):
+                own = sum(row[3] < (key[2] + 1) * rows for row in part)
+                ends = _batch_ends([row[5] for row in part], limits)
+                for entry in range(1 if key[2] == 0 else min(limits.max_rows, own + 1)):
+                    at, batches = entry, 0
+                    while at < own:
+                        at, batches = ends[at], batches + 1
+                    yield *key, entry, at - own, batches
+
+        yield from _framed(found(), [*SCOPE, "slice", "entry", "leaves", "batches"])
+
+    ways = in_order(placed.unionByName(ahead)).mapInPandas(
+        enter, "scope_kind string, scope_key string, slice long, entry long, leaves long, batches long")
+
+    def follow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scope, entry, before = None, 0, 0
+        for frame in frames:
+            found = []
+            for *at, slice_no, start, leaves, batches in frame.itertuples(index=False):
+                if at != scope:
+                    scope, entry, before, last = at, 0, 0, -1
+                if slice_no != last and start == entry:
+                    found.append((*at, slice_no, entry, before))
+                    entry, before, last = leaves, before + batches, slice_no
+            yield pd.DataFrame(found, columns=[*SCOPE, "slice", "entry", "before"])
+
+    entered = settle(
+        ways.repartition(*SCOPE).sortWithinPartitions(*SCOPE, "slice", "entry")
+        .mapInPandas(follow, "scope_kind string, scope_key string, slice long, entry long, before long"), "slice-entries")
+    keyed = entered.select(*[F.col(c).alias(f"_{c}") for c in (*SCOPE, "slice")], "entry", "before")
+    known = placed.join(keyed, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*SCOPE, "slice")]).drop(*[f"_{c}" for c in (*SCOPE, "slice")])
 
     def fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Rows stream by in order; only the open batch is remembered between frames.
-        place, batch, held, used = None, 0, 0, 0
-        for rows in frames:
-            numbers = []
-            keys = zip(rows["scope_kind"], rows["scope_key"], rows["slice"])
-            for at, size in zip(keys, rows["text_bytes"].tolist()):
-                if at != place:
-                    place, batch, held, used = at, 0, 0, 0
-                elif held == limits.max_rows or used + size > limits.max_bytes:
-                    batch, held, used = batch + 1, 0, 0
-                numbers.append(batch)
-                held, used = held + 1, used + size
-            yield rows.assign(batch_no=numbers, oversized=rows["text_bytes"] > limits.max_bytes)
-
-    return in_order.mapInPandas(
-        fill, "scope_kind string, scope_key string, slice long, sel_pos long, review_id string, "
-              "text_bytes long, batch_no long, oversized boolean")
+        def found() -> Iterator[tuple]:
+            for key, part in _by_slice(frames):
+                ends = _batch_ends([row[5] for row in part], limits)
+                begins, batch = part[0][6], part[0][7] - 1
+                for i, row in enumerate(part):
+                    if i == begins:
+                        begins, batch = ends[i], batch + 1
+                    yield *key[:2], *row[3:6], batch, row[5] > limits.max_bytes
+
+        yield from _framed(found(), [*SCOPE, "sel_pos", "review_id", "text_bytes", "batch_no", "oversized"])
+
+    return in_order(known).mapInPandas(
+        fill, "scope_kind string, scope_key string, sel_pos long, review_id string, text_bytes long, batch_no long, oversized boolean")
 
 
 def batch_counts(batches: DataFrame) -> DataFrame:
-    per_slice = batches.groupBy(*SCOPE, "slice").agg((F.max("batch_no") + 1).alias("n"))
-    return per_slice.groupBy(*SCOPE).agg(F.sum("n").alias("filled_batches"))
+    return batches.groupBy(*SCOPE).agg((F.max("batch_no") + 1).alias("filled_batches"))
 
 
 def _ceil(value: Column) -> Column:

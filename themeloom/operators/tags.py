@@ -69,20 +69,26 @@ def entries(responses: DataFrame) -> DataFrame:
     return fields.withColumn("well_formed", F.coalesce(shape, F.lit(False)))
 
 
-def grounded(tag_entries: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Entries whose evidence stands word for word in the review they name."""
+def grounded(tag_entries: DataFrame, reviews: DataFrame, batches: DataFrame | None = None) -> DataFrame:
+    """Entries whose evidence stands word for word in the review they name.
+
+    ``batches`` says which reviews a response was asked about, as (batch_id, review_id): a tag
+    of any other review is not accepted. Only texts that a tag names leave their scan.
+    """
     sound = tag_entries.filter("well_formed").drop("well_formed")
+    if batches is not None:
+        sound = sound.join(batches.select("batch_id", "review_id").distinct(), ["batch_id", "review_id"], "left_semi")
     return sound.join(reviews.select("review_id", "text"), "review_id").filter(
         F.contains(F.col("text"), F.col("evidence"))).drop("text")
 
 
-def validate(tag_entries: DataFrame, reviews: DataFrame) -> DataFrame:
+def validate(tag_entries: DataFrame, reviews: DataFrame, batches: DataFrame | None = None) -> DataFrame:
     """Valid tags; of equal (review, theme key, sentiment) in a response the first stays.
 
     ``copies`` counts the entries a tag stands for. Equal entries are merged by a
     partial aggregate, so a response full of repeats loads no single task.
     """
-    keyed = grounded(tag_entries, reviews).withColumns(
+    keyed = grounded(tag_entries, reviews, batches).withColumns(
         {"theme": trimmed(F.col("theme")), "theme_key": label_key(F.col("theme"))})
     return keyed.groupBy(*BATCH, "review_id", "theme_key", "sentiment").agg(
         F.min("entry_pos").alias("entry_pos"),
@@ -117,7 +123,9 @@ def outcomes(responses: DataFrame, tag_entries: DataFrame, valid: DataFrame) ->
     return counted.withColumn("verdict", verdict)
 
 
-def accept_tags(raw: DataFrame, reviews: DataFrame, strict: bool = False) -> DataFrame:
+def accept_tags(
+    raw: DataFrame, reviews: DataFrame, strict: bool = False, batches: DataFrame | None = None
+) -> DataFrame:
     """Valid tags of all responses, or an error if a response failed its gate.
 
     Tags are written out once: counts and findings then agree even if the source is
@@ -125,7 +133,7 @@ def accept_tags(raw: DataFrame, reviews: DataFrame, strict: bool = False) -> Dat
     """
     responses = parse_responses(raw)
     found = entries(responses)
-    valid = settle(validate(found, reviews), "valid_tags")
+    valid = settle(validate(found, reviews, batches), "valid_tags")
     failing = ["unusable", "all_rejected"] + (["not_strict"] if strict else [])
     require_none(
         outcomes(responses, found, valid).filter(F.col("verdict").isin(failing)), TagError,
@@ -134,7 +142,7 @@ def accept_tags(raw: DataFrame, reviews: DataFrame, strict: bool = False) -> Dat
 
 
 def input_problems(reviews: DataFrame) -> DataFrame:
-    """Rows that may not be sent to a tagger: blank or repeated ids, blank text."""
+    """Rows that may not be sent to a tagger: blank or repeated ids, blank text; or that there are none."""
     blank_id = blank_to_null(F.col("review_id")).isNull()
     blank_text = blank_to_null(F.col("text")).isNull()
     bad = reviews.filter(blank_id | blank_text).select(
@@ -142,8 +150,10 @@ def input_problems(reviews: DataFrame) -> DataFrame:
         "review_id", F.lit(1).cast("long").alias("rows"))
     repeated = reviews.filter(~blank_id).groupBy("review_id").agg(
         F.count("*").alias("rows")).filter("rows > 1")
+    none = reviews.agg(F.count("*").alias("rows")).filter("rows = 0").select(
+        F.lit("no_rows").alias("problem"), F.lit(None).cast("string").alias("review_id"), "rows")
     return bad.unionByName(
-        repeated.select(F.lit("repeated_id").alias("problem"), "review_id", "rows"))
+        repeated.select(F.lit("repeated_id").alias("problem"), "review_id", "rows")).unionByName(none)
 
 
 def tagger_input(reviews: DataFrame) -> DataFrame:
@@ -196,17 +206,18 @@ def keyword_tagger(
 def coverage_problems(selected: DataFrame, batches: DataFrame) -> DataFrame:
     """Ids that batches miss, repeat, or hold in another order than the selection.
 
-    ``selected`` has (review_id, sel_pos), ``batches`` (batch_id, pos, review_id).
-    Order is judged only when nothing is missing or repeated. Places are numbered
-    in parallel, so neither side passes through one task.
+    ``selected`` has (review_id, sel_pos), ``batches`` (batch_id, pos, review_id). All three
+    kinds are reported together. Order compares the id at each place of the batches with the id
+    that the selection has there, which says something only if both have as many places. Places
+    are numbered in parallel, so neither side passes through one task.
     """
+    comparable = selected.count() == batches.count()
     times = batches.groupBy("review_id").agg(F.count("*").alias("times"))
     missing = selected.select("review_id").join(times, "review_id", "left_anti").select(
         F.lit("missing").alias("problem"), "review_id")
     repeated = times.filter("times > 1").select(F.lit("duplicated").alias("problem"), "review_id")
-    gaps = settle(missing.unionByName(repeated), "coverage_gaps")
-    if not gaps.isEmpty():
-        return gaps
     placed = with_position(batches.select("batch_id", "pos", "review_id"), [], ["batch_id", "pos"], "_at")
-    return placed.join(selected, "review_id").filter("_at <> sel_pos").select(
-        F.lit("out_of_order").alias("problem"), "review_id")
+    there = selected.select(F.col("sel_pos").alias("_at"), F.col("review_id").alias("_selected"))
+    moved = placed.join(there, "_at").filter(F.lit(comparable) & (F.col("review_id") != F.col("_selected"))).select(
+        F.lit("out_of_order").alias("problem"), "review_id").distinct()
+    return missing.unionByName(repeated).unionByName(moved)

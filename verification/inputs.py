@@ -88,7 +88,7 @@ def response_entries(spark: SparkSession, folder: str) -> DataFrame:
     spoiled = (d % 7 == 0) | (batch % 29 == 7)
     proof_0 = F.concat(F.substring(text, 1, 12), F.when(spoiled, "#~").otherwise(""))
     proof_1 = F.when(batch % 29 == 7, "#~").when(d % 2 == 0, F.right(text, F.lit(10))).otherwise(
-        F.substring(text, 1, 20))
+        F.substring(text, F.floor(F.char_length(text) / 3).cast("int") + 1, F.lit(20)))
     entry = lambda who, theme, mood, proof: F.to_json(F.struct(
         who.alias("review_id"), theme.alias("theme"), mood.alias("sentiment"), proof.alias("evidence_span")))
     me = F.concat(F.lit("d"), d)
@@ -119,6 +119,13 @@ def responses(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(body).alias("payload"))
 
 
+def asked(spark: SparkSession, folder: str) -> DataFrame:
+    """The reviews of each response's batch; every thirteenth review was in another one."""
+    d = F.col("doc_id")
+    return table(spark, folder, "documents").select(
+        (F.floor(d / 10) + F.when(d % 13 == 5, 1).otherwise(0)).alias("batch_id"), F.concat(F.lit("d"), d).alias("review_id"))
+
+
 def group_by_first_word(chunks: DataFrame) -> DataFrame:
     """A stand-in for outside judgement: labels with the same first word are one theme."""
     word = F.split(F.lower("label"), " ")[0]

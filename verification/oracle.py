@@ -190,7 +190,7 @@ PROMO = """b AS (SELECT *, promotion IS NOT NULL OR coalesce(discount_percent >
 g AS (SELECT scope_kind, scope_key, count(*) FILTER (promo) AS promo_count, count(*) FILTER (NOT promo) AS full_price_count,
   floor(avg(rating) FILTER (promo) * 10 + 0.5) / 10 AS promo_average,
   coalesce(floor(avg(rating) FILTER (NOT promo) * 10 + 0.5) / 10, 0) AS full_price_average,
-  coalesce(array_to_string(list_sort(list(DISTINCT promotion) FILTER (promotion IS NOT NULL)), ', '), '') AS promotions
+  coalesce(array_to_string(list_sort(list(DISTINCT promotion) FILTER (promotion IS NOT NULL)), ', '), '') AS promotions, count(DISTINCT promotion) AS label_count
   FROM b GROUP BY ALL HAVING count(*) FILTER (promo) > 0),
 gd AS (SELECT *, full_price_count > 0 AS comparable,
   CASE WHEN full_price_count > 0 THEN floor((promo_average - full_price_average) * 10 + 0.5) / 10 ELSE 0 END AS rating_delta FROM g),
@@ -200,7 +200,7 @@ gn AS (SELECT *, CASE WHEN NOT comparable THEN 'Every purchase here was promoted
     || '★ ' || CASE WHEN rating_delta > 0 THEN 'higher' ELSE 'lower' END || ' than at full price (' || format('{:.1f}', full_price_average) || '★).'
   ELSE 'Promotion makes no visible difference: ' || format('{:.1f}', promo_average) || '★ against ' || format('{:.1f}', full_price_average) || '★ at full price.' END AS note FROM gd)"""
 ORACLE["promotions_by_scope"] = _with(SALES, S, PROMO) + """SELECT scope_kind, scope_key, promo_count, full_price_count, promo_average,
-  full_price_average, comparable, rating_delta, note, promotions FROM gn"""
+  full_price_average, comparable, rating_delta, note, promotions, label_count FROM gn"""
 ORACLE["promotions_labels"] = _with(R, P, S) + "SELECT DISTINCT scope_kind, scope_key, promotion FROM s WHERE promotion IS NOT NULL"
 
 # Labels here are one lower-case word or phrase, so they need no change inside a sentence.
@@ -258,7 +258,7 @@ E0 = f"""e0 AS (SELECT *, CASE (doc_id // 4) % 3 WHEN 0 THEN own WHEN 1 THEN '
   CASE WHEN (doc_id * 7) % 5 >= 3 THEN 'praise' WHEN (doc_id * 7) % 5 <= 1 THEN 'fault' ELSE 'neutral' END AS mood_0,
   CASE WHEN (doc_id * 7) % 5 <= 1 THEN 'praise' ELSE 'fault' END AS mood_1,
   substr(text, 1, 12) || CASE WHEN doc_id % 7 = 0 OR (doc_id // 10) % 29 = 7 THEN '#~' ELSE '' END AS proof_0,
-  CASE WHEN (doc_id // 10) % 29 = 7 THEN '#~' WHEN doc_id % 2 = 0 THEN right(text, 10) ELSE substr(text, 1, 20) END AS proof_1
+  CASE WHEN (doc_id // 10) % 29 = 7 THEN '#~' WHEN doc_id % 2 = 0 THEN right(text, 10) ELSE substr(text, length(text) // 3 + 1, 20) END AS proof_1
   FROM documents)),
 e1 AS (SELECT doc_id, batch_id, 0 AS e, 'd' || doc_id AS review_id, theme_0 AS theme, mood_0 AS sentiment, proof_0 AS evidence FROM e0
   UNION ALL SELECT doc_id, batch_id, 1, 'd' || doc_id, theme_1, mood_1, proof_1 FROM e0
@@ -274,7 +274,7 @@ ee AS (SELECT batch_id, CAST(entry_pos AS INTEGER) AS entry_pos, review_id, them
   coalesce(review_id <> '' AND {_trim('theme')} <> '' AND sentiment IN ('praise', 'fault', 'neutral') AND evidence <> '', false) AS well_formed
   FROM en JOIN rs USING (batch_id) WHERE usable AND batch_id % 23 <> 4)"""
 V = f"""gr AS (SELECT ee.*, {_key('theme')} AS theme_key FROM ee JOIN documents d ON ee.review_id = 'd' || d.doc_id
-  WHERE well_formed AND contains(d.text, evidence)),
+  WHERE well_formed AND contains(d.text, evidence) AND batch_id = doc_id // 10 + CASE WHEN doc_id % 13 = 5 THEN 1 ELSE 0 END),
 v AS (SELECT batch_id, min(entry_pos) AS entry_pos, review_id, arg_min({_trim('theme')}, entry_pos) AS theme, theme_key, sentiment,
   arg_min(evidence, entry_pos) AS evidence, count(*) AS copies FROM gr GROUP BY batch_id, review_id, theme_key, sentiment)"""
 O = """oc AS (SELECT batch_id, usable, coalesce(n, 0) AS entries, coalesce(ok, 0) AS valid, CAST(coalesce(dup, 0) AS BIGINT) AS deduped
@@ -299,8 +299,11 @@ SELECT review_id, theme, CASE WHEN regexp_matches(piece, {_ANY(['the', 'le', 'el
     WHEN regexp_matches(piece, {_ANY(['of', 'les', 'los', 'das'])}, 'i') THEN 'fault' ELSE 'neutral' END AS sentiment,
   count(*) AS tags, CAST(sum(length(piece)) AS BIGINT) AS evidence_chars FROM marked GROUP BY ALL"""
 _PLACED = "pl AS (SELECT review_id, row_number() OVER (ORDER BY review_date, row_pos) - 1 AS sel_pos FROM r)"
-ORACLE["tags_coverage"] = _with(R, _PLACED) + """SELECT CASE WHEN sel_pos % 97 = 5 THEN 'missing' ELSE 'duplicated' END AS problem, review_id
-  FROM pl WHERE sel_pos % 97 = 5 OR sel_pos % 89 = 3"""
+ORACLE["tags_coverage"] = _with(R, _PLACED) + """, held AS (SELECT review_id, row_number() OVER (ORDER BY sel_pos) - 1 AS place FROM
+    (SELECT *, unnest(range(CASE WHEN sel_pos % 97 = 5 THEN 0 WHEN sel_pos % 89 = 3 THEN 2 ELSE 1 END)) FROM pl))
+SELECT CASE WHEN sel_pos % 97 = 5 THEN 'missing' ELSE 'duplicated' END AS problem, review_id FROM pl WHERE sel_pos % 97 = 5 OR sel_pos % 89 = 3
+UNION ALL SELECT DISTINCT 'out_of_order', held.review_id FROM held JOIN pl ON place = sel_pos WHERE held.review_id <> pl.review_id
+  AND (SELECT count(*) FROM held) = (SELECT count(*) FROM pl)"""
 ORACLE["tags_coverage_order"] = _with(R, _PLACED) + "SELECT 'out_of_order' AS problem, review_id FROM pl WHERE sel_pos % 10 IN (0, 1)"
 
 G = """gt AS (SELECT s.scope_kind, s.scope_key, s.review_date, s.row_pos, v.* FROM v JOIN s USING (review_id))"""
@@ -377,16 +380,16 @@ zo AS (SELECT *, CAST(floor(rows * 100.0::DOUBLE + text_bytes * 0.31::DOUBLE + 0
 ORACLE["sizing_density"] = _with(R, P, S, Z) + "SELECT *, output_tokens / rows AS tokens_per_row FROM zo"
 B = """n AS (SELECT scope_kind, scope_key, review_id, strlen(text) AS text_bytes,
   row_number() OVER (PARTITION BY scope_kind, scope_key ORDER BY review_date, row_pos) - 1 AS sel_pos FROM s),
-bt AS (SELECT *, 0::BIGINT AS batch_no, 1 AS held, text_bytes AS used FROM n WHERE sel_pos % 40 = 0
+bt AS (SELECT *, 0::BIGINT AS batch_no, 1 AS held, text_bytes AS used FROM n WHERE sel_pos = 0
   UNION ALL SELECT n.*, CASE WHEN full_up THEN bt.batch_no + 1 ELSE bt.batch_no END, CASE WHEN full_up THEN 1 ELSE bt.held + 1 END,
     CASE WHEN full_up THEN n.text_bytes ELSE bt.used + n.text_bytes END
   FROM bt JOIN n ON n.scope_kind = bt.scope_kind AND n.scope_key = bt.scope_key AND n.sel_pos = bt.sel_pos + 1,
-    LATERAL (SELECT bt.held = 12 OR bt.used + n.text_bytes > 16384 AS full_up) WHERE n.sel_pos % 40 <> 0)"""
+    LATERAL (SELECT bt.held = 12 OR bt.used + n.text_bytes > 16384 AS full_up))"""
 _BWITH = "WITH RECURSIVE " + ",\n".join([R, P, S, B])
-ORACLE["sizing_batches"] = _BWITH + """ SELECT scope_kind, scope_key, sel_pos // 40 AS slice, batch_no, sel_pos, review_id, text_bytes,
+ORACLE["sizing_batches"] = _BWITH + """ SELECT scope_kind, scope_key, batch_no, sel_pos, review_id, text_bytes,
   text_bytes > 16384 AS oversized FROM bt"""
 ORACLE["sizing_estimates"] = _BWITH + ",\n" + Z + """,
-fb AS (SELECT scope_kind, scope_key, CAST(sum(c) AS BIGINT) AS filled FROM (SELECT scope_kind, scope_key, sel_pos // 40 AS sl, max(batch_no) + 1 AS c FROM bt GROUP BY ALL) GROUP BY ALL),
+fb AS (SELECT scope_kind, scope_key, max(batch_no) + 1 AS filled FROM bt GROUP BY ALL),
 c1 AS (SELECT *, greatest(CAST(ceil(rows / 3) AS BIGINT), filled) AS batches, CAST(ceil(output_tokens / 61 * 0.5::DOUBLE) AS BIGINT) AS l0 FROM zo JOIN fb USING (scope_kind, scope_key)),
 c2 AS (SELECT *, CAST(ceil(l0 / 300) AS BIGINT) AS q0, CASE WHEN ceil(l0 / 300) > 1 AND ceil(l0 * 0.6::DOUBLE) < l0 THEN CAST(ceil(l0 * 0.6::DOUBLE) AS BIGINT) ELSE 0 END AS l1 FROM c1),
 c3 AS (SELECT *, CAST(ceil(l1 / 300) AS BIGINT) AS q1, CASE WHEN ceil(l1 / 300) > 1 AND ceil(l1 * 0.6::DOUBLE) < l1 THEN CAST(ceil(l1 * 0.6::DOUBLE) AS BIGINT) ELSE 0 END AS l2 FROM c2),
@@ -439,3 +442,13 @@ ORACLE["columns_phrases"] = """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'sound
   strftime(DATE '2026-01-01' + CAST(doc_id AS INTEGER), '%b %-d, %Y') AS short_date, lang || '>a b>' || source AS path, lang AS top, source AS leaf,
   coalesce(CASE WHEN doc_id % 4 = 0 THEN 'Ann' END, CASE WHEN doc_id % 3 = 0 THEN 'Verified buyer' ELSE 'Buyer' END || CASE WHEN doc_id % 2 = 0 THEN ' · ' || upper(lang) ELSE '' END) AS credit,
   format('{:,}', doc_id) || CASE WHEN doc_id = 1 THEN ' product record' ELSE ' product records' END AS counted FROM documents"""
+
+ORACLE["columns_short_labels"] = """WITH full_title AS (SELECT conv_id, turn, text, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM conversations),
+chars AS (SELECT conv_id, turn, i, t[i] AS c, CASE t[i] WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END AS d FROM full_title, unnest(range(1, length(t) + 1)) AS x(i)),
+sums AS (SELECT *, sum(d) OVER w AS s FROM chars WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i)),
+low AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY conv_id, turn ORDER BY i)) AS depth FROM sums),
+seen AS (SELECT conv_id, turn, string_agg(CASE WHEN depth - CASE c WHEN '(' THEN 1 ELSE 0 END > 0 THEN '_' ELSE c END, '' ORDER BY i) AS m FROM low GROUP BY ALL),
+cut AS (SELECT f.*, length(regexp_extract(coalesce(m, ''), '(?i)^(.{27,}?[^ ,–—|-])[ ,–—|-]*?(?:,| ?\\|| ?\\(| [-–—] | with | for )', 1)) AS k,
+  substr(t, 1, 63) AS front FROM full_title f LEFT JOIN seen USING (conv_id, turn))
+SELECT conv_id, turn, CASE WHEN length(t) <= 64 THEN t WHEN k BETWEEN 1 AND 64 THEN t[:k]
+  ELSE regexp_replace(coalesce(nullif(regexp_extract(front, '^(.{29,}) [^ ]*$', 1), ''), front), '[ ,–—|-]+$', '') || '…' END AS short_label FROM cut"""

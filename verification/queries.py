@@ -13,7 +13,7 @@ from themeloom.corpora import VOCABULARY, document_reviews, document_rows, sale_
 from themeloom.functions.category import category_path, leaf_category, top_category
 from themeloom.functions.dates import short_date
 from themeloom.functions.text import attribution, label_key, lower_first
-from themeloom.model import BatchLimits, DateWindow, LabelLimits, PRODUCT_RECORD, REVIEW, Sizing
+from themeloom.model import DateWindow, LabelLimits, PRODUCT_RECORD, REVIEW, Sizing
 from themeloom.operators import evaluate, ingest, labels, promotions, scopes, sizing, tag_findings, tags, themes
 from themeloom.plans import briefs, report
 from themeloom.sources import files, fixtures
@@ -24,7 +24,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 WINDOW = DateWindow(date(2026, 2, 1), date(2026, 4, 30))
 TWO_LEVELS = LabelLimits(max_labels=8)
-SMALL_BATCHES = BatchLimits(max_rows=12, max_bytes=16 * 1024, slice_rows=40)
 
 
 def query(fn: Query) -> Query:
@@ -216,7 +215,7 @@ def themes_record_findings(spark: SparkSession, sf: str) -> DataFrame:
 def promotions_by_scope(spark: SparkSession, sf: str) -> DataFrame:
     sales = sale_rows(spark, sf)
     return promotions.promotions(sales, ingest.product_dimension(sales)).withColumn(
-        "promotions", F.array_join("promotions", ", ")).drop("label_count")
+        "promotions", F.array_join("promotions", ", "))
 
 
 @query
@@ -261,7 +260,7 @@ def _entries(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _valid(spark: SparkSession, sf: str) -> DataFrame:
-    return tags.validate(_entries(spark, sf)[1], document_reviews(spark, sf)[0])
+    return tags.validate(_entries(spark, sf)[1], document_reviews(spark, sf)[0], inputs.asked(spark, sf))
 
 
 @query
@@ -276,7 +275,7 @@ def tags_valid(spark: SparkSession, sf: str) -> DataFrame:
 
 def _outcomes(spark: SparkSession, sf: str) -> DataFrame:
     parsed, found = _entries(spark, sf)
-    return tags.outcomes(parsed, found, tags.validate(found, document_reviews(spark, sf)[0]))
+    return tags.outcomes(parsed, found, _valid(spark, sf))
 
 
 @query
@@ -459,7 +458,7 @@ def _batches(spark: SparkSession, sf: str) -> DataFrame:
     reviews, products = document_reviews(spark, sf)
     sized = reviews.select("review_id", "product_id", "review_date", "row_pos",
                            F.octet_length("text").cast("long").alias("text_bytes"))
-    return sizing.bounded_batches(scopes.expand_scopes(sized, products).drop("product_id"), SMALL_BATCHES)
+    return sizing.bounded_batches(scopes.expand_scopes(sized, products).drop("product_id"), slice_rows=40)
 
 
 @query
@@ -470,7 +469,7 @@ def sizing_batches(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def sizing_estimates(spark: SparkSession, sf: str) -> DataFrame:
     sizes = sizing.text_sizes(*document_reviews(spark, sf))
-    made = sizing.run_estimates(sizes, sizing.batch_counts(_batches(spark, sf)), Sizing(batches=SMALL_BATCHES))
+    made = sizing.run_estimates(sizes, sizing.batch_counts(_batches(spark, sf)), Sizing())
     return made.withColumns({c: F.round(c, 8) for c in ("tagging_usd", "label_usd", "retry_usd", "total_usd",
                                                         "tokens_per_row")})
 
