@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from themeloom.corpora import VOCABULARY
-from themeloom.model import LabelError, LabelLimits, PRODUCT_RECORD, REVIEW, TagError
+from themeloom.model import LabelLimits, PRODUCT_RECORD, REVIEW, TagError
 from themeloom.operators import labels, tag_findings, tags
 
 SCOPE = ("category", "C")
@@ -61,13 +61,20 @@ def test_entry_checks(spark, reviews):
     assert (kept.theme, kept.evidence, kept.copies) == ("Light  Output", "good", 2)
 
 
-def test_gates_raise(spark, reviews):
+def test_a_failing_response_takes_only_its_own_tags(spark, reviews):
     twice = json.dumps([tag("r1", "a"), tag("r1", "A")])
-    assert tags.accept_tags(raw(spark, twice), reviews).count() == 1
-    with pytest.raises(TagError, match="not_strict"):
-        tags.accept_tags(raw(spark, twice), reviews, strict=True)
-    with pytest.raises(TagError, match="unusable"):
-        tags.accept_tags(raw(spark, twice, "oops"), reviews)
+    accepted, refused = tags.accept_tags(raw(spark, twice, "oops"), reviews)
+    assert [r.batch_id for r in accepted.collect()] == [0]
+    assert [(r.batch_id, r.verdict) for r in refused.collect()] == [(1, "unusable")]
+    accepted, refused = tags.accept_tags(raw(spark, twice), reviews, strict=True)
+    assert accepted.isEmpty() and refused.first().verdict == "not_strict"
+
+
+def test_tags_of_other_batches_are_rejected(spark, reviews):
+    payload = json.dumps([tag("r1", "a"), tag("r2", "b")])
+    asked = spark.createDataFrame([(0, "r1"), (1, "r2")], "batch_id long, review_id string")
+    accepted, _ = tags.accept_tags(raw(spark, payload), reviews, batches=asked)
+    assert [r.review_id for r in accepted.collect()] == ["r1"]
 
 
 def test_tagger_sees_checked_text_only(spark, reviews):
@@ -174,7 +181,8 @@ def test_three_levels(spark):
     limits = LabelLimits(max_labels=4)
     names = [f"l{i:02}" for i in range(12)]
     found = label_table(spark, names).unionByName(label_table(spark, ["only"], ("product", "p")))
-    made = labels.reconcile(found, halves, limits)
+    made, problems = labels.reconcile(found, halves, limits)
+    assert problems.isEmpty()
     assert {r.level for r in made.collect()} == {0, 1, 2}
     assert labels.level_problems(made, limits).isEmpty()
     composed = labels.compose_levels(found, made, limits)
@@ -186,13 +194,22 @@ def test_three_levels(spark):
 
 def test_hierarchies_that_cannot_finish(spark):
     limits = LabelLimits(max_labels=4)
-    with pytest.raises(LabelError, match="merged nothing"):
-        labels.reconcile(label_table(spark, [f"l{i}" for i in range(6)]), alone, limits)
-    with pytest.raises(LabelError, match="within 3 levels"):
-        labels.reconcile(label_table(spark, [f"l{i:02}" for i in range(40)]), halves, limits)
-    with pytest.raises(LabelError, match="grouping"):
-        labels.reconcile(label_table(spark, ["a", "b", "c"]), lambda c: halves(c).withColumn(
-            "groups", F.slice("groups", 1, 1)), limits)
+    table = label_table(spark, [f"l{i:02}" for i in range(40)], ("category", "deep")).unionByName(
+        label_table(spark, [f"l{i}" for i in range(6)], ("category", "stuck"))).unionByName(
+        label_table(spark, ["a", "b", "c"], ("category", "spoiled"))).unionByName(
+        label_table(spark, ["a", "x" * 121], ("category", "long"))).unionByName(
+        label_table(spark, ["a", "b"], ("category", "good")))
+
+    def group(chunks):
+        mine = chunks.filter("scope_key <> 'stuck'")
+        cut = F.when(F.col("scope_key") == "spoiled", F.slice("groups", 1, 1)).otherwise(F.col("groups"))
+        return halves(mine).withColumn("groups", cut).unionByName(alone(chunks.filter("scope_key = 'stuck'")))
+
+    made, problems = labels.reconcile(table, group, limits)
+    assert {r.scope_key: r.problem for r in problems.collect()} == {
+        "deep": "not done within 3 levels", "stuck": "level 0: merged nothing", "spoiled": "level 0 grouping: not_covered",
+        "long": "level 0 labels: too_long"}
+    assert {(r.scope_key, r.label, r.representative) for r in made.collect()} == {("good", "a", "a"), ("good", "b", "a")}
 
 
 def level_map(spark, *rows):
@@ -204,8 +221,7 @@ def test_a_broken_level_is_noticed(spark):
     found = label_table(spark, ["a", "b"])
     composed = labels.compose_levels(found, level_map(spark, (0, "a", "a"), (0, "b", "b"), (1, "a", "b")))
     assert {r.label: r.canonical for r in composed.collect()} == {"a": "b", "b": None}
-    with pytest.raises(LabelError):
-        labels.require_composed(composed)
+    assert labels.composition_problems(composed).first().problem == "a level does not map every label"
     deep = level_map(spark, *[(0, str(i), str(i)) for i in range(3)], *[(2, str(i), "0") for i in range(3)])
     made = {r.problem for r in labels.level_problems(deep, LabelLimits(max_labels=2)).collect()}
     assert made == {"merged_nothing", "too_many_levels"}
@@ -246,5 +262,5 @@ def test_merged_labels_count_a_review_once(spark):
 def test_invented_labels_are_refused(spark):
     tagged = scoped(spark, ("r1", "Light", "praise", "b"))
     found = labels.distinct_labels(tagged)
-    with pytest.raises(LabelError, match="never offered"):
-        labels.canonical_tags(tagged, labels.compose_levels(found, level_map(spark, (0, "Light", "Radiance"))))
+    composed = labels.compose_levels(found, level_map(spark, (0, "Light", "Radiance")))
+    assert labels.composition_problems(composed).first().problem == "a canonical label was never offered"

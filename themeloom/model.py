@@ -20,10 +20,6 @@ class TagError(ValueError):
     """Tag data that fails a gate."""
 
 
-class LabelError(ValueError):
-    """A label mapping that is incomplete or not closed."""
-
-
 @dataclass(frozen=True)
 class Unit:
     """What one analysed row is, and how much support a finding needs."""

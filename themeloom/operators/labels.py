@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.functions.text import blank_to_null, label_key
-from themeloom.model import LabelError, LabelLimits
-from themeloom.storage import require_none, settle, with_position
+from themeloom.model import LabelLimits
+from themeloom.storage import settle, with_position
 
 SCOPE = ["scope_kind", "scope_key"]
 TAG_ORDER = ["review_date", "row_pos", "entry_pos"]
@@ -118,41 +118,52 @@ def apply_grouping(chunks: DataFrame, groups: DataFrame) -> DataFrame:
 Grouper = Callable[[DataFrame], DataFrame]
 
 
-def reconcile(labels: DataFrame, group: Grouper, limits: LabelLimits = LabelLimits()) -> DataFrame:
-    """Label map (scope, level, label, representative) of every scope.
+def _scopes_of(problems: DataFrame, stage: str) -> DataFrame:
+    """One reason per scope; the first in name order where there are several."""
+    return problems.groupBy(*SCOPE).agg(F.concat(F.lit(stage + ": "), F.min("problem")).alias("problem"))
 
-    ``group`` gets the chunks of one level and returns (scope, chunk, groups). A
-    scope is done once its labels fit one request; one with a single label needs
-    none. A scope that merges nothing while it still needs several requests, or is
-    not done after ``max_levels``, is an error.
+
+def reconcile(labels: DataFrame, group: Grouper, limits: LabelLimits = LabelLimits()) -> tuple[DataFrame, DataFrame]:
+    """Label map (scope, level, label, representative), and (scope, problem) of those that have none.
+
+    ``group`` gets the chunks of one level and returns (scope, chunk, groups). A scope is done
+    once its labels fit one request; one with a single label needs none. A scope fails if its
+    labels or its grouping break a rule, if it merges nothing while it still needs several
+    requests, or if it is not done after ``max_levels``. It then leaves the next level, and no
+    other scope notices.
     """
     counts = labels.groupBy(*SCOPE).agg(F.count("*").alias("_n"))
     trivial = labels.join(counts.filter("_n <= 1").drop("_n"), SCOPE, "left_semi").select(
         *SCOPE, F.lit(0).alias("level"), "label", F.col("label").alias("representative"))
     current = labels.join(counts.filter("_n > 1").drop("_n"), SCOPE, "left_semi").select(
         *SCOPE, "label", "label_pos")
-    maps = [trivial]
+    maps, failed = [trivial], []
     for level in range(limits.max_levels):
         chunks = settle(chunk_labels(current, limits), "chunks")
-        require_none(label_problems(chunks, limits), LabelError, f"level {level} labels")
-        groups = settle(group(chunks), "groups")
-        require_none(grouping_problems(groups, chunks), LabelError, f"level {level} grouping")
-        applied = settle(apply_grouping(chunks, groups), "label_map")
+        refused = settle(_scopes_of(label_problems(chunks, limits), f"level {level} labels"), "refused_labels")
+        sound = chunks.join(refused, SCOPE, "left_anti")
+        groups = settle(group(sound), "groups")
+        spoiled = settle(_scopes_of(grouping_problems(groups, sound), f"level {level} grouping"), "refused_groups")
+        applied = settle(apply_grouping(sound, groups).join(spoiled, SCOPE, "left_anti"), "label_map")
         maps.append(applied.select(*SCOPE, F.lit(level).alias("level"), "label", "representative"))
         unfinished = settle(
             applied.groupBy(*SCOPE).agg(
                 F.max("chunk").alias("_last"), F.count("*").alias("_labels"),
                 F.count_if(F.col("label") == F.col("representative")).alias("_kept"),
-            ).filter("_last > 0"), "unfinished")
-        if unfinished.isEmpty():
-            return reduce(DataFrame.unionByName, maps)
-        require_none(unfinished.filter("_kept >= _labels").select(*SCOPE), LabelError,
-                     f"level {level} merged nothing")
+            ).filter("_last > 0").select(*SCOPE, (F.col("_kept") >= F.col("_labels")).alias("_stuck")), "unfinished")
+        last = level == limits.max_levels - 1
+        reason = F.when(F.col("_stuck"), f"level {level}: merged nothing").otherwise(
+            f"not done within {limits.max_levels} levels")
+        halted = unfinished.filter(F.col("_stuck") | F.lit(last)).select(*SCOPE, reason.alias("problem"))
+        failed += [refused, spoiled, halted]
         current = applied.filter("label = representative").join(
-            unfinished.select(*SCOPE), SCOPE, "left_semi").select(
+            unfinished.filter("NOT _stuck"), SCOPE, "left_semi").select(
             *SCOPE, "label",
             (F.col("chunk").cast("long") * limits.max_labels + F.col("group_no")).alias("label_pos"))
-    raise LabelError(f"labels did not fit one request within {limits.max_levels} levels")
+        if last or current.isEmpty():
+            break
+    problems = settle(reduce(DataFrame.unionByName, failed), "label_problems")
+    return reduce(DataFrame.unionByName, maps).join(problems, SCOPE, "left_anti"), problems
 
 
 def level_problems(label_map: DataFrame, limits: LabelLimits = LabelLimits()) -> DataFrame:
@@ -185,9 +196,13 @@ def compose_levels(labels: DataFrame, label_map: DataFrame, limits: LabelLimits
     return walked.select(*labels.columns, "canonical")
 
 
-def require_composed(composed: DataFrame) -> None:
-    require_none(composed.filter("canonical is null").select(*SCOPE), LabelError,
-                 "a level does not map every label")
+def composition_problems(composed: DataFrame) -> DataFrame:
+    """Scopes with a level that does not map every label, or with a final label nobody offered."""
+    offered = composed.select(*SCOPE, F.col("label").alias("canonical")).distinct()
+    lost = composed.filter("canonical is null").select(*SCOPE, F.lit("a level does not map every label").alias("problem"))
+    invented = composed.filter("canonical is not null").join(offered, [*SCOPE, "canonical"], "left_anti").select(
+        *SCOPE, F.lit("a canonical label was never offered").alias("problem"))
+    return lost.unionByName(invented).groupBy(*SCOPE).agg(F.min("problem").alias("problem"))
 
 
 def canonical_labels(composed: DataFrame) -> DataFrame:
@@ -203,10 +218,6 @@ def canonical_tags(tags: DataFrame, composed: DataFrame) -> DataFrame:
     cannot take one for the other. The map is joined, never collected; its true
     size, once it is written, decides how.
     """
-    offered = composed.select(*SCOPE, F.col("label").alias("canonical")).distinct()
-    closed = composed.filter("canonical is not null").join(
-        offered, [*SCOPE, "canonical"], "left_anti")
-    require_none(closed.select(*SCOPE), LabelError, "a canonical label was never offered")
     keyed = composed.select(*SCOPE, "theme_key", "canonical")
     named = tags.join(keyed, [*SCOPE, "theme_key"], "left")
     return named.select(

@@ -125,20 +125,18 @@ def outcomes(responses: DataFrame, tag_entries: DataFrame, valid: DataFrame) ->
 
 def accept_tags(
     raw: DataFrame, reviews: DataFrame, strict: bool = False, batches: DataFrame | None = None
-) -> DataFrame:
-    """Valid tags of all responses, or an error if a response failed its gate.
+) -> tuple[DataFrame, DataFrame]:
+    """Valid tags of the responses that pass their gate, and the outcomes of those that do not.
 
     Tags are written out once: counts and findings then agree even if the source is
-    not repeatable.
+    not repeatable. A response that fails takes only its own tags with it.
     """
     responses = parse_responses(raw)
     found = entries(responses)
     valid = settle(validate(found, reviews, batches), "valid_tags")
     failing = ["unusable", "all_rejected"] + (["not_strict"] if strict else [])
-    require_none(
-        outcomes(responses, found, valid).filter(F.col("verdict").isin(failing)), TagError,
-        "responses failed")
-    return valid
+    refused = settle(outcomes(responses, found, valid).filter(F.col("verdict").isin(failing)), "refused_responses")
+    return valid.join(refused, BATCH, "left_anti"), refused
 
 
 def input_problems(reviews: DataFrame) -> DataFrame:

@@ -128,13 +128,19 @@ def scoped_tags(
 
 def reconciled_tags(
     tags: DataFrame, group: lab.Grouper, limits: LabelLimits = LabelLimits()
-) -> DataFrame:
-    """Scoped tags under their reconciled labels; labels are merged before grouping."""
-    offered = lab.distinct_labels(tags)
-    label_map = lab.reconcile(offered, group, limits)
-    composed = settle(lab.compose_levels(offered, label_map, limits), "composed")
-    lab.require_composed(composed)
-    return lab.canonical_tags(tags, composed)
+) -> tuple[DataFrame, DataFrame]:
+    """Scoped tags under their reconciled labels, and (scope, problem) of scopes left out of them.
+
+    Labels are merged before grouping. A scope whose labels cannot be reconciled has no tags in
+    the result and its reason in the second table; the others are complete.
+    """
+    offered = settle(lab.distinct_labels(tags), "labels")
+    label_map, failed = lab.reconcile(offered, group, limits)
+    composed = settle(
+        lab.compose_levels(offered.join(failed, SCOPE, "left_anti"), label_map, limits), "composed")
+    problems = settle(failed.unionByName(lab.composition_problems(composed)), "reconciling_problems")
+    sound = composed.join(problems, SCOPE, "left_anti")
+    return lab.canonical_tags(tags.join(problems, SCOPE, "left_anti"), sound), problems
 
 
 def tag_briefs(
@@ -143,12 +149,14 @@ def tag_briefs(
 ) -> DataFrame:
     """The tag engine for every product and category in one job.
 
-    Scoped tags are written once: labels and findings both read them, and grounding
+    ``problem`` says why a scope has no findings although it has tags; NULL elsewhere. Scoped tags are written once: labels and findings both read them, and grounding
     them in their texts is the dear part.
     """
     products = settle(products, "products")
     totals = settle(themes.scope_totals(in_window(reviews, window), products), "totals")
     scoped = settle(scoped_tags(tags, reviews, products, window), "scoped_tags")
-    canonical = settle(reconciled_tags(scoped, group, limits), "canonical_tags")
+    named, problems = reconciled_tags(scoped, group, limits)
+    canonical = settle(named, "canonical_tags")
     found = settle(tf.with_authors(tf.tag_findings(canonical, totals, unit), reviews), "credited")
-    return assemble(scope_list(products), totals, found, tf.derived_advice(found, unit), None, unit, window)
+    made = assemble(scope_list(products), totals, found, tf.derived_advice(found, unit), None, unit, window)
+    return made.join(problems, SCOPE, "left")

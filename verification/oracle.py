@@ -337,6 +337,13 @@ ORACLE["labels_grouping_problems"] = _with(*TAGS, LC) + """SELECT scope_kind, sc
   FROM (SELECT scope_kind, scope_key, chunk, ascii(right(scope_key, 1)) % 5 AS kind, count(DISTINCT word) AS words, count(*) AS labels
     FROM lc GROUP BY ALL) WHERE kind < 4"""
 ORACLE["labels_map"] = _with(*TAGS, LC, LM) + "SELECT * FROM lm"
+ORACLE["labels_failed_scopes"] = _with(*TAGS) + """, sz AS (SELECT scope_kind, scope_key, count(*) AS offered,
+  count(DISTINCT split_part(lower(label), ' ', 1)) AS words,
+  CASE WHEN scope_kind = 'product' THEN ascii(right(scope_key, 1)) % 5 ELSE 4 END AS kind FROM ls GROUP BY scope_kind, scope_key)
+SELECT scope_kind, scope_key, offered, CASE WHEN offered > 1 AND kind IN (0, 1) THEN 0 ELSE offered END AS mapped,
+  CASE WHEN offered > 1 AND kind = 0 THEN 'level 0 labels: too_long'
+    WHEN offered > 1 AND kind = 1 THEN 'level 0 grouping: ' || CASE WHEN words + 1 > offered THEN 'more_groups_than_labels' ELSE 'out_of_range' END END AS problem
+FROM sz"""
 ORACLE["labels_composed"] = _with(*TAGS, LC, LM) + """SELECT m0.scope_kind, m0.scope_key, m0.label, coalesce(m1.rep, m0.rep) AS canonical
   FROM m0 LEFT JOIN m1 ON m0.scope_kind = m1.scope_kind AND m0.scope_key = m1.scope_key AND m0.rep = m1.label"""
 ORACLE["labels_level_problems"] = _with(*TAGS) + """SELECT *, CASE WHEN representatives >= labels THEN 'merged_nothing' ELSE 'too_many_levels' END AS problem FROM (

@@ -366,13 +366,33 @@ def labels_grouping_problems(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def labels_map(spark: SparkSession, sf: str) -> DataFrame:
     found = settle(labels.distinct_labels(_scoped(spark, sf)), "labels")
-    return labels.reconcile(found, inputs.group_by_first_word, TWO_LEVELS)
+    return labels.reconcile(found, inputs.group_by_first_word, TWO_LEVELS)[0]
+
+
+@query
+def labels_failed_scopes(spark: SparkSession, sf: str) -> DataFrame:
+    """Some products offer one label of 130 characters, others are grouped wrongly; the rest are complete."""
+    found = labels.distinct_labels(_scoped(spark, sf))
+    kind = F.when(F.col("scope_kind") == "product", F.pmod(F.ascii(F.right("scope_key", F.lit(1))), F.lit(5))).otherwise(4)
+    long = (kind == 0) & (F.col("label_pos") == 0)
+    offered = settle(found.withColumn("label", F.when(long, F.rpad("label", 130, "!")).otherwise(F.col("label"))), "labels")
+
+    def group(chunks: DataFrame) -> DataFrame:
+        return inputs.group_by_first_word(chunks).withColumn(
+            "groups", F.when(kind == 1, F.concat("groups", F.array(F.array(F.lit(99))))).otherwise(F.col("groups")))
+
+    mapped, problems = labels.reconcile(offered, group, LabelLimits(max_labels=100))
+    sizes = offered.groupBy("scope_kind", "scope_key").agg(F.count("*").alias("offered"))
+    done = mapped.groupBy("scope_kind", "scope_key").agg(F.count("*").alias("mapped"))
+    key = ["scope_kind", "scope_key"]
+    return sizes.join(done, key, "left").join(problems, key, "left").select(
+        *key, "offered", F.coalesce("mapped", F.lit(0).cast("long")).alias("mapped"), "problem")
 
 
 @query
 def labels_composed(spark: SparkSession, sf: str) -> DataFrame:
     found = settle(labels.distinct_labels(_scoped(spark, sf)), "labels")
-    mapped = settle(labels.reconcile(found, inputs.group_by_first_word, TWO_LEVELS), "map")
+    mapped = settle(labels.reconcile(found, inputs.group_by_first_word, TWO_LEVELS)[0], "map")
     return labels.compose_levels(found, mapped, TWO_LEVELS).select(
         "scope_kind", "scope_key", "label", "canonical")
 
@@ -389,13 +409,13 @@ def labels_level_problems(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def labels_canonical(spark: SparkSession, sf: str) -> DataFrame:
     found = settle(labels.distinct_labels(_scoped(spark, sf)), "labels")
-    mapped = settle(labels.reconcile(found, inputs.group_by_first_word), "map")
+    mapped = settle(labels.reconcile(found, inputs.group_by_first_word)[0], "map")
     return labels.canonical_labels(labels.compose_levels(found, mapped))
 
 
 def _canonical(spark: SparkSession, sf: str) -> DataFrame:
     scoped = settle(_scoped(spark, sf), "scoped_tags")
-    return briefs.reconciled_tags(scoped, inputs.group_by_first_word)
+    return briefs.reconciled_tags(scoped, inputs.group_by_first_word)[0]
 
 
 @query
