@@ -79,13 +79,12 @@ def test_tags_of_other_batches_are_rejected(spark, reviews):
 
 def test_tagger_sees_checked_text_only(spark, reviews):
     assert tags.tagger_input(reviews).columns == ["review_id", "text"]
-    tagger = tags.keyword_tagger(VOCABULARY, ["good"], ["dim"])
     text = spark.createDataFrame([("a", "Good in May. Dim at night. From here")], "review_id string, text string")
-    made = sorted(map(tuple, tags.tag_rows(text, tagger).collect()))
+    made = sorted(map(tuple, tags.keyword_tags(text, VOCABULARY, ["good"], ["dim"]).collect()))
     assert made == [("a", "origin", "neutral", "From here"), ("a", "place", "fault", "Dim at night."),
                     ("a", "place", "praise", "Good in May.")]
     with pytest.raises(TagError, match="repeated_id"):
-        tags.tag_rows(text.unionByName(text), tagger)
+        tags.keyword_tags(text.unionByName(text), VOCABULARY, ["good"], ["dim"])
     blank = spark.createDataFrame([(" ", "x"), ("b", " ")], "review_id string, text string")
     assert {r.problem for r in tags.input_problems(blank).collect()} == {"blank_id", "blank_text"}
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from themeloom.functions.text import SPACE_CLASS, blank_to_null, label_key, trimmed
+from themeloom.functions.text import SPACE_CLASS, blank_to_null, keyword_pattern, label_key, sentences, trimmed
 from themeloom.model import TagError, Theme
 from themeloom.storage import require_none, settle, with_position
 
@@ -177,28 +176,18 @@ def tag_rows(reviews: DataFrame, tagger: Tagger) -> DataFrame:
     return settle(tagger_input(reviews).mapInPandas(run, TAG_SCHEMA), "tags")
 
 
-def keyword_tagger(
-    vocabulary: Sequence[Theme], praise_words: Sequence[str], fault_words: Sequence[str]
-) -> Tagger:
-    """A repeatable tagger: a theme's sentence, praised or faulted by the words in it."""
-    bounded = lambda words: re.compile(
-        r"(?<![a-z0-9])(?:" + "|".join(map(re.escape, words)) + r")(?![a-z0-9])", re.I)
-    themes = [(t.label, bounded(t.keywords)) for t in vocabulary]
-    good, bad = bounded(praise_words), bounded(fault_words)
-
-    def tag(frame: pd.DataFrame) -> pd.DataFrame:
-        found = [
-            (row.review_id, label, mood, sentence)
-            for row in frame.itertuples()
-            for sentence in re.split(r"(?<=[.!?])\s+", row.text)
-            for label, pattern in themes
-            if pattern.search(sentence)
-            for mood in ["praise" if good.search(sentence) else
-                         "fault" if bad.search(sentence) else "neutral"]
-        ]
-        return pd.DataFrame(found, columns=["review_id", "theme", "sentiment", "evidence"])
-
-    return tag
+def keyword_tags(
+    reviews: DataFrame, vocabulary: Sequence[Theme], praise_words: Sequence[str], fault_words: Sequence[str]
+) -> DataFrame:
+    """Repeatable tags without an outside tagger: a theme's sentence, praised or faulted by the words in it."""
+    require_none(input_problems(reviews), TagError, "rows cannot be tagged")
+    said = tagger_input(reviews).select("review_id", F.explode_outer(sentences(F.col("text"))).alias("evidence"))
+    mood = (F.when(F.col("evidence").rlike(keyword_pattern(*praise_words)), "praise")
+            .when(F.col("evidence").rlike(keyword_pattern(*fault_words)), "fault").otherwise("neutral"))
+    named = F.array(*[F.when(F.col("evidence").rlike(keyword_pattern(*t.keywords)), t.label) for t in vocabulary])
+    # The outer form keeps the patterns out of a pushed-down filter, where they would run again.
+    found = said.select("review_id", F.explode_outer(F.array_compact(named)).alias("theme"), "evidence").filter("theme is not null")
+    return settle(found.select("review_id", "theme", mood.alias("sentiment"), "evidence"), "tags")
 
 
 def coverage_problems(selected: DataFrame, batches: DataFrame) -> DataFrame:

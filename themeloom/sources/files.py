@@ -34,15 +34,16 @@ def read_table(df: DataFrame, order: str) -> DataFrame:
     return df.withColumnRenamed(order, "row_pos")
 
 
-def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
     """Text cells of one or many CSV files, with trimmed header names and ``row_pos``.
 
     ``row_pos`` counts data rows from 1, file after file in path order. A row's
     place inside its file split comes from the scan itself; only one small row per
-    split is aggregated to know where each split starts.
+    split is aggregated to know where each split starts. A file whose cells hold no line
+    breaks can be split among tasks: ``multi_line=False``.
     """
     raw = (
-        spark.read.option("header", True).option("multiLine", True)
+        spark.read.option("header", True).option("multiLine", multi_line)
         .option("quote", '"').option("escape", '"').option("inferSchema", False)
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
         .csv(path)
@@ -191,8 +192,7 @@ def prune_export(raw: DataFrame) -> DataFrame:
 
 def write_pruned_export(spark: SparkSession, source: str, target: str, form: str = "parquet") -> None:
     """Store the pruned copy; Parquet scales, CSV keeps the original form."""
-    pruned = prune_export(spark.read.option("header", True).option("multiLine", True)
-                          .option("escape", '"').csv(source))
+    pruned = prune_export(read_csv(spark, source))
     writer = pruned.write.mode("errorifexists")
     if form == "csv":
         writer.option("header", True).option("escape", '"').csv(target)

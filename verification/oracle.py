@@ -100,6 +100,7 @@ CLS = """cls AS (SELECT *, CASE WHEN review_id = '' THEN own_reason WHEN row_pos
 _INGEST = _with(RAW, OWN, CLS)
 ORACLE["ingest_rows"] = _INGEST + """SELECT row_pos, review_id, product_id, product_name, category, rating, review_date, title, verified,
   country, promotion, discount_percent, reject_reason, length(text) AS text_length FROM cls"""
+ORACLE["sources_csv_rows"] = _INGEST + "SELECT row_pos, review_id, product_id, rating, review_date, reject_reason, md5(text) AS text_md5 FROM cls"
 # The raw cell keeps its inner spacing but loses its outer whitespace.
 ORACLE["ingest_skip_reasons"] = _INGEST + """SELECT reject_reason, count(*) AS rows FROM cls
   WHERE reject_reason IS NOT NULL GROUP BY 1"""

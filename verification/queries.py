@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import date
@@ -17,7 +18,7 @@ from themeloom.model import DateWindow, LabelLimits, PRODUCT_RECORD, REVIEW, Siz
 from themeloom.operators import evaluate, ingest, labels, promotions, scopes, sizing, tag_findings, tags, themes
 from themeloom.plans import briefs, report
 from themeloom.sources import files, fixtures
-from themeloom.storage import settle, with_position
+from themeloom.storage import settle, shared_folder, with_position
 from verification import inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +43,20 @@ def ingest_rows(spark: SparkSession, sf: str) -> DataFrame:
         F.char_length("text").cast("long").alias("text_length"))
 
 
+@query
+def sources_csv_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The same rows written as CSV files in order, then read back by header; files count rows from 1."""
+    raw = inputs.raw_reviews(spark, sf).select(
+        "row_pos", "review_id", "product_id", "product_name", "category", F.col("stars_value").alias("rating"),
+        "review_text", "review_date", "review_title", "verified_purchase", "country", "promotion", "discount_percent")
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    raw.repartitionByRange(4, "row_pos").sortWithinPartitions("row_pos").drop("row_pos").write.options(
+        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return ingest.classify(files.read_feedback(spark, path)).select(
+        (F.col("row_pos") - 1).alias("row_pos"), "review_id", "product_id", "rating", "review_date", "reject_reason",
+        F.md5("text").alias("text_md5"))
+
+
 @query
 def ingest_skip_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.skip_reasons(ingest.classify(inputs.raw_reviews(spark, sf)))
@@ -291,8 +306,7 @@ def tags_input_problems(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def tags_by_keyword(spark: SparkSession, sf: str) -> DataFrame:
-    tagger = tags.keyword_tagger(VOCABULARY, ["the", "le", "el", "der"], ["of", "les", "los", "das"])
-    found = tags.tag_rows(document_rows(spark, sf), tagger)
+    found = tags.keyword_tags(document_rows(spark, sf), VOCABULARY, ["the", "le", "el", "der"], ["of", "les", "los", "das"])
     return found.groupBy("review_id", "theme", "sentiment").agg(
         F.count("*").alias("tags"), F.sum(F.char_length("evidence")).alias("evidence_chars"))
 
