@@ -72,11 +72,11 @@ def test_summaries(spark):
     single = [("a", None, 5, "usb", None, None)]
     assert one(single, PRODUCT_RECORD) == (
         "One product record of Alpha, rated 5.0★: USB port is praised most. "
-        "No complaints have enough support in these product records.")
+        "No complaints have enough support among these product records.")
     assert one(single) == "One review of Alpha, rated 5.0★: no theme has enough support; the reviews differ."
     faults = [("a", day(1), 1, "fit", None, None)] * 2
     assert one(faults) == ("2 reviews of Alpha, 1.0★ on average: fit is faulted most (2 of 2). "
-                           "Too little praise has support in this window.")
+                           "Too little praise has support between these dates.")
     split = [("a", day(1), s, "fit", None, None) for s in (1, 1, 5, 5)]
     assert one(split).endswith("opinions differ most on fit (2 for, 2 against).")
     assert one(single, window=DateWindow(day(0), day(9))) == "No reviews of Alpha were selected."
@@ -168,7 +168,7 @@ def test_report_shows_a_quote_once(spark):
     assert "Window: Jan 1, 2026 to Jan 10, 2026" in text and "- Seen: x" in text
     empty = made.filter("scope_key = 'z'").first().report
     assert "No strength had enough support." in empty and "## Promotions" not in empty
-    assert "cannot be seen" in report.no_action_reason(PRODUCT_RECORD, report.RATING)
+    assert "hides single complaints" in report.no_action_reason(PRODUCT_RECORD, report.RATING)
     assert "recurring issues" in report.no_action_reason(REVIEW, report.RATING)
 
 

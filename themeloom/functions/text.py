@@ -74,6 +74,7 @@ def vocabulary_words(text: Column, words: set[str]) -> Column:
 
 def sentences(text: Column) -> Column:
     """Pieces of a text, each keeping its closing punctuation."""
+    # Fixed value: where a piece ends.
     return F.split(text, "(?<=[.!?])" + SPACE_CLASS + "+")
 
 
@@ -86,6 +87,7 @@ def first_sentence_with(pieces: Column, text: Column, keywords: list[str]) -> Co
 
 def attribution(author: Column, verified: Column, country: Column) -> Column:
     """Who a quote is credited to."""
+    # The words of a credit and the mark between them.
     buyer = F.when(verified, "Verified buyer").otherwise("Buyer")
     with_country = F.when(
         F.coalesce(country, F.lit("")) != "", F.concat(buyer, F.lit(" · "), country)

@@ -108,7 +108,7 @@ def rejected(classified: DataFrame) -> DataFrame:
 
 def require_accepted(classified: DataFrame) -> None:
     if classified.filter("reject_reason is null").isEmpty():
-        raise InputError("no valid review row was found; check the date and rating columns")
+        raise InputError("every row was rejected; count the reject reasons to see why")
 
 
 def product_dimension(classified: DataFrame) -> DataFrame:

@@ -154,8 +154,8 @@ def _ceil(value: Column) -> Column:
 def run_estimates(sizes: DataFrame, filled: DataFrame, sizing: Sizing = Sizing()) -> DataFrame:
     """Cost ceiling and verdict per scope.
 
-    Label reconciliation is projected for at most three levels; each level pays for
-    its own labels. The levels are columns, so the whole estimate is arithmetic.
+    Reconciling is priced level by level, down to the deepest one allowed, each level
+    as columns of its own.
     """
     cost, ceiling, most = sizing.cost, sizing.ceiling, sizing.labels.max_labels
     zero = F.lit(0).cast("long")

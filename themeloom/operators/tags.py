@@ -21,6 +21,7 @@ BATCH = ["run_id", "batch_id"]
 def without_fence(payload: Column) -> Column:
     """The payload without one code fence around it."""
     plain = trimmed(payload)
+    # Fixed value: what a fence looks like.
     fence = rf"^```(?:json)?{SPACE_CLASS}*\n([\s\S]*?)\n```$"
     return trimmed(F.when(plain.rlike(fence), F.regexp_extract(plain, fence, 1)).otherwise(plain))
 

@@ -25,12 +25,12 @@ def unit_noun(count: Column, unit: Unit) -> Column:
 
 
 def theme_phrase(noun: str, unit: Unit) -> str:
-    """A product record bundles many customers, so nothing in it is "recurring"."""
+    """Only rows of single customers can make a theme recur."""
     return noun if unit.product_level else f"recurring {noun}"
 
 
 def scope_phrase(dated: Column, unit: Unit) -> Column:
-    return F.when(dated, "in this window").otherwise(f"in these {unit.many}")
+    return F.when(dated, "between these dates").otherwise(f"among these {unit.many}")
 
 
 def summary(unit: Unit) -> Column:

@@ -219,8 +219,8 @@ bs AS (SELECT *, CASE WHEN n = 1 THEN 'One review of ' || subject || ', rated '
 bz AS (SELECT *, CASE WHEN n = 0 THEN 'No reviews of ' || subject || ' were selected.'
   WHEN tl = bl THEN intro || 'opinions differ most on ' || {low_t} || ' (' || tm || ' for, ' || bm || ' against).'
   WHEN tl IS NOT NULL AND bl IS NOT NULL THEN intro || {low_t} || ' is praised most' || ts || '; ' || {low_b} || ' is faulted most' || bsup || '.'
-  WHEN tl IS NOT NULL THEN intro || {low_t} || ' is praised most' || ts || '. No recurring complaints have enough support in this window.'
-  WHEN bl IS NOT NULL THEN intro || {low_b} || ' is faulted most' || bsup || '. Too little praise has support in this window.'
+  WHEN tl IS NOT NULL THEN intro || {low_t} || ' is praised most' || ts || '. No recurring complaints have enough support between these dates.'
+  WHEN bl IS NOT NULL THEN intro || {low_b} || ' is faulted most' || bsup || '. Too little praise has support between these dates.'
   ELSE intro || 'no theme has enough support; the reviews differ.' END AS summary FROM bs)"""
 RULE_LISTS = LISTS.format(found="fq", advice="advice", low_t="tl", low_b="bl")
 _BRIEF = """bz.scope_kind, bz.scope_key, subject, n AS review_count, stars AS average_rating, summary,
