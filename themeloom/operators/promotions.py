@@ -9,6 +9,7 @@ from themeloom.functions.numbers import mean_to_tenth, one_decimal, round_half_u
 from themeloom.functions.text import blank_to_null
 from themeloom.model import DateWindow
 from themeloom.operators.scopes import in_scopes, in_window
+from themeloom.storage import settle
 
 # Fixed value: a smaller difference of means counts as none.
 MEANINGFUL_DELTA = 0.1
@@ -57,15 +58,16 @@ def promotions(
     distinct before they are listed, so a list holds labels, never rows, and every scope
     lists all of its labels; ``promotion_labels`` holds them as rows.
     """
-    selected = in_window(reviews, window)
-    promo = is_promoted()
-    per_product = selected.select("product_id", "rating", promo.alias("_promo")).groupBy(
-        "product_id"
-    ).agg(
-        F.count_if("_promo").alias("promo_count"),
-        F.count_if(~F.col("_promo")).alias("full_price_count"),
-        F.sum(F.when(F.col("_promo"), F.col("rating")).otherwise(0)).alias("_promo_stars"),
-        F.sum(F.when(F.col("_promo"), 0).otherwise(F.col("rating"))).alias("_full_stars"),
+    # One pass over the rows; what follows reads a row per product, label and kind of purchase.
+    cells = settle(
+        in_window(reviews, window).select(
+            "product_id", "rating", blank_to_null(F.col("promotion")).alias("promotion"), is_promoted().alias("_promo"))
+        .groupBy("product_id", "promotion", "_promo").agg(F.count("*").alias("n"), F.sum("rating").alias("stars")),
+        "promotion_cells")
+    part = lambda promo, c: F.sum(F.when(F.col("_promo") == promo, F.col(c)).otherwise(0))
+    per_product = cells.groupBy("product_id").agg(
+        part(True, "n").alias("promo_count"), part(False, "n").alias("full_price_count"),
+        part(True, "stars").alias("_promo_stars"), part(False, "stars").alias("_full_stars"),
     )
     sums = ("promo_count", "full_price_count", "_promo_stars", "_full_stars")
     merged = in_scopes(per_product, products).groupBy("scope_kind", "scope_key").agg(
@@ -84,7 +86,7 @@ def promotions(
         .withColumn("note", relation_note())
         .drop("_promo_stars", "_full_stars")
     )
-    every = promotion_labels(selected, products)
+    every = promotion_labels(cells, products)
     lists = every.groupBy("scope_kind", "scope_key").agg(
         F.array_sort(F.collect_list(F.collate("promotion", "UNICODE"))).alias("_labels"))
     labels = lists.select(
