@@ -22,10 +22,10 @@ def test_language_on_held_out_documents(spark):
 
 def test_backoff_to_shorter_ngrams():
     model = language.Model(["a", "b"], {"known": 0}, {" un": 0, "un": 1, "n": 2}, np.array([[-1.0, -2.0]]), np.array([[-1.0, -3.0], [-2.0, -5.0], [-4.0, -4.5]]))
-    assert model.score_of("known").tolist() == [-1, -2]
-    assert model.score_of("nn").tolist() == [-8, -9]  # half of its letters, counting both ends
-    assert np.allclose(model.score_of("u"), [0, 0])
-    assert model.score_of("zzz").tolist() == [0, 0]
+    # "nn" has half of its letters, counting both ends; of "u" only one of three is known.
+    made = model.scores_of(["known", "nn", "u", "known"])
+    assert made.tolist() == [[-1, -2], [-8, -9], [0, 0], [-1, -2]]
+    assert model.scores_of([]).shape == (0, 2)
 
 
 def test_no_letter_is_und(spark):

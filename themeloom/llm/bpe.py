@@ -34,7 +34,7 @@ LEAF = 256
 #: Code points of a text that one task encodes; longer texts are cut at white space.
 SEGMENT = 32_768
 #: Words and runs between white space that a worker remembers before it starts anew.
-WORD_CACHE, RUN_CACHE = 700_000, 300_000
+WORD_CACHE, RUN_CACHE = 600_000, 200_000
 
 # White space of Unicode, the word pattern and the word end of the tokenizer file.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"

@@ -32,7 +32,7 @@ EVIDENCE = 12
 #: Added to each count; an unseen word or n-gram is as frequent as this.
 SMOOTHING = 0.5
 #: Words that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 UNKNOWN = "und"
 _WORD = regex.compile(r"\p{L}+")
 
@@ -50,22 +50,32 @@ class Model:
     word_scores: np.ndarray
     gram_scores: np.ndarray
 
-    def backoff(self, word: str) -> np.ndarray:
-        """Log frequencies of an unseen word: those of its n-grams of the longest length that is known.
+    def backoff(self, word: str) -> tuple[list[int], int]:
+        """Places of an unseen word's n-grams, of the longest length that is known, and that length.
 
-        Each character is in n of them, so their sum is divided by n.
+        Each character is in n of them, so the sum of their log frequencies is divided by n.
         """
-        marked = f" {word} "
+        marked, get = f" {word} ", self.grams.get
         for n in range(min(LONGEST, len(marked)), 0, -1):
-            all_of = [marked[i:i + n] for i in range(len(marked) - n + 1)]
-            known = [self.grams[g] for g in all_of if g in self.grams]
-            if known and len(known) >= KNOWN * len(all_of):
-                return self.gram_scores[known].sum(axis=0) / n
-        return np.zeros(len(self.languages))
-
-    def score_of(self, word: str) -> np.ndarray:
-        at = self.words.get(word)
-        return self.backoff(word) if at is None else self.word_scores[at]
+            places = len(marked) - n + 1
+            known = [g for i in range(places) if (g := get(marked[i:i + n])) is not None]
+            if known and len(known) >= KNOWN * places:
+                return known, n
+        return [], 1
+
+    def scores_of(self, words: list[str]) -> np.ndarray:
+        """Log frequencies of each word in each language, zero for words of which nothing is known."""
+        out = np.zeros((len(words), len(self.languages)))
+        at = [self.words.get(w, -1) for w in words]
+        known = [i for i, k in enumerate(at) if k >= 0]
+        out[known] = self.word_scores[[at[i] for i in known]]
+        found = [(i, *self.backoff(words[i])) for i, k in enumerate(at) if k < 0]
+        found = [f for f in found if f[1]]
+        if found:
+            starts = np.cumsum([0] + [len(g) for _, g, _ in found[:-1]])
+            sums = np.add.reduceat(self.gram_scores[[g for _, gs, _ in found for g in gs]], starts)
+            out[[i for i, _, _ in found]] = sums / np.array([[n] for _, _, n in found])
+        return out
 
 
 def _scores(rows: list, languages: list[str], totals: dict[str, int]) -> tuple[dict[str, int], np.ndarray]:
@@ -134,12 +144,13 @@ class _Scorer:
         if len(self.at) > REMEMBERED:
             self.reset()
         at = self.at
-        for w in words:
-            if w not in at:
-                if len(at) == len(self.matrix):
-                    self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
-                self.matrix[len(at)] = self.model.score_of(w)
-                at[w] = len(at)
+        new = [w for w in words if w not in at]
+        if new:
+            first = len(at)
+            while first + len(new) > len(self.matrix):
+                self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
+            self.matrix[first:first + len(new)] = self.model.scores_of(new)
+            at.update(zip(new, range(first, first + len(new)), strict=True))
         return [at[w] for w in words]
 
     def predict(self, text: str) -> tuple[str, float]:
