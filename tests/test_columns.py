@@ -88,7 +88,7 @@ def test_attribution(spark):
 def test_short_labels(spark):
     long = "Northwind Braided Charging Cable (Light Blue, 2 m, with pouch) for phones and tablets of any make"
     run_on = "WORD" * 30
-    no_cut = "Tecno Spark 9, " + "longwordhere " * 8
+    no_cut = "Borealis Mini 4, " + "longwordhere " * 8
     nested = "Northwind Charger (for home (and car), with case) and more words - extra parts for anyone at all"
     made = values(spark, short_label, ["Short  title", long, run_on, None, no_cut, nested, ") stray, " + "w" * 30 + " with much more text behind it, and more"])
     assert made[0] == "Short title" and made[3] is None
