@@ -40,8 +40,11 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest ``doc_id``."""
-    groups = simhash.near_copies(docs)
+    """One document of each group of near copies, that with the smallest ``doc_id``.
+
+    Near copies share four fifths of their five-word shingles or more: see ``simhash.similar_texts``.
+    """
+    groups = simhash.similar_texts(docs)
     others = settle(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct(), "near-copies")
     return docs.join(others, F.col("doc_id") == F.col("_copy"), "left_anti").select(*COLUMNS)
 

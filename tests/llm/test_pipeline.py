@@ -1,9 +1,12 @@
 """The pipeline's stages against plain versions, each on what the stage before it kept."""
 
+import random
 import re
 
+import pytest
+
 import corpus_pipeline
-from themeloom.llm import secrets
+from themeloom.llm import secrets, simhash
 
 TINY = "/root/testdata/sf0.001"
 
@@ -46,6 +49,47 @@ def test_near_copies_leave_one(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, TINY).collect()) == [3, 4]
 
 
+def kept_by_brute_force(rows, least=0.8):
+    """Smallest ids of the components of all pairs that share ``least`` of their five-word shingles."""
+    sets = {}
+    for i, text in sorted(rows):
+        words = (text or "").lower().split()
+        sets[i] = {tuple(words[k:k + 5]) for k in range(max(1, len(words) - 4))}
+    label = {i: i for i in sets}
+    holders = {}
+    for i, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    pairs = {(a, b) for h in holders.values() for a in h for b in h if a < b}
+    for a, b in pairs:
+        if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least and label[a] != label[b]:
+            low, high = sorted((label[a], label[b]))
+            label = {i: low if x == high else x for i, x in label.items()}
+    return {i for i, x in label.items() if i == x}
+
+
+@pytest.mark.parametrize("most_chars", (simhash.COMPARED_CHARS, 9_000))
+def test_similar_texts_against_brute_force(spark, most_chars):
+    r = random.Random(11)
+    rows = [(x["doc_id"], x["text"]) for x in spark.read.parquet(f"{TINY}/documents.parquet").collect()]
+    for n in range(25):  # groups of edits, of which some pairs are just above and some just below
+        words = [f"w{r.randint(0, 3000)}" for _ in range(150)]
+        for k in range(12 if n else 60):
+            edited = list(words)
+            for _ in range(k % 6):
+                edited[r.randrange(150)] = f"v{r.randint(0, 3000)}"
+            rows.append((1_000_000 + 100 * n + k, " ".join(edited)))
+    made = simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string"), most_chars=most_chars).collect()
+    assert sorted(x["doc_id"] for x in made) == sorted(i for i, _ in rows)
+    assert {x["component_id"] for x in made} == kept_by_brute_force(rows)
+
+
+def test_near_dedup_of_a_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, TINY).collect()}
+    assert kept == kept_by_brute_force([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
 def test_empty_table(spark):
     docs = spark.read.parquet(f"{TINY}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:

@@ -12,6 +12,12 @@ fingerprints are all linked already are skipped, so a large group of near copies
 pairs nor rows in the square of its size. A key with very many fingerprints is split: its trie
 is cut some levels further down, and the pairs of nodes there that stay within the budget become
 keys of their own.
+
+``similar_texts`` finds near copies by the Jaccard similarity of their shingles instead. Texts of
+similarity 0.8 are some ten of 64 bits apart, too many for blocks without errors in one
+fingerprint, so it joins many fingerprints of each text, as more turns of the same join and with
+a wider budget. What these connect is only a candidate: links are confirmed by the exact
+similarity of the shingle sets.
 """
 
 from __future__ import annotations
@@ -39,6 +45,12 @@ PARTITION_ROWS, PAIRS = 200_000, 1 << 16
 #: Node pairs of at most so many leaf pairs are compared leaf by leaf.
 LEAVES = 64
 _HASHED = 1 << 14
+#: Of ``similar_texts``: words of a shingle, least similarity, fingerprints of a text and bits that two of them may differ in.
+SIMILAR_SHINGLE, SIMILAR, FINGERPRINTS, SIMILAR_BITS = 5, 0.8, 24, 10
+#: Errors in the levels that a large key is cut at; hardly any link has more there.
+SPLIT_BITS = 3
+#: Code points of the texts that one task compares exactly.
+COMPARED_CHARS = 1 << 20
 
 
 def fingerprint_of(text: str, shingle: int = SHINGLE) -> int:
@@ -147,7 +159,7 @@ def trie_links(keys: np.ndarray, roots: np.ndarray, bits: int, budget: int = MOS
     return linked.label
 
 
-def _join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _join(batches: Iterator[pd.DataFrame], budget: int = MOST_BITS) -> Iterator[pd.DataFrame]:
     """Links below the keys of one partition: rows sorted by key, side and the bits after the first block."""
     parts = list(batches)
     if not parts:
@@ -165,31 +177,34 @@ def _join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         np.where(own, 0, np.bitwise_count(mask[starts].astype(np.uint64)))])
     roots = roots[(roots[:, 1] - roots[:, 0] > 0) & (roots[:, 3] - roots[:, 2] > 0) & (ends - starts > 1)]
     rest = rows["rest"].to_numpy(np.int64).astype(np.uint64)
-    label = trie_links(rest, roots, 64 - BLOCK)
+    label = trie_links(rest, roots, 64 - BLOCK, budget)
     found = np.flatnonzero(label != np.arange(len(label)))
     code = rows["code"].to_numpy(np.int64)
     yield pd.DataFrame({"a": code[found], "b": code[label[found]]})
 
 
-def near_fingerprints(codes: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame:
-    """Edges ``(a, b)`` that connect all fingerprints at ``MOST_BITS`` or fewer differing bits.
+def near_fingerprints(codes: DataFrame, key_rows: int = KEY_ROWS, prints: str | None = None, budget: int = MOST_BITS) -> DataFrame:
+    """Edges ``(a, b)`` that connect all fingerprints at ``budget`` or fewer differing bits.
 
     ``codes`` holds distinct fingerprints in the column ``code``. Edges are within components, not
-    all links: what they connect is what the links connect.
+    all links: what they connect is what the links connect. With ``prints``, an array column of as
+    many fingerprints in every row, ``code`` is only a name: edges connect rows of which any
+    fingerprint is within the budget and has a block without errors. Budgets below ``BLOCKS`` always leave one.
     """
     def turned(i: int) -> Column:
-        code = F.col("code")
+        code = F.col("print")
         return code if i == 0 else F.shiftleft(code, BLOCK * i).bitwiseOR(F.shiftrightunsigned(code, 64 - BLOCK * i))
 
+    each = codes.select("code", F.posexplode(prints or F.array("code")).alias("place", "print"))
     low = (1 << (64 - BLOCK)) - 1
-    turns = codes.select("code", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("turn"), F.shiftrightunsigned(turned(i), 64 - BLOCK).alias("block"),
+    turns = each.select("code", F.explode(F.array(*[
+        F.struct((F.col("place") * BLOCKS + i).alias("turn"), F.shiftrightunsigned(turned(i), 64 - BLOCK).alias("block"),
                  turned(i).bitwiseAND(F.lit(low)).alias("rest")) for i in range(BLOCKS)])).alias("t")).select("code", "t.*")
     # At most BLOCKS rows per ``key_rows`` fingerprints.
     large = turns.groupBy("turn", "block").count().filter(F.col("count") > key_rows).select(
         "turn", "block", F.ceil(F.log2(F.col("count") / key_rows)).cast("int").alias("levels"))
     sized = turns.join(settle(large, "large-keys"), ["turn", "block"], "left").withColumn("levels", F.least(F.coalesce("levels", F.lit(0)), F.lit(16)))
-    masks = F.filter(F.sequence(F.lit(0), F.pow(F.lit(2), F.col("levels")).cast("int") - 1), lambda m: F.bit_count(m) <= MOST_BITS)
+    masks = F.filter(F.sequence(F.lit(0), F.pow(F.lit(2), F.col("levels")).cast("int") - 1), lambda m: F.bit_count(m) <= min(budget, SPLIT_BITS))
     node = F.expr(f"shiftright(rest, {64 - BLOCK} - levels)").cast("int")
     dealt = (sized.withColumn("at", node).withColumn("mask", F.explode(masks))
              .withColumn("other", F.col("at").bitwiseXOR(F.col("mask")))
@@ -199,9 +214,9 @@ def near_fingerprints(codes: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame:
              .withColumn("rest", F.expr(f"rest & (shiftleft(1L, {64 - BLOCK} - levels) - 1)")).drop("levels"))
     key = ["turn", "block", "node", "mask"]
     spark = codes.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-BLOCKS * codes.count() // PARTITION_ROWS))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-BLOCKS * each.count() // PARTITION_ROWS))
     return (dealt.repartition(parts, *key).sortWithinPartitions(*key, "side", "rest", "code")
-            .mapInPandas(_join, "a long, b long"))
+            .mapInPandas(partial(_join, budget=budget), "a long, b long"))
 
 
 def near_copies(df: DataFrame, text: str = "text", doc_id: str = "doc_id", key_rows: int = KEY_ROWS) -> DataFrame:
@@ -220,3 +235,121 @@ def near_copies(df: DataFrame, text: str = "text", doc_id: str = "doc_id", key_r
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = settle(rooted.join(least, "root").select(F.col("code").alias("_code"), "component_id"), "code-components")
     return rows.join(named, F.col("code") == F.col("_code")).select("doc_id", hex16("code").alias("fingerprint"), "component_id")
+
+
+def shingle_set(text: str, shingle: int) -> np.ndarray:
+    """Distinct 64-bit hashes of the runs of ``shingle`` words, in order; of all words, if there are fewer."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    runs = zip(*(words[i:] for i in range(shingle)), strict=False) if len(words) >= shingle else [words] if words else []
+    return np.unique(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), map(b" ".join, runs)), np.uint64))
+
+
+def fingerprints_of(shingles: np.ndarray, count: int) -> np.ndarray:
+    """``count`` 64-bit SimHashes of a shingle set, signed, each of hashes of its own."""
+    ones = np.zeros(64 * count, np.int64)
+    own = np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(shingles), 255):  # counts of a part fit into bytes
+        x = shingles[at:at + 255, None] ^ own
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        x ^= x >> np.uint64(31)
+        ones += np.unpackbits(x.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(shingles)).view(">i8").astype(np.int64)
+
+
+def similar_links(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """A forest over the positions of ``sets`` that connects all pairs of Jaccard similarity ``least`` or more."""
+    sizes = np.array([len(s) for s in sets])
+    values, owner = np.concatenate([np.zeros(0, np.uint64), *sets]), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    alone, links = np.ones(len(sets), bool), []
+    for root in range(len(sets)):
+        todo = [root] if alone[root] else []
+        alone[root] = False
+        while todo:
+            i = todo.pop()
+            lo, hi = np.searchsorted(values, sets[i]), np.searchsorted(values, sets[i], "right")
+            each = hi - lo
+            at = np.arange(each.sum()) + np.repeat(lo - np.cumsum(each) + each, each)
+            both = np.bincount(owner[at], minlength=len(sets))
+            found = np.flatnonzero(alone & (both / np.maximum(sizes + sizes[i] - both, 1) >= least))
+            alone[found] = False
+            todo += found.tolist()
+            links += [(i, j) for j in found.tolist()]
+    return links
+
+
+def _confirmed(tiles: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Edges ``(a, b)`` of texts of one ``tile`` (root, x, y) that connect all similar ones in it."""
+    def linked(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates("code")
+        code = group["code"].to_numpy()
+        links = np.array(similar_links([shingle_set(t, shingle) for t in group["text"]], least), np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": code[links[:, 0]], "b": code[links[:, 1]]})
+
+    return tiles.groupBy("root", "x", "y").applyInPandas(linked, "a long, b long")
+
+
+def _similar_among(texts: DataFrame, shingle: int, least: float, most_chars: int) -> DataFrame:
+    """Edges that connect all similar texts of each candidate group ``root``; ``texts`` are distinct by ``code``.
+
+    Texts of a large group are dealt over parts at random, twice. Most of it is connected within
+    these parts; only the texts that are not in its largest component then meet all of its parts.
+    """
+    def part(turn: int, of: str) -> Column:
+        return F.pmod(F.xxhash64(F.lit(turn), "code"), F.col(of)).cast("int")
+
+    def parts_of(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("root").agg(F.ceil(F.sum(F.length("text") + 1) / most_chars).alias(name))
+
+    sized = texts.join(settle(parts_of(texts, "parts"), "group-parts"), "root")
+    turns = F.explode(F.filter(F.array(F.lit(0), F.lit(1)), lambda t: (t == 0) | (F.col("parts") > 1)))
+    first = sized.withColumn("x", turns).withColumn("y", F.when(F.col("x") == 0, part(0, "parts")).otherwise(part(1, "parts")))
+    edges = settle(_confirmed(first, shingle, least), "similar")
+    large = sized.filter("parts > 1")
+    if large.isEmpty():
+        return edges
+    known = settle(components(edges), "similar-roots").withColumnsRenamed({"node": "code", "root": "own"})
+    placed = settle(large.join(known, "code", "left").withColumn("own", F.coalesce("own", "code")), "large-groups")
+    main = placed.groupBy("root", "own").count().groupBy("root").agg(F.max(F.struct("count", "own")).alias("main")).select("root", "main.own")
+    left = settle(placed.join(main, ["root", "own"], "left_anti"), "left-over")
+    if left.isEmpty():
+        return edges
+    counted = placed.join(settle(parts_of(left, "rest"), "left-over-parts"), "root")
+    of_all = counted.select("root", "code", "text", part(0, "parts").alias("y"), F.explode(F.sequence(F.lit(0), F.col("rest").cast("int") - 1)).alias("x"))
+    of_left = counted.join(left.select("code"), "code", "left_semi").select(
+        "root", "code", "text", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("y"), part(2, "rest").alias("x"))
+    return edges.unionByName(settle(_confirmed(of_all.unionByName(of_left), shingle, least), "similar"))
+
+
+def similar_texts(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SIMILAR_SHINGLE, least: float = SIMILAR,
+                  fingerprints: int = FINGERPRINTS, budget: int = SIMILAR_BITS, key_rows: int = KEY_ROWS,
+                  most_chars: int = COMPARED_CHARS) -> DataFrame:
+    """One row per document: doc_id and component_id, the smallest ``doc_id`` that links reach, nulls left out.
+
+    Texts are linked if the Jaccard similarity of their shingle sets is ``least`` or more. Links
+    come from fingerprints, so one may be missed, but none is made that is not there. Texts of the
+    same shingles are one text; null text counts as empty, and texts without words are the same.
+    """
+    bounded(df.sparkSession)
+
+    @F.pandas_udf("code long, prints array<long>")
+    def printed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingle_set(t, shingle) for t in batch]
+            yield pd.DataFrame({"code": np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64),
+                                "prints": [fingerprints_of(s, fingerprints) for s in sets]})
+
+    whole = df.select(F.col(doc_id).alias("doc_id"), filled(text).alias("text"))
+    rows = settle(whole.select("doc_id", F.xxhash64("text").alias("key"), printed("text").alias("made")).select("doc_id", "key", "made.*"), "shingle-sets")
+    codes = settle(rows.groupBy("code").agg(F.min("doc_id").alias("first"), F.min("key").alias("key"), F.first("prints").alias("prints")), "distinct-sets")
+    groups = settle(components(near_fingerprints(codes.select("code", "prints"), key_rows, "prints", budget)), "candidate-groups")
+    members = settle(codes.join(groups, F.col("code") == F.col("node")).select("code", F.col("key").alias("_key"), "root"), "candidates")
+    texts = settle(whole.select("text", F.xxhash64("text").alias("key")).join(members, F.col("key") == F.col("_key"))
+                   .groupBy("code").agg(F.first("root").alias("root"), F.first("text").alias("text")), "candidate-texts")
+    roots = settle(components(_similar_among(texts, shingle, least, most_chars)), "similar-roots")
+    rooted = settle(codes.join(roots, F.col("code") == F.col("node"), "left").select("code", "first", F.coalesce("root", "code").alias("root")), "rooted-sets")
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = settle(rooted.join(smallest, "root").select(F.col("code").alias("_code"), "component_id"), "set-components")
+    return rows.join(named, F.col("code") == F.col("_code")).select("doc_id", "component_id")
