@@ -55,6 +55,14 @@ def test_segments_of_long_texts(spark, library):
         assert row["ids_sha256"] == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
 
 
+def test_copies_of_a_long_text_are_cut_once(spark):
+    text = "the long text of many words\n" * 40
+    rows = spark.createDataFrame([(f"key {i % 2}", text) for i in range(60)], "_key string, _text string").repartition(4)
+    made = sorted(map(tuple, bpe.cut(rows, 50).collect()))
+    assert [(k, at) for k, at, _ in made] == [(f"key {i}", at) for i in (0, 1) for at in range(len(made) // 2)]
+    assert "".join(part for k, _, part in made if k == "key 1") == text
+
+
 def test_registered_round_trip(spark, library):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{TINY}/documents.parquet").collect()}
     made = QUERIES["op8_bpe_round_trip"](spark, TINY).collect()

@@ -195,13 +195,19 @@ def segments(size: int = SEGMENT) -> str:
     return rf"(?s).{{1,{size}}}[^{WHITE}]*"
 
 
+def cut(keyed: DataFrame, size: int = SEGMENT) -> DataFrame:
+    """Segments ``_part`` of each different ``_key``, once for all rows that share it: they share the text."""
+    parts = keyed.select("_key", F.posexplode(F.regexp_extract_all("_text", F.lit(segments(size)), 0)).alias("_at", "_part"))
+    return parts.groupBy("_key", "_at").agg(F.first("_part").alias("_part"))
+
+
 def encode(df: DataFrame, path: str, text: str = "text", segment: int = SEGMENT) -> DataFrame:
     """Add ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of each whole text to the other columns.
 
     Null counts as empty: no tokens, digests of nothing. Every input row gives one output row,
     repeated rows too; other columns are carried unchanged, whatever their names. Only texts
     longer than ``segment`` are shuffled, as segments keyed by a digest of the text; rows with
-    the same long text share one encoding.
+    the same long text share one encoding: copies of a segment are dropped before it is encoded.
     """
     bounded(df.sparkSession)
     carried = [F.col(c) for c in df.columns if c != text]
@@ -228,14 +234,13 @@ def encode(df: DataFrame, path: str, text: str = "text", segment: int = SEGMENT)
             yield pd.Series([coder.encode(t) for t in batch], dtype=object)
 
     def concatenated(group: pd.DataFrame) -> pd.DataFrame:
-        ids = b"".join(group.drop_duplicates("_at").sort_values("_at")["_ids"])
+        ids = b"".join(group.sort_values("_at")["_ids"])
         return pd.DataFrame([(group["_key"].iloc[0], *digests(ids, loaded(path).decode(ids)))],
                             columns=["_key", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     short = rows.filter(~is_long).select("_row", whole("_text").alias("_made"))
     keyed = rows.filter(is_long).withColumn("_key", F.sha2("_text", 256))
-    cut = keyed.select("_key", F.posexplode(F.regexp_extract_all("_text", F.lit(segments(segment)), 0)).alias("_at", "_part"))
-    long = (cut.repartition("_key", "_at").select("_key", "_at", part("_part").alias("_ids"))
+    long = (cut(keyed, segment).select("_key", "_at", part("_part").alias("_ids"))
             .groupBy("_key").applyInPandas(concatenated, "_key string, " + kind))
     joined = keyed.select("_row", "_key").join(long, "_key").select(
         "_row", F.struct("n_tokens", "ids_sha256", "decoded_sha256").alias("_made"))
