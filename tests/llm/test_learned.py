@@ -119,6 +119,38 @@ def test_network_learns_from_labels():
     assert scores[:20].min() > scores[20:].max()
 
 
+def test_shared_windows_give_the_same_scores(monkeypatch):
+    r, net = np.random.default_rng(2), secrets.CharNet(5)
+    net.p["bias"] = r.normal(0, 1, secrets.FILTERS)
+    bits = ["token = ", "AKIA", "correct", "é", " ", "\n", "0123456789", "漢", "abc-def_g", "x" * 50, "; ", "password"]
+    texts = ["".join(r.choice(bits, r.integers(0, 40))) for _ in range(80)] + ["abcdef", " abcdef", "abcdef ghijkl", ""]
+    where = [(i, at) for i, t in enumerate(texts) for at in secrets.candidates(t)]
+    plain = net.logits([secrets.surrounded(texts[i], at) for i, at in where])
+    for size in (secrets.SLICE, 100):
+        monkeypatch.setattr(secrets, "SLICE", size)
+        assert np.allclose(net.logits_in(texts, where), plain, atol=1e-4)
+
+
+def test_every_candidate_is_judged():
+    text = "key: correcthorsebattery or hunter; 0123456789abcdef01234567-REST_OF_IT"
+    asked = []
+
+    class Net(secrets.CharNet):
+        def logits_in(self, texts, where):
+            asked.extend(texts[i][a:b] for i, (a, b) in where)
+            return np.full(len(where), 9.0)
+
+    spans = secrets.Scanner(Net(), 1.0, 0.0, 0.5).scan([text])[0]
+    assert asked == ["correcthorsebattery", "hunter", "0123456789abcdef01234567-REST_OF_IT"]
+    assert secrets.without(text, spans) == "key: [SECRET] or [SECRET]; [SECRET]"
+
+
+def test_threshold_finds_its_share(spark, monkeypatch):
+    monkeypatch.setattr(secrets.Scanner, "scores", lambda self, found: np.full(len(found), 0.2))
+    docs = spark.createDataFrame([(i, f"token = {i * 7919:x}abcdef{i * 104729:x} and then call{i * 31:06d} now") for i in range(200)], "doc_id long, text string")
+    assert secrets.train(docs).threshold < 0.2
+
+
 def test_gradients_are_right():
     net, r = secrets.CharNet(3), np.random.default_rng(1)
     x = secrets._padded([("ab ", "c0ffee123456", " x"), ("", "00112233445566", "")])
