@@ -51,6 +51,17 @@ def test_main_text_of_all_pages(spark):
         assert row["text"] == article(pages[row["page_id"]]) and row["n_chars"] == len(row["text"])
 
 
+def test_only_raw_text_is_skipped_to_its_end_tag():
+    for page, want in (
+            ('<p>one <svg class="i"/> two</p><p>three</p>', ["one two", "three"]),
+            ("<title-bar>x</title-bar><p>b</p><button-group>c</button-group>", ["x", "b", "c"]),
+            ("<p>a <button>click</p><p>b</p>", ["a", "b"]), ("<p>q<svg><path></p><p>r</p>", ["q", "r"]),
+            ("<p>a <svg><title>t</title><text>u</text></svg>b <math><mi>x</mi></math></p>", ["a b x"]),
+            ("<object/><p>c</p><object><p>instead</p></object>", ["c", "instead"]),
+            ("<template><p>t</p></template><select><option>1</select><p>z</p><script>if (a<b) '<p>s'</script>", ["z"])):
+        assert [text for _, text in html_text.parse(page)[1]] == want, page
+
+
 def brute_marginals(model, nodes):
     """Sum over all labelings of the tree."""
     odds = html_text.features(nodes) @ model.weights - np.log(model.prior / (1 - model.prior))

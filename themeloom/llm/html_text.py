@@ -31,7 +31,9 @@ from themeloom.llm.batches import bounded, filled
 SAMPLE_PAGES, SAMPLE_NODES = 3_000, 60_000
 
 # Names of elements, and words that classes, ids and roles of page parts contain.
-SKIPPED = "script|style|noscript|template|title|textarea|svg|iframe|select|button|object|math"
+#: Raw text, up to its own end tag or the end of the page; and elements whose content is no text of the page.
+SKIPPED = "script|style|noscript|title|textarea|iframe"
+DROPPED = frozenset("svg button select template".split())
 BLOCKS = frozenset(
     "html body div section article main header footer nav aside form fieldset p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd "
     "table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary dialog hr center".split())
@@ -46,7 +48,7 @@ MAIN = frozenset("article main content post entry story articlebody post-content
 SEMANTIC = frozenset(("article", "main"))
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({SKIPPED})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<({SKIPPED})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>", re.S | re.I)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
@@ -83,6 +85,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """
     nodes, texts = [Node("#", -1)], []
     stack, pieces, links, in_head, linked = [0], [], 0, False, 0
+    dropped: list[str] = []  # open elements of DROPPED; the end of a block around them ends them too
 
     def end_block() -> None:
         nonlocal pieces, linked
@@ -100,7 +103,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
 
     def text(raw: str) -> None:
         nonlocal linked
-        if raw and not in_head:
+        if raw and not in_head and not dropped:
             raw = entities.unescape(raw) if "&" in raw else raw
             pieces.append(raw)
             if links:
@@ -114,6 +117,15 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if not tag:
             continue
         closing = bool(m[2])
+        if tag in DROPPED:
+            if closing and tag in dropped:
+                while dropped.pop() != tag:
+                    pass
+            elif not closing and not m[4].rstrip().endswith("/"):
+                dropped.append(tag)
+            continue
+        if dropped and tag in BLOCKS and (tag != "div" or closing) and "template" not in dropped:
+            dropped.clear()  # one that is left open takes no more than its block along
         if tag == "head":
             in_head = not closing
         elif tag == "a":
