@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from themeloom.llm import bpe, exact, html_text, language, order_minhash, packing, secrets, simhash, surrogates, urls
+from themeloom.llm import (
+    binary_packing, bpe, exact, html_text, language, merkle, order_minhash, packing, prefix_trie, secrets, simhash, surrogates, urls,
+)
 from themeloom.llm.batches import table
 
 #: The tokenizer of all queries.
@@ -58,6 +60,21 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan(documents, secrets.train(documents)).drop("text", "clean_text")
 
 
+def op11_binary_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return binary_packing.pack(table(spark, folder, "documents"), TOKENIZER)
+
+
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, folder, "conversations"))
+
+
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.manifest(table(spark, folder, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op2_url_filter, op3_best_fit_packing, op4_order_minhash, op5_exact_dedup, op6_html_text, op7_surrogates, op8_bpe_round_trip, op9_simhash_near_dedup, op10_secret_scan)}
-ORACLE: dict[str, str] = {"op2_url_filter": urls.oracle(), "op5_exact_dedup": exact.ORACLE}
+    op1_language_id, op2_url_filter, op3_best_fit_packing, op4_order_minhash, op5_exact_dedup, op6_html_text, op7_surrogates, op8_bpe_round_trip, op9_simhash_near_dedup, op10_secret_scan,
+    op11_binary_packing, op12_prefix_trie, op13_merkle_manifest)}
+ORACLE: dict[str, str] = {
+    "op2_url_filter": urls.oracle(), "op5_exact_dedup": exact.ORACLE, "op12_prefix_trie": prefix_trie.ORACLE,
+    "op13_merkle_manifest": merkle.oracle()}
