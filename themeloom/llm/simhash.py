@@ -14,10 +14,12 @@ is cut some levels further down, and the pairs of nodes there that stay within t
 keys of their own.
 
 ``similar_texts`` finds near copies by the Jaccard similarity of their shingles instead. Texts of
-similarity 0.8 are some ten of 64 bits apart, too many for blocks without errors in one
-fingerprint, so it joins many fingerprints of each text, as more turns of the same join and with
-a wider budget. What these connect is only a candidate: links are confirmed by the exact
-similarity of the shingle sets.
+similarity 0.8 are some ten of 64 bits apart, too many for blocks without errors, and blocks of bits
+would also bring more unrelated texts together the larger the corpus is. Its keys are therefore
+bands of minima of the shingles' hashes, which only texts that share shingles have in common,
+whatever the size; below each key the fingerprints meet in the same trie join, with a budget of
+their own. What this connects is only a candidate: links are confirmed by the exact similarity of
+the shingle sets.
 """
 
 from __future__ import annotations
@@ -45,10 +47,12 @@ PARTITION_ROWS, PAIRS = 200_000, 1 << 16
 #: Node pairs of at most so many leaf pairs are compared leaf by leaf.
 LEAVES = 64
 _HASHED = 1 << 14
-#: Of ``similar_texts``: words of a shingle, least similarity, fingerprints of a text and bits that two of them may differ in.
-SIMILAR_SHINGLE, SIMILAR, FINGERPRINTS, SIMILAR_BITS = 5, 0.8, 24, 10
-#: Errors in the levels that a large key is cut at; hardly any link has more there.
-SPLIT_BITS = 3
+#: Of ``similar_texts``: words of a shingle, least similarity, bits that two fingerprints may differ in.
+SIMILAR_SHINGLE, SIMILAR, SIMILAR_BITS = 5, 0.8, 18
+#: Minima of a band, and bands: of pairs with similarity 0.8, 1 - (1 - 0.8^5)^16 = 99.8 % share one.
+MINIMA, BANDS = 5, 16
+#: Texts below one band that are compared by fingerprint; of more, all are candidates.
+BAND_ROWS = 4_000
 #: Code points of the texts that one task compares exactly.
 COMPARED_CHARS = 1 << 20
 
@@ -159,7 +163,7 @@ def trie_links(keys: np.ndarray, roots: np.ndarray, bits: int, budget: int = MOS
     return linked.label
 
 
-def _join(batches: Iterator[pd.DataFrame], budget: int = MOST_BITS) -> Iterator[pd.DataFrame]:
+def _join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Links below the keys of one partition: rows sorted by key, side and the bits after the first block."""
     parts = list(batches)
     if not parts:
@@ -177,34 +181,31 @@ def _join(batches: Iterator[pd.DataFrame], budget: int = MOST_BITS) -> Iterator[
         np.where(own, 0, np.bitwise_count(mask[starts].astype(np.uint64)))])
     roots = roots[(roots[:, 1] - roots[:, 0] > 0) & (roots[:, 3] - roots[:, 2] > 0) & (ends - starts > 1)]
     rest = rows["rest"].to_numpy(np.int64).astype(np.uint64)
-    label = trie_links(rest, roots, 64 - BLOCK, budget)
+    label = trie_links(rest, roots, 64 - BLOCK)
     found = np.flatnonzero(label != np.arange(len(label)))
     code = rows["code"].to_numpy(np.int64)
     yield pd.DataFrame({"a": code[found], "b": code[label[found]]})
 
 
-def near_fingerprints(codes: DataFrame, key_rows: int = KEY_ROWS, prints: str | None = None, budget: int = MOST_BITS) -> DataFrame:
-    """Edges ``(a, b)`` that connect all fingerprints at ``budget`` or fewer differing bits.
+def near_fingerprints(codes: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame:
+    """Edges ``(a, b)`` that connect all fingerprints at ``MOST_BITS`` or fewer differing bits.
 
     ``codes`` holds distinct fingerprints in the column ``code``. Edges are within components, not
-    all links: what they connect is what the links connect. With ``prints``, an array column of as
-    many fingerprints in every row, ``code`` is only a name: edges connect rows of which any
-    fingerprint is within the budget and has a block without errors. Budgets below ``BLOCKS`` always leave one.
+    all links: what they connect is what the links connect.
     """
     def turned(i: int) -> Column:
-        code = F.col("print")
+        code = F.col("code")
         return code if i == 0 else F.shiftleft(code, BLOCK * i).bitwiseOR(F.shiftrightunsigned(code, 64 - BLOCK * i))
 
-    each = codes.select("code", F.posexplode(prints or F.array("code")).alias("place", "print"))
     low = (1 << (64 - BLOCK)) - 1
-    turns = each.select("code", F.explode(F.array(*[
-        F.struct((F.col("place") * BLOCKS + i).alias("turn"), F.shiftrightunsigned(turned(i), 64 - BLOCK).alias("block"),
+    turns = codes.select("code", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("turn"), F.shiftrightunsigned(turned(i), 64 - BLOCK).alias("block"),
                  turned(i).bitwiseAND(F.lit(low)).alias("rest")) for i in range(BLOCKS)])).alias("t")).select("code", "t.*")
     # At most BLOCKS rows per ``key_rows`` fingerprints.
     large = turns.groupBy("turn", "block").count().filter(F.col("count") > key_rows).select(
         "turn", "block", F.ceil(F.log2(F.col("count") / key_rows)).cast("int").alias("levels"))
     sized = turns.join(settle(large, "large-keys"), ["turn", "block"], "left").withColumn("levels", F.least(F.coalesce("levels", F.lit(0)), F.lit(16)))
-    masks = F.filter(F.sequence(F.lit(0), F.pow(F.lit(2), F.col("levels")).cast("int") - 1), lambda m: F.bit_count(m) <= min(budget, SPLIT_BITS))
+    masks = F.filter(F.sequence(F.lit(0), F.pow(F.lit(2), F.col("levels")).cast("int") - 1), lambda m: F.bit_count(m) <= MOST_BITS)
     node = F.expr(f"shiftright(rest, {64 - BLOCK} - levels)").cast("int")
     dealt = (sized.withColumn("at", node).withColumn("mask", F.explode(masks))
              .withColumn("other", F.col("at").bitwiseXOR(F.col("mask")))
@@ -214,9 +215,9 @@ def near_fingerprints(codes: DataFrame, key_rows: int = KEY_ROWS, prints: str |
              .withColumn("rest", F.expr(f"rest & (shiftleft(1L, {64 - BLOCK} - levels) - 1)")).drop("levels"))
     key = ["turn", "block", "node", "mask"]
     spark = codes.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-BLOCKS * each.count() // PARTITION_ROWS))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-BLOCKS * codes.count() // PARTITION_ROWS))
     return (dealt.repartition(parts, *key).sortWithinPartitions(*key, "side", "rest", "code")
-            .mapInPandas(partial(_join, budget=budget), "a long, b long"))
+            .mapInPandas(_join, "a long, b long"))
 
 
 def near_copies(df: DataFrame, text: str = "text", doc_id: str = "doc_id", key_rows: int = KEY_ROWS) -> DataFrame:
@@ -244,17 +245,65 @@ def shingle_set(text: str, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), map(b" ".join, runs)), np.uint64))
 
 
-def fingerprints_of(shingles: np.ndarray, count: int) -> np.ndarray:
-    """``count`` 64-bit SimHashes of a shingle set, signed, each of hashes of its own."""
-    ones = np.zeros(64 * count, np.int64)
-    own = np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for at in range(0, len(shingles), 255):  # counts of a part fit into bytes
-        x = shingles[at:at + 255, None] ^ own
-        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-        x ^= x >> np.uint64(31)
-        ones += np.unpackbits(x.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
-    return np.packbits(2 * ones > len(shingles)).view(">i8").astype(np.int64)
+def fingerprint_of_set(shingles: np.ndarray) -> int:
+    """64-bit SimHash of a shingle set, signed."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(shingles), _HASHED):
+        ones += np.unpackbits(shingles[at:at + _HASHED, None].view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(shingles)).view("<i8")[0])
+
+
+_ODD_FACTORS = np.random.default_rng(5).integers(0, 1 << 63, (MINIMA * BANDS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BAND = np.random.default_rng(6).integers(0, 1 << 63, (BANDS, MINIMA + 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def bands_of(shingles: np.ndarray) -> np.ndarray:
+    """A signed 64-bit hash of each band of minima of a shingle set; that of no shingles has bands of its own."""
+    least = np.full(MINIMA * BANDS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 1024):
+        np.minimum(least, (shingles[None, at:at + 1024] * _ODD_FACTORS).min(axis=1), out=least)
+    h = ((least >> np.uint64(16)).reshape(BANDS, MINIMA) * _BAND[:, 1:]).sum(axis=1, dtype=np.uint64) + _BAND[:, 0]
+    return (h ^ (h >> np.uint64(29))).view(np.int64)
+
+
+def _band_join(batches: Iterator[pd.DataFrame], budget: int) -> Iterator[pd.DataFrame]:
+    """Links below the bands of one partition, rows sorted by band and fingerprint; a run of whole bands at a time."""
+    def linked(rows: pd.DataFrame) -> pd.DataFrame:
+        band, code = rows["band"].to_numpy(), rows["code"].to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
+        ends = np.append(starts[1:], len(rows))
+        roots = np.column_stack([starts, ends, starts, ends, np.zeros_like(starts)])[ends - starts > 1]
+        label = trie_links(rows["print"].to_numpy().view(np.uint64) ^ np.uint64(1 << 63), roots, 64, budget)
+        found = np.flatnonzero(label != np.arange(len(label)))
+        return pd.DataFrame({"a": code[found], "b": code[label[found]]})
+
+    held = None
+    for batch in batches:
+        held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        last = int(np.searchsorted(held["band"].to_numpy(), held["band"].iloc[-1])) if len(held) else 0
+        if last:
+            yield linked(held.iloc[:last])
+            held = held.iloc[last:].reset_index(drop=True)
+    if held is not None and len(held):
+        yield linked(held)
+
+
+def near_in_bands(sets: DataFrame, band_rows: int = BAND_ROWS, budget: int = SIMILAR_BITS) -> DataFrame:
+    """Candidate edges ``(a, b)`` of ``sets`` (code, print, bands): those that share a band and are within ``budget`` bits.
+
+    What they connect is what all candidates connect. Of a band with more than ``band_rows`` sets, which is one
+    large group of near copies or a very common passage, all are candidates of each other, whatever their
+    bits: that adds candidates and loses none, and its rows are never gathered in one task.
+    """
+    each = sets.select(F.explode("bands").alias("band"), "print", "code")
+    # At most BANDS rows per ``band_rows`` sets.
+    large = settle(each.groupBy(F.col("band").alias("_band")).agg(F.count("*").alias("n"), F.min("code").alias("_least"))
+                   .filter(F.col("n") > band_rows).drop("n"), "large-bands")
+    met = each.join(large, F.col("band") == F.col("_band"), "left")
+    stars = met.filter("_least < code").select(F.col("code").alias("a"), F.col("_least").alias("b"))
+    small = met.filter("_band IS NULL").select("band", "print", "code")
+    return (small.repartition("band").sortWithinPartitions("band", "print", "code")
+            .mapInPandas(partial(_band_join, budget=budget), "a long, b long").unionByName(stars))
 
 
 def similar_links(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
@@ -324,27 +373,27 @@ def _similar_among(texts: DataFrame, shingle: int, least: float, most_chars: int
 
 
 def similar_texts(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SIMILAR_SHINGLE, least: float = SIMILAR,
-                  fingerprints: int = FINGERPRINTS, budget: int = SIMILAR_BITS, key_rows: int = KEY_ROWS,
+                  budget: int = SIMILAR_BITS, band_rows: int = BAND_ROWS,
                   most_chars: int = COMPARED_CHARS) -> DataFrame:
     """One row per document: doc_id and component_id, the smallest ``doc_id`` that links reach, nulls left out.
 
     Texts are linked if the Jaccard similarity of their shingle sets is ``least`` or more. Links
-    come from fingerprints, so one may be missed, but none is made that is not there. Texts of the
+    come from bands and fingerprints, so one may be missed, but none is made that is not there. Texts of the
     same shingles are one text; null text counts as empty, and texts without words are the same.
     """
     bounded(df.sparkSession)
 
-    @F.pandas_udf("code long, prints array<long>")
+    @F.pandas_udf("code long, print long, bands array<long>")
     def printed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingle_set(t, shingle) for t in batch]
             yield pd.DataFrame({"code": np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64),
-                                "prints": [fingerprints_of(s, fingerprints) for s in sets]})
+                                "print": np.array([fingerprint_of_set(s) for s in sets], np.int64), "bands": list(map(bands_of, sets))})
 
     whole = df.select(F.col(doc_id).alias("doc_id"), filled(text).alias("text"))
     rows = settle(whole.select("doc_id", F.xxhash64("text").alias("key"), printed("text").alias("made")).select("doc_id", "key", "made.*"), "shingle-sets")
-    codes = settle(rows.groupBy("code").agg(F.min("doc_id").alias("first"), F.min("key").alias("key"), F.first("prints").alias("prints")), "distinct-sets")
-    groups = settle(components(near_fingerprints(codes.select("code", "prints"), key_rows, "prints", budget)), "candidate-groups")
+    codes = settle(rows.groupBy("code").agg(F.min("doc_id").alias("first"), F.min("key").alias("key"), F.first("print").alias("print"), F.first("bands").alias("bands")), "distinct-sets")
+    groups = settle(components(near_in_bands(codes.select("code", "print", "bands"), band_rows, budget)), "candidate-groups")
     members = settle(codes.join(groups, F.col("code") == F.col("node")).select("code", F.col("key").alias("_key"), "root"), "candidates")
     texts = settle(whole.select("text", F.xxhash64("text").alias("key")).join(members, F.col("key") == F.col("_key"))
                    .groupBy("code").agg(F.first("root").alias("root"), F.first("text").alias("text")), "candidate-texts")
