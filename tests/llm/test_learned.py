@@ -130,30 +130,64 @@ def test_network_learns_from_labels():
     assert scores[:20].min() > scores[20:].max()
 
 
-def test_shared_windows_give_the_same_scores(monkeypatch):
+def test_scores_of_runs_and_surroundings_add_up(monkeypatch):
     r, net = np.random.default_rng(2), secrets.CharNet(5)
     net.p["bias"] = r.normal(0, 1, secrets.FILTERS)
+    net.p["bias_around"] = r.normal(0, 1, secrets.FILTERS_AROUND)
     bits = ["token = ", "AKIA", "correct", "é", " ", "\n", "0123456789", "漢", "abc-def_g", "x" * 50, "; ", "password"]
-    texts = ["".join(r.choice(bits, r.integers(0, 40))) for _ in range(80)] + ["abcdef", " abcdef", "abcdef ghijkl", ""]
-    where = [(i, at) for i, t in enumerate(texts) for at in secrets.candidates(t)]
-    plain = net.logits([secrets.surrounded(texts[i], at) for i, at in where])
+    texts = ["".join(r.choice(bits, r.integers(0, 40))) for _ in range(80)] + ["abcdef", " abcdef", "abcdef ghijkl", "", "k" * 700]
+    found = [secrets.surrounded(t, at) for t in texts for at in secrets.candidates(t)]
+    plain = net.logits(found)
     for size in (secrets.SLICE, 100):
         monkeypatch.setattr(secrets, "SLICE", size)
-        assert np.allclose(net.logits_in(texts, where), plain, atol=1e-4)
-
-
-def test_every_candidate_is_judged():
-    text = "key: correcthorsebattery or hunter; 0123456789abcdef01234567-REST_OF_IT"
-    asked = []
-
-    class Net(secrets.CharNet):
-        def logits_in(self, texts, where):
-            asked.extend(texts[i][a:b] for i, (a, b) in where)
-            return np.full(len(where), 9.0)
-
-    spans = secrets.Scanner(Net(), 1.0, 0.0, 0.5).scan([text])[0]
-    assert asked == ["correcthorsebattery", "hunter", "0123456789abcdef01234567-REST_OF_IT"]
-    assert secrets.without(text, spans) == "key: [SECRET] or [SECRET]; [SECRET]"
+        around = net.around_scores(found)
+        assert np.allclose(net.inside_scores([f[1] for f in found]) + around, plain, atol=1e-4)
+        assert np.abs(around).max() <= secrets.REACH
+
+
+def test_scan_judges_every_candidate_where_it_stands():
+    """Findings are those of a plain scan that scores each candidate with its surroundings, whatever is remembered."""
+    r, net = np.random.default_rng(4), secrets.CharNet(9)
+    bits = ["token = 0123456789abcdef01234567", "correcthorse", "é", " ", "0123456789ab", "abc-def_g", "Zx9Q" * 4, "; ", "pass:"]
+    texts = [" ".join(r.choice(bits, r.integers(0, 30))) for _ in range(60)] + ["a" * 70_000 + " b", "", "key: correcthorsebattery; 0123456789abcdef01234567-REST_OF_IT"]
+    scores = net.logits([secrets.surrounded(t, at) for t in texts for at in secrets.candidates(t) if at[1] - at[0] < 1_000])
+    scanner = secrets.Scanner(net, 1.3, 0.2)
+    scanner.threshold = float(scanner.calibrated(np.median(scores)))
+    made = scanner.scan(texts)
+    assert made == scanner.scan(texts[::-1])[::-1]
+    learned = 0
+    for t, spans in zip(texts, made, strict=True):
+        base = secrets.base_spans(t)
+        assert [s for s in spans if s.kind != "learned"] == base
+        own = {(s.start, s.end) for s in spans if s.kind == "learned"}
+        for at in secrets.candidates(t):
+            if at[1] - at[0] < 1_000:
+                score = scanner.scores([secrets.surrounded(t, at)])[0]
+                if abs(score - scanner.threshold) > 1e-4:
+                    assert (at in own) == (score >= scanner.threshold and not secrets.covered(at, base))
+        learned += len(own)
+    assert learned
+
+
+def test_network_finds_planted_secrets(spark):
+    """Formats that no pattern knows are found in the scan, and look-alikes are left alone."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    scanner = secrets.train(docs)
+    assert scanner.recall >= secrets.RECALL - 1e-9 and scanner.precision > 0.95
+    words = "every planted one stands among words like these".split()
+    keys, likes = secrets.planted(words, 300, seed=99)
+    found = scanner.scan([before + inside + after for before, inside, after in keys])
+    assert np.mean([any(s.kind == "learned" for s in spans) or len(spans) > 0 for spans in found]) > 0.9
+    wrong = scanner.scan([before + inside + after for before, inside, after in likes])
+    assert np.mean([any(s.kind == "learned" for s in spans) for spans in wrong]) < 0.05
+
+
+def test_very_long_runs_are_learned_and_scanned(spark):
+    rows = [(i, f"token = {i * 7919:x}abcdef{i * 104729:x} and then call{i * 31:06d} now") for i in range(200)] + [(1000, "Q" * 1_000_000 + " x " + "z9" * 300_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scanner = secrets.train(docs, plant=50)
+    assert scanner.net is not None
+    assert len(secrets.scan(docs, scanner).collect()) == 201
 
 
 def test_threshold_finds_its_share(spark, monkeypatch):
@@ -164,18 +198,22 @@ def test_threshold_finds_its_share(spark, monkeypatch):
 
 def test_gradients_are_right():
     net, r = secrets.CharNet(3), np.random.default_rng(1)
-    x = secrets._padded([("ab ", "c0ffee123456", " x"), ("", "00112233445566", "")])
+    for name, n in (("bias", secrets.FILTERS), ("bias_around", secrets.FILTERS_AROUND)):
+        net.p[name] = r.normal(0, 0.3, n)  # off the corner of the rectifier, where padding stands otherwise
+    found = [("ab ", "c0ffee123456", " x"), ("", "00112233445566", "")]
+    x = secrets._inside([f[1] for f in found]), secrets._around(found)
     truth, weight = np.array([1.0, 0.0]), np.array([1.0, 0.5])
 
     def loss():
-        z = net._forward(x)[-1]
+        z = net._forward(*x)[-1]
         return float((weight * (np.log1p(np.exp(z)) - truth * z)).mean())
 
-    grads = net._gradients(x, truth, weight)
+    grads = net._gradients(*x, truth, weight)
+    assert set(grads) == set(net.p)
     for name, g in grads.items():
         for _ in range(6):
             at = tuple(r.integers(0, n) for n in g.shape)
-            if name == "embed" and at[0] == 0:
+            if name.startswith("embed") and at[0] == 0:
                 continue
             old = net.p[name][at]
             net.p[name][at] = old + 1e-5
