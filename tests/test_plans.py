@@ -1,14 +1,17 @@
 """What the physical plans must and must not contain, and skewed inputs."""
 
+import re
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tests.conftest import TINY
+from themeloom import filters
 from themeloom.corpora import VOCABULARY, document_reviews, document_rows
 from themeloom.model import DateWindow, REVIEW
 from themeloom.operators import ingest, scopes, themes
-from themeloom.storage import with_position
+from themeloom.storage import settle, with_position
 from verification.queries import QUERIES, WINDOW
 
 
@@ -36,6 +39,31 @@ def test_text_is_not_shuffled(spark):
     assert text.count("regexp_extract_all") == 1
 
 
+def exchanged(df):
+    """The columns that each shuffle of a plan carries."""
+    text = df.sparkSession._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    return re.findall(r"\(\d+\) Exchange\s*\nInput \[\d+\]: \[([^\n]*)\]", text)
+
+
+def test_quotes_exchange_no_text(spark, monkeypatch):
+    """The text of a review goes from its scan to the cut sentence within one stage, in the plans that are written too."""
+    shuffles = []
+
+    def watched(df, name):
+        shuffles.extend(exchanged(df))
+        return settle(df, name)
+
+    for module in (themes, filters):
+        monkeypatch.setattr(module, "settle", watched)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # however many winners there are
+    try:
+        shuffles += exchanged(QUERIES["themes_quotes"](spark, TINY))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(shuffles) > 5 and any("quote#" in x for x in shuffles)
+    assert not any("text#" in x for x in shuffles)
+
+
 def test_scans_read_only_what_they_need(spark):
     rows = document_reviews(spark, TINY)[0]
     assert "text" not in plan(ingest.product_stats(rows)).split("ReadSchema")[1].split("\n")[0]

@@ -1,12 +1,15 @@
 """Rule engine, scopes, promotions and briefs on small hand-made rows."""
 
 import datetime as dt
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from themeloom import filters
 from themeloom.model import PRODUCT_RECORD, REVIEW, DateWindow, InputError, SelectionError, Theme, vocabulary_from
-from themeloom.operators import ingest, promotions, scopes, themes
+from themeloom.operators import ingest, promotions, scopes, themes, vocabulary
 from themeloom.plans import briefs, report
 from themeloom.sources import files, fixtures
 
@@ -126,13 +129,57 @@ def test_large_vocabulary_agrees_with_plain_matching(spark):
          (4, "Kelvin İn kelvin")], "row_pos long, text string")
     words = ["mic quality", "mic-quality", "set up", "setup", "café", "é", "kelvin", "in", "i", "fine"]
     vocabulary = [Theme(w, w, (w,), "") for w in words]
-    hits = themes.theme_hits(rows, vocabulary).select("row_pos", F.explode_outer("hits").alias("h"))
-    made = {(r.row_pos, words[r.h.theme]) for r in hits.collect() if r.h}
+    made = {(r.row_pos, words[r.theme]) for r in themes.theme_hits(rows, vocabulary).collect()}
     from themeloom.functions.text import matches_keyword
     plain = rows.select("row_pos", *[matches_keyword(F.col("text"), w).alias(str(i)) for i, w in enumerate(words)])
     assert made == {(r.row_pos, w) for r in plain.collect() for i, w in enumerate(words) if r[str(i)]}
 
 
+def test_fifty_thousand_keywords_against_brute_force(spark):
+    r = random.Random(1)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(1, 4))) for _ in range(3_000)]
+    entries = []
+    for i in range(6_000):
+        own = {" ".join(r.choices(words, k=r.choice([1, 1, 2, 3]))) for _ in range(9)}
+        own |= {r.choice(words).upper() + "-" + r.choice(words)} if i % 5 == 0 else set()
+        entries.append(Theme(f"t{i}", f"T{i}", tuple(own), ""))
+    assert sum(len(t.keywords) for t in entries) > 50_000
+    texts = ["".join(w + r.choice([" ", " ", ", ", "-", "  ", "9 "]) for w in r.choices(words, k=60)).title() for _ in range(40)]
+    made = themes.theme_hits(spark.createDataFrame(list(enumerate(texts)), "row_pos long, text string"), entries)
+    # All runs of up to four words of a text with what stands between them; a keyword is found if it is one of these.
+    want = set()
+    for row, text in enumerate(texts):
+        spans = [m.span() for m in re.finditer("[a-z0-9]+", text.lower())]
+        runs = {text.lower()[a[0]:b[1]] for i, a in enumerate(spans) for b in spans[i:i + 4]}
+        want |= {(row, i, n) for i, t in enumerate(entries) if (n := sum(k.lower() in runs for k in t.keywords))}
+    assert {(x.row_pos, x.theme, x.n) for x in made.collect()} == want and want
+
+
+def test_the_plan_does_not_grow_with_the_vocabulary(spark):
+    reviews, products = table(spark, [("a", day(1), 5, "one two three", None, None)])
+    def size(n):
+        vocabulary = [Theme(f"k{i}", f"l{i}", (f"word{i}", f"two words{i}"), "") for i in range(n)]
+        found = themes.findings(reviews, products, vocabulary, REVIEW)
+        return len(themes.recommendations(found, vocabulary)._jdf.queryExecution().executedPlan().toString())
+    assert abs(size(2_000) - size(3)) < 400
+
+
+def test_more_keywords_than_a_vocabulary_may_have(spark, monkeypatch):
+    monkeypatch.setattr(vocabulary, "MAX_KEYWORDS", 2)
+    with pytest.raises(InputError):
+        vocabulary.indexed(spark, [Theme("a", "a", ("x", "y", "z"), "")])
+
+
+def test_a_filter_of_keys_misses_none(spark):
+    rows = spark.range(5_000).selectExpr("if(id % 9 = 0, null, concat('k', id)) AS k", "id AS v")
+    for bits in (filters.BLOCK_BITS, filters.MAX_BITS):
+        chosen = rows.filter("v % 7 = 0").select("k")
+        kept = {x.v for x in filters.among(rows, "k", chosen, 700, bits).collect()}
+        want = {v for v in range(0, 5_000, 7) if v % 9}
+        assert want <= kept and all(v % 9 for v in kept) and len(kept) < 1.15 * len(want)
+    assert filters.among(rows, "k", rows.limit(0).select("k"), 0).isEmpty()
+
+
 def test_an_empty_vocabulary_is_refused(spark):
     with pytest.raises(InputError):
         themes.theme_hits(spark.createDataFrame([("x",)], "text string"), ())

@@ -41,6 +41,7 @@ def label_key(label: Column) -> Column:
 
 def keyword_pattern(*keywords: str) -> str:
     """Java pattern: any of the keywords, not touching an ASCII letter or digit."""
+    # What may not stand on either side of a keyword.
     parts = []
     for keyword in keywords:
         plain = keyword.strip(WHITESPACE).lower()
@@ -62,13 +63,6 @@ def words_of(keyword: str) -> list[str]:
     return re.findall(r"[a-z0-9]+", keyword.strip(WHITESPACE).lower())
 
 
-def vocabulary_words(text: Column, words: set[str]) -> Column:
-    """Distinct words of the text that belong to ``words``, in one pass."""
-    found = F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+"), F.lit(0))
-    known = F.filter(found, lambda w: F.lower(w).isin(sorted(words)))
-    return F.array_distinct(F.transform(known, lambda w: F.lower(w)))
-
-
 # -- quotes -------------------------------------------------------------------
 
 
@@ -78,10 +72,10 @@ def sentences(text: Column) -> Column:
     return F.split(text, "(?<=[.!?])" + SPACE_CLASS + "+")
 
 
-def first_sentence_with(pieces: Column, text: Column, keywords: list[str]) -> Column:
-    """The first piece holding a keyword, or the whole text."""
-    pattern = keyword_pattern(*keywords)
-    hits = F.filter(pieces, lambda s: s.rlike(pattern))
+def first_sentence_with(pieces: Column, text: Column, keywords: list[str] | Column) -> Column:
+    """The first piece holding a keyword, or the whole text. ``keywords`` are a list, or a column of their pattern."""
+    pattern = keywords if isinstance(keywords, Column) else F.lit(keyword_pattern(*keywords))
+    hits = F.filter(pieces, lambda s: F.rlike(s, pattern))
     return trimmed(F.coalesce(F.try_element_at(hits, F.lit(1)), text))
 
 

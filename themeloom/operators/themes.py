@@ -1,25 +1,24 @@
 """Rule engine: keyword themes, polarity by rating, counts and quotes.
 
-Text is read once, by the map side of the first aggregate. From there only ids and
-numbers move. Products are counted first and categories are sums over products, so
-no review row is joined, and a product or category holding a third of all rows is
-reduced inside the map tasks before anything is shuffled.
+Text is read once, and never shuffled: what leaves the map side are ids, themes and numbers, one
+row per review and keyword found. Products are counted first and categories are sums over products,
+so no review row is joined to a product, and a product or category holding a third of all rows is
+reduced inside the map tasks before its figures are shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from themeloom.functions.numbers import mean_to_tenth, share_percent
-from themeloom.functions.text import (
-    attribution, first_sentence_with, keyword_pattern, sentences, vocabulary_words, words_of,
-)
-from themeloom.model import DateWindow, InputError, Theme, Unit
+from themeloom.filters import among
+from themeloom.functions.text import attribution, first_sentence_with, sentences
+from themeloom.model import DateWindow, Theme, Unit
 from themeloom.operators.scopes import in_scopes, in_window
+from themeloom.operators.vocabulary import Index, indexed, matched
 from themeloom.storage import settle
 
 POSITIVE = "positive"
@@ -37,49 +36,14 @@ def polarity(rating: Column) -> Column:
     return F.when(rating >= 4, POSITIVE).when(rating <= 2, NEGATIVE)
 
 
-def _keyword_present(keyword: str) -> Column:
-    """Whether the row has the keyword, given its vocabulary words.
+def theme_hits(rows: DataFrame, vocabulary: Sequence[Theme] | Index) -> DataFrame:
+    """One row per row and theme that it mentions: all columns but ``text``, ``theme`` and ``n``.
 
-    For a plain word that is a lookup; a phrase is searched in the text only when
-    all its words are there.
+    ``theme`` is the position in the vocabulary and ``n`` the number of its distinct keywords in the
+    text. Rows that are equal in all columns but the text count as one: give them a number.
     """
-    words = words_of(keyword)
-    present = reduce(
-        lambda a, b: a & b, [F.array_contains("_words", w) for w in dict.fromkeys(words)],
-        F.lit(True),
-    )
-    if words == [keyword.strip().lower()]:
-        return present
-    return present & F.col("text").rlike(keyword_pattern(keyword))
-
-
-def theme_hits(rows: DataFrame, vocabulary: Sequence[Theme]) -> DataFrame:
-    """Add ``hits``: array of (theme, n) for the themes a row mentions.
-
-    ``theme`` is the position in the vocabulary and ``n`` the number of its distinct
-    keywords in the text.
-    """
-    if not vocabulary:
-        raise InputError("the vocabulary is empty")
-    usable = [[k for k in dict.fromkeys(t.keywords) if k.strip()] for t in vocabulary]
-    every = [w for keywords in usable for k in keywords for w in words_of(k)]
-    wordless = any(not words_of(k) for keywords in usable for k in keywords)
-    counts = [
-        F.struct(
-            F.lit(i).alias("theme"),
-            reduce(lambda a, b: a + b,
-                   [F.when(_keyword_present(k), 1).otherwise(0) for k in keywords], F.lit(0)).alias("n"),
-        )
-        for i, keywords in enumerate(usable)
-    ]
-    hits = F.filter(F.array(*counts), lambda h: h["n"] > 0)
-    if not wordless:
-        hits = F.when(F.size("_words") > 0, hits).otherwise(F.slice(F.array(counts[0]), 1, 0))
-    return (
-        rows.withColumn("_words", vocabulary_words(F.col("text"), set(every)))
-        .withColumn("hits", hits)
-        .drop("_words")
-    )
+    kept = [c for c in rows.columns if c != "text"]
+    return matched(rows, indexed(rows.sparkSession, vocabulary)).groupBy(*kept, "theme").agg(F.count("*").cast("int").alias("n"))
 
 
 def _pick_order(hits: Column, rating: Column, day: Column) -> Column:
@@ -90,19 +54,14 @@ def _pick_order(hits: Column, rating: Column, day: Column) -> Column:
     return F.shiftleft(packed, _DAY_BITS) + days
 
 
-def mentions(reviews: DataFrame, vocabulary: Sequence[Theme]) -> DataFrame:
+def mentions(reviews: DataFrame, vocabulary: Sequence[Theme] | Index) -> DataFrame:
     """One row per review and mentioned theme with a polarity; no text."""
     polar = reviews.select("row_pos", "product_id", "review_date", "rating", "text").filter("rating <> 3")
-    # An inner explode would copy the whole match into a pushed-down filter and run
-    # it many times per row; the outer form is planned as written.
-    hit = theme_hits(polar, vocabulary).select(
-        "row_pos", "product_id", "review_date", "rating", F.explode_outer("hits").alias("h")
-    ).filter("h is not null")
-    return hit.select(
+    return theme_hits(polar, vocabulary).select(
         "product_id",
-        F.col("h.theme").alias("theme"),
+        "theme",
         polarity(F.col("rating")).alias("polarity"),
-        _pick_order(F.col("h.n"), F.col("rating"), F.col("review_date")).alias("pick"),
+        _pick_order(F.col("n"), F.col("rating"), F.col("review_date")).alias("pick"),
         "row_pos",
         F.lit(1).cast("long").alias("mentions"),
     )
@@ -162,29 +121,19 @@ def ranked(findings: DataFrame) -> DataFrame:
     return findings.withColumn("rank", F.row_number().over(order))
 
 
-def _by_theme(values: list[Column]) -> Column:
-    """The value of the row's theme, out of one per vocabulary entry."""
-    chain = F.when(F.col("theme") == 0, values[0])
-    for i, value in enumerate(values[1:], start=1):
-        chain = chain.when(F.col("theme") == i, value)
-    return chain
-
-
 def findings(
-    reviews: DataFrame, products: DataFrame, vocabulary: Sequence[Theme], unit: Unit,
+    reviews: DataFrame, products: DataFrame, vocabulary: Sequence[Theme] | Index, unit: Unit,
     window: DateWindow | None = None, totals: DataFrame | None = None,
 ) -> DataFrame:
     """Ranked findings of every scope, with the representative row but no quote."""
-    selected = in_window(reviews, window)
-    tallies = scope_tallies(mentions(selected, vocabulary), products).filter(enough_evidence(unit))
+    selected, index = in_window(reviews, window), indexed(reviews.sparkSession, vocabulary)
+    tallies = scope_tallies(mentions(selected, index), products).filter(enough_evidence(unit))
     if totals is None:
         totals = scope_totals(selected, products)
     counted = totals.select("scope_kind", "scope_key", "selected")
-    supported = tallies.join(counted, ["scope_kind", "scope_key"]).select(
-        "scope_kind", "scope_key", "polarity", "theme",
-        _by_theme([F.lit(t.key) for t in vocabulary]).alias("theme_key"),
-        _by_theme([F.lit(t.label) for t in vocabulary]).alias("label"),
-        "mentions",
+    named = index.themes.select("theme", "theme_key", "label")
+    supported = tallies.join(counted, ["scope_kind", "scope_key"]).join(named, "theme").select(
+        "scope_kind", "scope_key", "polarity", "theme", "theme_key", "label", "mentions",
         share_percent(F.col("mentions"), F.col("selected")).alias("percent"),
         "selected",
         "row_pos",
@@ -192,30 +141,32 @@ def findings(
     return ranked(supported)
 
 
-def with_quotes(found: DataFrame, reviews: DataFrame, vocabulary: Sequence[Theme]) -> DataFrame:
-    """Add the quote and its attribution, fetching text for the winning rows only.
+def quotes_of(rows: DataFrame, index: Index) -> DataFrame:
+    """row_pos, theme, quote, review_id and whom it is credited to, of every theme that a row mentions. No text leaves the map side."""
+    held = rows.select("row_pos", "review_id", "text", "author", "verified", "country")
+    found = matched(held, index).join(F.broadcast(index.themes.select("theme", "any_keyword")), "theme")
+    return found.select(
+        "row_pos", "theme", first_sentence_with(sentences(F.col("text")), F.col("text"), F.col("any_keyword")).alias("quote"), "review_id",
+        attribution(F.col("author"), F.col("verified"), F.col("country")).alias("quote_author"))
+
 
-    The findings are written out first: then Spark knows how few rows it has to
-    look up and broadcasts them if they are small, else it joins by shuffle.
+def with_quotes(found: DataFrame, reviews: DataFrame, vocabulary: Sequence[Theme] | Index) -> DataFrame:
+    """Add the quote and its attribution.
+
+    The findings are written out first. A filter of their row numbers prunes the reviews as they
+    are read, and sentences are cut there; only quotes meet the findings.
     """
-    held = settle(found, "findings")
-    rows = held.select("row_pos").distinct().join(
-        reviews.select("row_pos", "review_id", "text", "author", "verified", "country"), "row_pos")
-    quoted = held.join(rows, "row_pos").withColumn("_pieces", sentences(F.col("text")))
-    quote = _by_theme([
-        first_sentence_with(F.col("_pieces"), F.col("text"), list(t.keywords)) for t in vocabulary])
-    return quoted.select(
-        *found.columns, "review_id", quote.alias("quote"),
-        attribution(F.col("author"), F.col("verified"), F.col("country")).alias("quote_author"),
-    )
+    index, held = indexed(found.sparkSession, vocabulary), settle(found, "findings")
+    rows = among(reviews, "row_pos", held.select("row_pos"), held.count())
+    # A theme is met once for each of its keywords in a row; the quote is the same.
+    quotes = settle(quotes_of(rows, index).join(held.select("row_pos", "theme").distinct(), ["row_pos", "theme"]).distinct(), "quotes")
+    return held.join(quotes, ["row_pos", "theme"]).select(*found.columns, "review_id", "quote", "quote_author")
 
 
-def recommendations(found: DataFrame, vocabulary: Sequence[Theme]) -> DataFrame:
+def recommendations(found: DataFrame, vocabulary: Sequence[Theme] | Index) -> DataFrame:
     """Advice for each fault, in fault order; themes without advice give none."""
-    return found.filter(F.col("polarity") == NEGATIVE).select(
-        "scope_kind", "scope_key", "rank",
-        _by_theme([F.lit(t.recommendation or None).cast("string") for t in vocabulary]).alias("advice"),
-    ).filter("advice is not null")
+    advice = indexed(found.sparkSession, vocabulary).themes.select("theme", "advice").filter("advice is not null")
+    return found.filter(F.col("polarity") == NEGATIVE).join(advice, "theme").select("scope_kind", "scope_key", "rank", "advice")
 
 
 def combined_themes(found: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from themeloom.operators import promotions as promo
 from themeloom.operators import tag_findings as tf
 from themeloom.operators import themes
 from themeloom.operators.scopes import expand_scopes, in_window, scope_list
+from themeloom.operators.vocabulary import Index, indexed
 from themeloom.storage import settle
 
 SCOPE = ["scope_kind", "scope_key"]
@@ -100,7 +101,7 @@ def assemble(
 
 
 def rule_briefs(
-    reviews: DataFrame, products: DataFrame, vocabulary: Sequence[Theme], unit: Unit,
+    reviews: DataFrame, products: DataFrame, vocabulary: Sequence[Theme] | Index, unit: Unit,
     window: DateWindow | None = None,
 ) -> DataFrame:
     """The rule engine for every product and category in one job.
@@ -109,7 +110,7 @@ def rule_briefs(
     joins with them then follow their true size.
     """
     products = settle(products, "products")
-    selected = in_window(reviews, window)
+    selected, vocabulary = in_window(reviews, window), indexed(reviews.sparkSession, vocabulary)
     totals = settle(themes.scope_totals(selected, products), "totals")
     ranked = themes.findings(reviews, products, vocabulary, unit, window, totals)
     found = settle(themes.with_quotes(ranked, reviews, vocabulary), "quoted")

@@ -177,9 +177,7 @@ def scopes_partition_check(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def themes_hits(spark: SparkSession, sf: str) -> DataFrame:
-    return themes.theme_hits(document_rows(spark, sf), VOCABULARY).select(
-        "row_pos", F.explode_outer("hits").alias("h")).filter("h is not null").select(
-        "row_pos", "h.theme", F.col("h.n").alias("hits"))
+    return themes.theme_hits(document_rows(spark, sf).select("row_pos", "text"), VOCABULARY).withColumnRenamed("n", "hits")
 
 
 def _findings(spark: SparkSession, sf: str, window: DateWindow | None = None) -> DataFrame:
