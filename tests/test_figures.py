@@ -43,6 +43,22 @@ def test_batches_are_greedy_whatever_the_slices(spark, slice_rows):
         assert sizing.batch_counts(batches).first().filled_batches == len(got)
 
 
+def test_batches_of_many_scopes_through_a_deep_tree(spark, monkeypatch):
+    """Slices of four rows, composed by threes: scopes of up to seven levels, of which one has no key."""
+    monkeypatch.setattr(sizing, "FAN", 3)
+    rng, limits = random.Random(8), BatchLimits(max_rows=4, max_bytes=100)
+    scopes = {("product", None): 300, ("product", "a"): 700, ("category", "a"): 1, ("category", "b"): 5, ("category", "c"): 12}
+    sizes = {k: [rng.choice([0, 1, 30, 40, 90, 100, 101, 500]) for _ in range(n)] for k, n in scopes.items()}
+    rows = [(*k, None, i, f"r{i}", size) for k, own in sizes.items() for i, size in enumerate(own)]
+    df = spark.createDataFrame(rows, "scope_kind string, scope_key string, review_date date, row_pos long, review_id string, text_bytes long").repartition(5)
+    got = {}
+    for r in sizing.bounded_batches(df, limits, 4).collect():
+        got.setdefault((r.scope_kind, r.scope_key), {}).setdefault(r.batch_no, []).append(r.sel_pos)
+    assert {k: [sorted(v[b]) for b in sorted(v)] for k, v in got.items()} == {k: greedy(own, limits) for k, own in sizes.items()}
+    assert all(sorted(v) == list(range(len(v))) for v in got.values())
+    assert sizing.bounded_batches(df.limit(0), limits, 4).isEmpty()
+
+
 def estimate(spark, rows, size, filled=0, **kw):
     sizes = spark.createDataFrame([("c", "k", rows, size)], "scope_kind string, scope_key string, rows long, text_bytes long")
     batches = spark.createDataFrame([("c", "k", filled)], "scope_kind string, scope_key string, filled_batches long")
@@ -86,10 +102,10 @@ def test_mixed_recall(spark):
     assert evaluate.mixed_recall(tags.limit(0), labels.limit(0)).first().mixed_recall == 0.0
 
 
-@pytest.mark.parametrize("seed, most", [(1, 4), (2, 12), (3, 18)])
-def test_merge_rates_against_all_pairs(spark, seed, most):
+@pytest.mark.parametrize("seed, most, tile_rows", [(1, 4, evaluate.TILE_ROWS), (2, 12, 7), (3, 18, evaluate.TILE_ROWS), (4, 30, 3)])
+def test_merge_rates_against_all_pairs(spark, seed, most, tile_rows):
     rng = random.Random(seed)
-    keys = [f"k{i}" for i in range(20)]
+    keys = [f"k{i}" for i in range(max(20, 3 * most))]
     held = {f"r{i}": (rng.choice("xyz"), frozenset(rng.sample(keys, rng.randint(0, most)))) for i in range(60)}
     held.update({f"copy{i}": ("x", frozenset(keys[:most])) for i in range(30)})
     tags = spark.createDataFrame([(r, k) for r, (_, ks) in held.items() for k in ks], "review_id string, theme_key string")
@@ -99,7 +115,7 @@ def test_merge_rates_against_all_pairs(spark, seed, most):
         hit = bool(ka & kb)
         same, same_hit = same + (ca == cb), same_hit + (ca == cb and hit)
         cross, cross_hit = cross + (ca != cb), cross_hit + (ca != cb and hit)
-    made = evaluate.merge_rates(tags, clusters).first()
+    made = evaluate.merge_rates(tags, clusters, tile_rows).first()
     assert (made.same_pairs, made.same_merged, made.cross_pairs, made.cross_merged) == (same, same_hit, cross, cross_hit)
 
 
@@ -110,6 +126,32 @@ def test_stability(spark):
     assert {r.model: r.stability for r in made} == {"m": pytest.approx(0.5 / 3), "solo": None}
 
 
+def test_stability_against_all_pairs_of_runs(spark):
+    rng = random.Random(4)
+    runs = {(m, i): frozenset(rng.sample([f"k{x}" for x in range(200)], rng.choice([1, 3, 90]))) for m in "mn" for i in range(9)}
+    runs["m", 50] = runs["m", 51] = runs["m", 0]
+    runs |= {("late", i): frozenset({"k1", f"k{i}"}) for i in range(4)}
+    keys = spark.createDataFrame([(m, i, k) for (m, i), ks in runs.items() for k in ks], "model string, run int, theme_key string")
+    state = spark.createDataFrame([(m, i, m == "late" and i == 2 or None, i == 1 and m == "n") for m, i in runs], "model string, run int, timed_out boolean, errored boolean")
+    sound = {k: v for k, v in runs.items() if k != ("late", 2) and k != ("n", 1)}
+    made = {r.model: (r.runs, r.stability) for r in evaluate.theme_stability(evaluate.scorable(keys, state, ["model"]), ["model"]).collect()}
+    for m in ("m", "n", "late"):
+        own = [v for (x, _), v in sound.items() if x == m]
+        mean = [len(a & b) / len(a | b) for a, b in itertools.combinations(own, 2)]
+        assert made[m] == (len(own), pytest.approx(sum(mean) / len(mean)))
+
+
+def test_stop_reasons_and_quality_of_runs(spark):
+    rows = [("m", "end", 0.5), ("m", "max_tokens", None), ("m", None, 1.0), ("m", "end", 0.0), ("n", None, None)]
+    runs = spark.createDataFrame([(m, 1, 1, 5, False, False, s, False, 0.0, q) for m, s, q in rows],
+                                 "model string, input_tokens long, output_tokens long, latency_ms long, timed_out boolean, errored boolean, "
+                                 "stop_reason string, parse_error boolean, cost_usd double, evidence_validity double")
+    made = {r.model: r for r in evaluate.run_summary(runs, ["model"]).collect()}
+    assert made["m"].stop_reasons == ["end", "max_tokens", None] and made["m"].avg_evidence_validity == 0.5
+    assert made["n"].stop_reasons == [None] and made["n"].avg_evidence_validity is None
+    assert "avg_misattributed" not in made["m"]
+
+
 def test_run_summary(spark):
     rows = [("m", 1000 * (i + 1), 500, ms, ms > 30_000, False, "end", False) for i, ms in enumerate([400, 100, 100, 31_000])]
     runs = spark.createDataFrame(rows, "model string, input_tokens long, output_tokens long, latency_ms long, "

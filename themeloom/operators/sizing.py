@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,41 +38,65 @@ def row_density(sizes: DataFrame, cost: CostModel = CostModel()) -> DataFrame:
         F.when(F.col("rows") > 0, F.col("output_tokens") / F.col("rows")).otherwise(F.lit(0.0)))
 
 
-# Positions that one pass of filling covers; batches do not depend on it.
-SLICE_ROWS = 10_000
+#: Positions that one pass of filling covers, and slices that are composed at once; batches depend on neither.
+SLICE_ROWS, FAN = 10_000, 64
+_KEY = [*SCOPE, "slice"]
 
 
-def _by_slice(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, list[tuple]]]:
-    """The key and the rows of one slice at a time, of frames sorted by slice; the key comes first in a row."""
-    key, held = None, []
-    for frame in frames:
-        for row in frame.itertuples(index=False, name=None):
-            if row[:3] != key:
-                if held:
-                    yield key, held
-                key, held = row[:3], []
-            held.append(row)
-    if held:
-        yield key, held
+def _whole_slices(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """Runs of whole slices of frames sorted by slice, and where each begins and ends."""
+    held = None
+    for frame in chain(frames, [None]):
+        if frame is not None:
+            held = frame if held is None else pd.concat([held, frame], ignore_index=True)
+        if held is None or not len(held):
+            continue
+        new = np.zeros(len(held), bool)
+        for c in _KEY:
+            v = held[c]
+            new[1:] |= ((v != v.shift()) & ~(v.isna() & v.shift().isna())).to_numpy()[1:]
+        starts = np.flatnonzero(new | (np.arange(len(held)) == 0))
+        upto = len(held) if frame is None else int(starts[-1])
+        if upto:
+            starts = starts[starts < upto]
+            yield held.iloc[:upto], starts, np.append(starts[1:], upto)
+            held = held.iloc[upto:].reset_index(drop=True)
 
 
-def _framed(rows: Iterator[tuple], columns: list[str], size: int = 50_000) -> Iterator[pd.DataFrame]:
-    while part := list(islice(rows, size)):
-        yield pd.DataFrame(part, columns=columns)
+def _batch_ends(sizes: np.ndarray, ends: np.ndarray, limits: BatchLimits) -> np.ndarray:
+    """Where a batch that begins at each row ends, at the latest at ``ends``; the first row is taken however large it is."""
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.arange(len(sizes))
+    by_size = np.searchsorted(total, total[:-1] + limits.max_bytes, "right") - 1
+    return np.maximum(np.minimum(np.minimum(by_size, at + limits.max_rows), ends), at + 1)
 
 
-def _batch_ends(sizes: list[int], limits: BatchLimits) -> list[int]:
-    """Where a batch that begins at each row ends; the first row is taken however large it is."""
-    ends, end, used = [], 0, 0
-    for start in range(len(sizes)):
-        if end <= start:
-            end, used = start, 0
-        while end < len(sizes) and end - start < limits.max_rows and (end == start or used + sizes[end] <= limits.max_bytes):
-            used += sizes[end]
-            end += 1
-        ends.append(end)
-        used -= sizes[start]
-    return ends
+def _composed(ways: DataFrame, most: int) -> DataFrame:
+    """The ways of ``FAN`` consecutive slices as an ordered list, and what they are one after the other."""
+    nothing = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda e: F.struct(e.alias("leaves"), F.lit(0).cast("long").alias("batches")))
+    grouped = ways.groupBy(*SCOPE, F.expr(f"slice div {FAN}").alias("group")).agg(
+        F.array_sort(F.collect_list(F.struct("slice", "way"))).alias("ways"))
+
+    def after(done: Column, one: Column) -> Column:
+        return F.transform(done, lambda x: F.struct(
+            F.get(one["way"], x["leaves"])["leaves"].alias("leaves"), (x["batches"] + F.get(one["way"], x["leaves"])["batches"]).alias("batches")))
+
+    return grouped.select(*SCOPE, F.col("group").alias("slice"), "ways", F.aggregate("ways", nothing, after).alias("way"))
+
+
+def _entered(groups: DataFrame, entries: DataFrame) -> DataFrame:
+    """Where each slice of a group is entered, and the batches before it, given that of the group."""
+    known = entries.select(*[F.col(c).alias(f"_{c}") for c in _KEY], "entry", "before")
+    kind = "struct<entry:int,before:bigint,done:array<struct<slice:bigint,entry:int,before:bigint>>>"
+    begin = F.struct("entry", "before", F.array().cast("array<struct<slice:bigint,entry:int,before:bigint>>").alias("done")).cast(kind)
+
+    def onward(s: Column, one: Column) -> Column:
+        way = F.get(one["way"], s["entry"])
+        return F.struct(way["leaves"].alias("entry"), (s["before"] + way["batches"]).alias("before"), F.concat(
+            s["done"], F.array(F.struct(one["slice"].alias("slice"), s["entry"].alias("entry"), s["before"].alias("before")))).alias("done"))
+
+    return groups.select(*_KEY, "ways").join(known, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in _KEY]).select(
+        *SCOPE, F.explode(F.aggregate("ways", begin, onward, lambda s: s["done"])).alias("_s")).select(*SCOPE, "_s.*")
 
 
 def bounded_batches(
@@ -82,62 +107,64 @@ def bounded_batches(
     ``selection`` has (scope, review_date, row_pos, review_id, text_bytes), no text.
     A row larger than a whole batch goes alone and is flagged. Where a batch begins
     depends on all rows before it, but a slice of positions can be entered at one of
-    ``max_rows`` places only. So each slice is filled from each of them in parallel,
-    which gives the place where the next slice is entered; these few numbers per slice
-    are followed along the scope, and then every slice is filled from its true entry.
+    ``max_rows`` places only: it is a function from its entry to that of the next slice and
+    a number of batches. All slices are filled from all entries in parallel; functions of
+    ``FAN`` slices are composed into one, and these again, in a tree, which then hands the true
+    entries down; and every slice is filled from its own. No task sees more of a scope than that.
     """
     rows = max(slice_rows, limits.max_rows)
     placed = settle(with_position(selection, SCOPE, selection_order(), "sel_pos").select(
         *SCOPE, F.floor(F.col("sel_pos") / rows).alias("slice"), "sel_pos", "review_id", "text_bytes"), "placed")
     # The last batch of a slice may need the first rows of the next one.
     ahead = placed.filter((F.col("slice") > 0) & (F.col("sel_pos") % rows < limits.max_rows)).withColumn("slice", F.col("slice") - 1)
-    in_order = lambda df: df.repartition(*SCOPE, "slice").sortWithinPartitions(*SCOPE, "slice", "sel_pos")
+    in_order = lambda df: df.repartition(*_KEY).sortWithinPartitions(*_KEY, "sel_pos")
+    most = limits.max_rows
 
     def enter(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def found() -> Iterator[tuple]:
-            for key, part in _by_slice(frames):
-                own = sum(row[3] < (key[2] + 1) * rows for row in part)
-                ends = _batch_ends([row[5] for row in part], limits)
-                for entry in range(1 if key[2] == 0 else min(limits.max_rows, own + 1)):
-                    at, batches = entry, 0
-                    while at < own:
-                        at, batches = ends[at], batches + 1
-                    yield *key, entry, at - own, batches
-
-        yield from _framed(found(), [*SCOPE, "slice", "entry", "leaves", "batches"])
-
-    ways = in_order(placed.unionByName(ahead)).mapInPandas(
-        enter, "scope_kind string, scope_key string, slice long, entry long, leaves long, batches long")
-
-    def follow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scope, entry, before = None, 0, 0
-        for frame in frames:
-            found = []
-            for *at, slice_no, start, leaves, batches in frame.itertuples(index=False):
-                if at != scope:
-                    scope, entry, before, last = at, 0, 0, -1
-                if slice_no != last and start == entry:
-                    found.append((*at, slice_no, entry, before))
-                    entry, before, last = leaves, before + batches, slice_no
-            yield pd.DataFrame(found, columns=[*SCOPE, "slice", "entry", "before"])
-
-    entered = settle(
-        ways.repartition(*SCOPE).sortWithinPartitions(*SCOPE, "slice", "entry")
-        .mapInPandas(follow, "scope_kind string, scope_key string, slice long, entry long, before long"), "slice-entries")
-    keyed = entered.select(*[F.col(c).alias(f"_{c}") for c in (*SCOPE, "slice")], "entry", "before")
-    known = placed.join(keyed, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*SCOPE, "slice")]).drop(*[f"_{c}" for c in (*SCOPE, "slice")])
+        for part, starts, stops in _whole_slices(frames):
+            number, at_row = part["slice"].to_numpy()[starts], part["sel_pos"].to_numpy()
+            own = np.add.reduceat(at_row < (np.repeat(number, stops - starts) + 1) * rows, starts)
+            ends = _batch_ends(part["text_bytes"].to_numpy(), np.repeat(stops, stops - starts), limits)
+            entry = np.arange(most)[None, :]
+            possible = (entry <= own[:, None]) & ((entry == 0) | (number > 0)[:, None])
+            stop = np.where(possible, (starts + own)[:, None], -1)
+            at, batches = starts[:, None] + entry, np.zeros(possible.shape, np.int64)
+            while (going := at < stop).any():
+                at[going] = ends[at[going]]
+                batches += going
+            leaves = at - (starts + own)[:, None]
+            keys = part.iloc[starts]
+            yield pd.DataFrame({
+                **{c: keys[c].to_numpy() for c in _KEY},
+                "leaves": [x[p].tolist() for x, p in zip(leaves, possible, strict=True)],
+                "batches": [x[p].tolist() for x, p in zip(batches, possible, strict=True)]})
+
+    found = in_order(placed.unionByName(ahead)).mapInPandas(
+        enter, "scope_kind string, scope_key string, slice long, leaves array<int>, batches array<long>")
+    ways = settle(found.select(*_KEY, F.arrays_zip("leaves", "batches").alias("way")), "slice-ways")
+    groups, last = [], ways.agg(F.max("slice")).first()[0] or 0
+    while last > 0:
+        groups.append(settle(_composed(groups[-1] if groups else ways, most), "composed-ways"))
+        last //= FAN
+    top = (groups[-1] if groups else ways).select(*_KEY)
+    entered = top.select(*_KEY, F.lit(0).alias("entry"), F.lit(0).cast("long").alias("before"))
+    for group in reversed(groups):
+        entered = settle(_entered(group, entered), "slice-entries")
+    keyed = entered.select(*[F.col(c).alias(f"_{c}") for c in _KEY], "entry", "before")
+    known = placed.join(keyed, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in _KEY]).drop(*[f"_{c}" for c in _KEY])
 
     def fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def found() -> Iterator[tuple]:
-            for key, part in _by_slice(frames):
-                ends = _batch_ends([row[5] for row in part], limits)
-                begins, batch = part[0][6], part[0][7] - 1
-                for i, row in enumerate(part):
-                    if i == begins:
-                        begins, batch = ends[i], batch + 1
-                    yield *key[:2], *row[3:6], batch, row[5] > limits.max_bytes
-
-        yield from _framed(found(), [*SCOPE, "sel_pos", "review_id", "text_bytes", "batch_no", "oversized"])
+        for part, starts, stops in _whole_slices(frames):
+            sizes = part["text_bytes"].to_numpy()
+            ends = _batch_ends(sizes, np.repeat(stops, stops - starts), limits)
+            begins, at = np.zeros(len(part), np.int64), starts + part["entry"].to_numpy()[starts]
+            while (going := at < stops).any():
+                begins[at[going]] = 1
+                at[going] = ends[at[going]]
+            upto = np.cumsum(begins)
+            in_slice = upto - np.repeat(upto[starts] - begins[starts], stops - starts)
+            yield part[[*SCOPE, "sel_pos", "review_id", "text_bytes"]].assign(
+                batch_no=part["before"].to_numpy() + in_slice - 1, oversized=sizes > limits.max_bytes)
 
     return in_order(known).mapInPandas(
         fill, "scope_kind string, scope_key string, sel_pos long, review_id string, text_bytes long, batch_no long, oversized boolean")

@@ -442,6 +442,14 @@ SELECT model, fixture, count(*) AS runs, avg(i) AS avg_input_tokens, avg(o) AS a
   round(avg(i / 1e6::DOUBLE * length(model) + o / 1e6::DOUBLE * (length(model) * 2)), 9) AS avg_cost_usd, max(ms) AS max_latency_ms,
   count(*) FILTER (late) AS timeouts, count(*) FILTER (bad) AS errors, count(*) FILTER (cut) AS truncated, count(*) FILTER (pe) AS parse_errors,
   list_sort(list(ms))[count(*) // 2 + 1] AS middle_latency_ms FROM x GROUP BY ALL"""
+ORACLE["evaluate_stability_of_sound_runs"] = ORACLE["evaluate_stability"].replace("FROM v JOIN documents ON v.review_id = 'd' || doc_id GROUP BY ALL)", """FROM v
+  JOIN documents ON v.review_id = 'd' || doc_id
+  WHERE (source, lang, doc_id % 3) NOT IN (SELECT (source, lang, doc_id % 3) FROM documents WHERE doc_id % 500 = 7 OR doc_id % 700 = 9) GROUP BY ALL)""")
+ORACLE["evaluate_run_quality"] = """WITH x AS (SELECT event_type AS model, 'f' || (user_id % 3) AS fixture, event_id % 1000 AS i,
+  CASE WHEN event_id % 7 = 0 THEN 'max_tokens' ELSE 'end' END AS stop FROM events)
+SELECT model, fixture, string_agg(DISTINCT stop, ',' ORDER BY stop) AS stop_reasons, round(avg(CASE WHEN i % 3 > 0 THEN (i % 11) / 10 END), 9) AS avg_evidence_validity,
+  round(avg(i % 17), 9) AS avg_distinct_themes, round(avg(CASE WHEN i % 4 = 0 THEN (i % 2) / 2 END), 9) AS avg_mixed_recall,
+  round(avg(CASE WHEN i % 5 = 0 THEN i % 3 END), 9) AS avg_misattributed FROM x GROUP BY ALL"""
 
 # -- columns ------------------------------------------------------------------
 

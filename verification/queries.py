@@ -524,19 +524,45 @@ def evaluate_merging(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.merge_rates(_valid(spark, sf), inputs.clusters(spark, sf))
 
 
-@query
-def evaluate_stability(spark: SparkSession, sf: str) -> DataFrame:
+def _run_keys(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select(
         F.concat(F.lit("d"), F.col("doc_id")).alias("review_id"), F.col("source").alias("model"),
         F.col("lang").alias("fixture"), (F.col("doc_id") % 3).alias("run"))
-    keys = _valid(spark, sf).select("review_id", "theme_key").join(docs, "review_id")
+    return _valid(spark, sf).select("review_id", "theme_key").join(docs, "review_id")
+
+
+@query
+def evaluate_stability(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.theme_stability(_run_keys(spark, sf), ["model", "fixture"]).withColumn("stability", F.round("stability", 9))
+
+
+@query
+def evaluate_stability_of_sound_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Of runs that did not time out or fail: some documents stand for a run that did."""
+    runs = table(spark, sf, "documents").groupBy(
+        F.col("source").alias("model"), F.col("lang").alias("fixture"), (F.col("doc_id") % 3).alias("run")).agg(
+        F.bool_or(F.col("doc_id") % 500 == 7).alias("timed_out"), F.bool_or(F.col("doc_id") % 700 == 9).alias("errored"))
+    keys = evaluate.scorable(_run_keys(spark, sf), runs, ["model", "fixture"])
     return evaluate.theme_stability(keys, ["model", "fixture"]).withColumn("stability", F.round("stability", 9))
 
 
+@query
+def evaluate_run_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Stop reasons and means of the figures that some runs lack."""
+    timed, prices = inputs.runs(spark, sf)
+    n = F.col("input_tokens")
+    scored = evaluate.with_cost(timed, prices).withColumns({
+        "evidence_validity": F.when(n % 3 > 0, n % 11 / 10), "distinct_themes": n % 17,
+        "mixed_recall": F.when(n % 4 == 0, n % 2 / 2), "misattributed": F.when(n % 5 == 0, n % 3)})
+    made = evaluate.run_summary(scored, ["model", "fixture"])
+    return made.select("model", "fixture", F.array_join("stop_reasons", ",").alias("stop_reasons"), *[
+        F.round(f"avg_{c}", 9).alias(f"avg_{c}") for c in ("evidence_validity", "distinct_themes", "mixed_recall", "misattributed")])
+
+
 @query
 def evaluate_runs(spark: SparkSession, sf: str) -> DataFrame:
     timed, prices = inputs.runs(spark, sf)
-    made = evaluate.run_summary(evaluate.with_cost(timed, prices), ["model", "fixture"])
+    made = evaluate.run_summary(evaluate.with_cost(timed, prices), ["model", "fixture"]).drop("stop_reasons")
     return made.withColumn("avg_cost_usd", F.round("avg_cost_usd", 9))
 
 
