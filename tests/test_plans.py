@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tests.conftest import TINY
-from themeloom import filters
+from themeloom import filters, storage
 from themeloom.corpora import VOCABULARY, document_reviews, document_rows
 from themeloom.model import DateWindow, REVIEW
 from themeloom.operators import ingest, scopes, themes
@@ -90,6 +90,48 @@ def test_positions_under_skew(spark):
     assert wrong.isEmpty()
 
 
+def test_positions_take_one_shuffle(spark, monkeypatch):
+    """Rows are exchanged once, as they are numbered; later plans only read them."""
+    written = []
+
+    def watched(df, name):
+        written.append((name, len(exchanged(df))))
+        return settle(df, name)
+
+    monkeypatch.setattr(storage, "settle", watched)
+    made = with_position(document_rows(spark, TINY).select("product_id", "row_pos", "review_date"), ["product_id"], ["review_date", "row_pos"])
+    assert dict(written)["slices"] == 1 and exchanged(made) == []
+    assert exchanged(QUERIES["scopes_selection_order"](spark, TINY)) == []
+
+
+@pytest.mark.parametrize("rows", (1, 7, 10_000))
+def test_positions_across_arrow_batches(spark, rows):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    try:
+        df = spark.range(200).selectExpr("if(id < 90, null, cast(id div 40 as string)) AS g", "id % 2 AS h", "id * 17 % 200 AS o").repartition(3)
+        made = with_position(df, ["g", "h"], ["o"], "p").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    groups = {}
+    for r in sorted(made, key=lambda r: r.o):
+        groups.setdefault((r.g, r.h), []).append(r.p)
+    assert len(made) == 200 and all(p == list(range(len(p))) for p in groups.values())
+
+
+def test_a_local_folder_is_no_shared_one(spark, monkeypatch):
+    class Context:
+        master = "spark://somewhere:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+        conf = spark.conf
+
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        with pytest.raises(ValueError):
+            storage.shared_folder(Session())
+
+
 def test_positions_without_groups_and_with_nulls(spark):
     df = spark.createDataFrame([(None, 3), ("b", 2), (None, 1), ("a", 4)], "d string, o int")
     made = with_position(df, [], ["d", "o"], "p").orderBy("p").collect()

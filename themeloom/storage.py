@@ -9,17 +9,31 @@ any time without losing it, because it lies in the cluster's checkpoint folder.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 _written: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``, else one in the session's warehouse."""
+    """The folder named by ``spark.checkpoint.dir``, else one in the session's warehouse.
+
+    A warehouse on a machine's own disk is shared with nobody: it serves a local master only.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_settled").rstrip("/")
+    if named:
+        return named.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    master = spark.sparkContext.master
+    if (warehouse.startswith("file:") or warehouse.startswith("/")) and not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{warehouse}/_settled"
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
@@ -38,38 +52,52 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _numbered(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.RecordBatch]:
+    """Adds ``_local``, the rank among the rows with equal ``by`` in this sorted partition, and its number ``_slice``."""
+    slice_no, last, met = TaskContext.get().partitionId(), None, 0
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        columns = [batch.column(batch.schema.get_field_index(c)) for c in by]
+        first = tuple(c[0].as_py() for c in columns)
+        new = np.zeros(n, bool)
+        for c in columns:
+            code = c.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            new[1:] |= code[1:] != code[:-1]
+        at = np.arange(n)
+        start = np.maximum.accumulate(np.where(new, at, 0))
+        local = at - start + np.where(start == 0, met if first == last else 0, 0)
+        last, met = tuple(c[n - 1].as_py() for c in columns), int(local[-1]) + 1
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(local, pa.int64()), pa.array(np.full(n, slice_no, np.int32))], [*batch.schema.names, "_local", "_slice"])
+
+
 def with_position(df: DataFrame, by: list[str], order: list[str], name: str = "position") -> DataFrame:
     """Add ``name``: 0-based rank of each row within ``by``, in ``order``.
 
-    ``order`` must be unique within ``by``. Rows are range-partitioned on the whole
-    key, so one huge group spreads over many tasks: each task numbers only its own
-    slice, and a slice's start is the row count of the slices before it. Only the
-    first group of a slice can have begun earlier, so the table of starts has at
-    most one row per partition and is safe to broadcast.
+    ``order`` must be unique within ``by``, or rows that tie are dealt ranks as they come. Rows are
+    shuffled once, range-partitioned on the whole key, so one huge group spreads over many tasks;
+    each numbers its own sorted slice as it streams through, and a slice's start is the row count
+    of the slices before it. Only the first group of a slice can have begun earlier, so the table
+    of starts has at most one row per partition and is safe to broadcast.
     """
     keys = [*by, *order]
-    sliced = settle(
-        df.repartitionByRange(*keys).withColumn("_slice", F.spark_partition_id()), "slices"
-    )
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    kind = StructType([*ranged.schema.fields, StructField("_local", LongType()), StructField("_slice", IntegerType())])
+    sliced = settle(ranged.mapInArrow(lambda batches: _numbered(batches, by), kind), "slices")
     sizes = sliced.groupBy(*by, "_slice").agg(F.count("*").alias("_rows"))
     before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(
+    starts = settle(sizes.select(
         *[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)],
         F.col("_slice").alias("_k_slice"),
         F.sum("_rows").over(before).alias("_start"),
-    ).filter("_start > 0")
+    ).filter("_start > 0"), "slice-starts")
     match: Column = F.col("_slice") == F.col("_k_slice")
     for i, c in enumerate(by):
         match = match & F.col(c).eqNullSafe(F.col(f"_k{i}"))
-    local = Window.partitionBy(*by, "_slice").orderBy(*order)
-    return (
-        sliced.withColumn("_local", F.row_number().over(local))
-        .join(F.broadcast(starts), match, "left")
-        .select(
-            *df.columns,
-            (F.col("_local") - 1 + F.coalesce("_start", F.lit(0))).cast("long").alias(name),
-        )
-    )
+    return sliced.join(F.broadcast(starts), match, "left").select(
+        *df.columns, (F.col("_local") + F.coalesce("_start", F.lit(0))).cast("long").alias(name))
 
 
 def require_none(problems: DataFrame, error: type[Exception], what: str) -> None:
