@@ -26,16 +26,16 @@ def _bits(key: Column, blocks: int) -> list[Column]:
             F.shiftright(h, 15).bitwiseAND(F.lit(BLOCK_BITS - 1)).alias("_bit2")]
 
 
-def among(df: DataFrame, key: str, keys: DataFrame, count: int, max_bits: int = MAX_BITS) -> DataFrame:
-    """Rows of ``df`` whose ``key`` is, or may be, in the only column of ``keys``, which has about ``count`` rows.
+def flagged(df: DataFrame, key: str, keys: DataFrame, count: int, name: str, max_bits: int = MAX_BITS) -> DataFrame:
+    """``df`` with ``name``: whether its ``key`` is, or may be, in the only column of ``keys``, which has about ``count`` rows.
 
-    Null keys are not in it. The rows are not shuffled.
+    False is certain. Null keys are not in it. The rows are not shuffled.
     """
     bits = min(max_bits, max(BLOCK_BITS, 1 << math.ceil(math.log2(BITS_PER_KEY * max(count, 1)))))
     blocks = bits // BLOCK_BITS
-    name = keys.columns[0]
+    own = keys.columns[0]
     table = settle(
-        keys.filter(F.col(name).isNotNull()).select(*_bits(F.col(name), blocks))
+        keys.filter(F.col(own).isNotNull()).select(*_bits(F.col(own), blocks))
         .select("_block", F.explode(F.array("_bit1", "_bit2")).alias("_bit"))
         .groupBy("_block").agg(F.bitmap_construct_agg("_bit").alias("_set")), "key-filter")
 
@@ -43,5 +43,11 @@ def among(df: DataFrame, key: str, keys: DataFrame, count: int, max_bits: int =
         at = F.substring("_set", F.expr(f"cast({bit} div 8 as int)") + 1, 1)
         return F.getbit(F.conv(F.hex(at), 16, 10).cast("int"), F.expr(f"cast({bit} % 8 as int)")) == 1
 
-    tested = df.filter(F.col(key).isNotNull()).select(*df.columns, *_bits(F.col(key), blocks))
-    return tested.join(F.broadcast(table), "_block").filter(is_set("_bit1") & is_set("_bit2")).select(*df.columns)
+    tested = df.select(*df.columns, *_bits(F.col(key), blocks)).join(F.broadcast(table), "_block", "left")
+    found = F.col(key).isNotNull() & F.coalesce(is_set("_bit1") & is_set("_bit2"), F.lit(False))
+    return tested.select(*df.columns, found.alias(name))
+
+
+def among(df: DataFrame, key: str, keys: DataFrame, count: int, max_bits: int = MAX_BITS) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is, or may be, in ``keys``."""
+    return flagged(df, key, keys, count, "_among", max_bits).filter("_among").drop("_among")

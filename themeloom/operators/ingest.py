@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from themeloom.filters import flagged
 from themeloom.functions.category import leaf_category, top_category
 from themeloom.functions.dates import strict_date
 from themeloom.functions.numbers import exact_stars, valid_discount, without_percent
@@ -19,10 +20,11 @@ def classify(raw: DataFrame) -> DataFrame:
 
     An id counts as taken by its first *accepted* row: a bad first copy does not
     block a good second one, and any later copy is a duplicate whatever else is
-    wrong with it. Only ids that occur more than once matter, so those are found
-    from ids alone and written out; the rows themselves, with their text, are then
-    matched against that table, by broadcast when it is small. Rows without an id
-    are never matched, so a mass of blank ids loads no single task.
+    wrong with it. The cells are parsed once, and the typed rows written with their own
+    reason. Only ids that occur more than once matter; those are found from the narrow
+    columns alone. A bounded filter of them then tells which rows to match, and only
+    these are joined: rows of an id that occurs once pass straight through, text and all.
+    Rows without an id are never matched, so a mass of blank ids loads no single task.
     """
     names = ("review_id", "product_id", "product_name", "category", "review_text")
     rest = [c for c in raw.columns if c not in names]
@@ -56,8 +58,8 @@ def classify(raw: DataFrame) -> DataFrame:
         .when(F.col("rating").isNull(), "invalid_rating")
         .when(F.col("text") == "", "missing_review_text")
     )
-    judged = typed.withColumn("_own", own)
-    taken = (
+    judged = settle(typed.withColumn("_own", own), "typed-rows")
+    taken = settle(
         judged.filter((F.col("review_id") != "") & F.col("source_reason").isNull())
         .groupBy("review_id")
         .agg(
@@ -65,26 +67,23 @@ def classify(raw: DataFrame) -> DataFrame:
             F.min(F.when(F.col("_own").isNull(), F.col("row_pos"))).alias("_taken_at"),
         )
         .filter("_copies > 1 and _taken_at is not null")
-        .select(F.col("review_id").alias("_id"), "_taken_at")
-    )
-    # A unique stand-in for a missing id keeps such rows apart in a shuffle.
-    match_id = F.when(F.col("review_id") == "", F.concat(F.lit("\0"), F.col("row_pos"))).otherwise(
-        F.col("review_id"))
+        .select(F.col("review_id").alias("_id"), "_taken_at"), "taken_ids")
+    marked = flagged(judged, "review_id", taken.select("_id"), taken.count(), "_maybe")
     late = F.col("source_reason").isNull() & (F.col("row_pos") > F.col("_taken_at"))
-    return (
-        judged.join(settle(taken, "taken_ids"), match_id == F.col("_id"), "left")
-        .withColumn("reject_reason", F.when(late, "duplicate_review_id").otherwise(F.col("_own")))
-        .drop("_own", "_id", "_taken_at", "source_reason")
-    )
+    matched = marked.filter("_maybe and review_id <> ''").join(taken, F.col("review_id") == F.col("_id"), "left").withColumn(
+        "reject_reason", F.when(late, "duplicate_review_id").otherwise(F.col("_own")))
+    single = marked.filter("not _maybe or review_id = ''").withColumn("reject_reason", F.col("_own"))
+    done = [*[c for c in typed.columns if c != "source_reason"], "reject_reason"]
+    return single.select(*done).unionByName(matched.select(*done))
 
 
 def load(raw: DataFrame) -> DataFrame:
-    """Classified rows, written once as columnar files.
+    """Classified rows, which ``classify`` has written as columnar files.
 
     Every later step reads them several times: counts read narrow columns only, and
     the text is read once more for the quotes.
     """
-    return settle(classify(raw), "classified")
+    return classify(raw)
 
 
 REVIEW_COLUMNS = (

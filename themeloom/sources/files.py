@@ -9,6 +9,7 @@ from themeloom.functions.category import category_path
 from themeloom.functions.numbers import amount, strict_number, whole_stars
 from themeloom.functions.text import WHITESPACE, trimmed
 from themeloom.model import InputError
+from themeloom.storage import settle
 
 # The columns of the two accepted file shapes.
 REVIEW_REQUIRED = ("review_id", "product_id", "product_name", "category", "rating", "review_text")
@@ -24,6 +25,7 @@ EXPORT_KEPT = (
 UPLOADED = "uploaded"
 PRODUCT_EXPORT = "product_export"
 SAMPLE = "sample"
+# Fixed value: the id of a record of an export.
 RECORD_ID_FORMAT = "amz-%04d"
 
 
@@ -34,12 +36,16 @@ def read_table(df: DataFrame, order: str) -> DataFrame:
     return df.withColumnRenamed(order, "row_pos")
 
 
+#: File splits whose places are broadcast, at 16 bytes each; those of more files are joined by their size.
+MAX_SPLITS = 1 << 20
+
+
 def read_csv(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
     """Text cells of one or many CSV files, with trimmed header names and ``row_pos``.
 
-    ``row_pos`` counts data rows from 1, file after file in path order. A row's
-    place inside its file split comes from the scan itself; only one small row per
-    split is aggregated to know where each split starts. A file whose cells hold no line
+    ``row_pos`` counts data rows from 1, file after file in path order. The files are read once:
+    rows are written out as columns with the file split they came from and their place in the scan;
+    where each split starts is then known from these two numbers alone. A file whose cells hold no line
     breaks can be split among tasks: ``multi_line=False``.
     """
     raw = (
@@ -53,23 +59,25 @@ def read_csv(spark: SparkSession, path: str | list[str], multi_line: bool = True
     names = [c.strip(WHITESPACE) for c in raw.columns]
     if len(set(names)) != len(names):
         raise InputError("the header repeats a column name")
-    scanned = raw.select(
+    held = settle(raw.select(
         *[F.col(f"`{old}`").alias(new) for old, new in zip(raw.columns, names)],
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_seen"),
-    )
-    splits = scanned.groupBy("_file", "_block").agg(
+    ), "csv-rows")
+    splits = held.groupBy("_file", "_block").agg(
         F.count("*").alias("_rows"), F.min("_seen").alias("_first")
     )
+    # A split lies in one task of the scan, whose numbers ascend through it without a gap. One row per split.
     before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = splits.select(
-        "_file", "_block", "_first",
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"),
-    )
-    return scanned.join(starts, ["_file", "_block"]).select(
-        *names, (F.col("_before") + F.col("_seen") - F.col("_first") + 1).alias("row_pos")
-    )
+    starts = settle(splits.select(
+        (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
+        F.xxhash64("_file", "_block").alias("_split")), "csv-splits")
+    if starts.select("_split").distinct().count() < (count := starts.count()):
+        raise InputError("two file splits have the same hash")
+    small = F.broadcast(starts) if count <= MAX_SPLITS else starts
+    return held.withColumn("_key", F.xxhash64("_file", "_block")).join(small, F.col("_key") == F.col("_split")).select(
+        *names, (F.col("_seen") + F.col("_shift")).alias("row_pos"))
 
 
 def missing_columns(df: DataFrame, required: tuple[str, ...]) -> list[str]:
