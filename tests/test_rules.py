@@ -219,6 +219,25 @@ def test_report_shows_a_quote_once(spark):
     assert "recurring issues" in report.no_action_reason(REVIEW, report.RATING)
 
 
+def test_a_scope_with_a_hundred_thousand_findings(spark):
+    """Each quote is shown where it comes first, praise before faults, whatever the number of findings."""
+    entry = "struct(cast(i + 1 as int) as rank, concat('L', i) as label, 2L as mentions, 1 as percent, {} as quote, 'who' as quote_author)"
+    made = spark.sql(f"""SELECT 'product' AS scope_kind, 'p' AS scope_key, 'P' AS subject, date'2026-01-01' AS window_start, date'2026-02-01' AS window_end,
+        9L AS review_count, 4.0D AS average_rating, true AS dated, 's' AS summary, array('do') AS recommendations,
+        transform(sequence(0, 59999), i -> {entry.format("concat(' q', i % 50000, ' ')")}) AS praise,
+        transform(sequence(0, 39999), i -> {entry.format("if(i % 4 = 0, '', concat('q', i + 30000))")}) AS faults""")
+    rows = report.finding_rows(made)
+    seen, shown = set(), 0
+    for i in range(100_000):
+        quote = f"q{i % 50000}" if i < 60_000 else "" if (i - 60_000) % 4 == 0 else f"q{i - 30_000}"
+        shown += bool(quote) and quote not in seen
+        seen.add(quote)
+    assert rows.count() == 100_000 and rows.filter("shown").count() == shown
+    text = report.report(made, dt.date(2026, 8, 2), REVIEW).first().report
+    assert text.count("- Quote:") == shown and text.count("### L") == 100_000
+    assert text.index("### L59999") < text.index("## Issues") < text.index("### L0\n", text.index("## Issues"))
+
+
 def test_results_are_written_by_scope_kind(spark, tmp_path):
     df = spark.createDataFrame([("product", "a"), ("category", "b")], "scope_kind string, scope_key string")
     fixtures.write_results(df, str(tmp_path / "out"))
