@@ -10,8 +10,10 @@ from tests.conftest import TINY
 from themeloom import filters, storage
 from themeloom.corpora import VOCABULARY, document_reviews, document_rows
 from themeloom.model import DateWindow, REVIEW
-from themeloom.operators import ingest, scopes, themes
+from themeloom.operators import ingest, scopes, tags, themes
+from themeloom.sources import files
 from themeloom.storage import settle, with_position
+from verification import inputs
 from verification.queries import QUERIES, WINDOW
 
 
@@ -64,6 +66,46 @@ def test_quotes_exchange_no_text(spark, monkeypatch):
     assert not any("text#" in x for x in shuffles)
 
 
+def test_buckets_spare_the_texts_an_exchange(spark):
+    entries = tags.entries(tags.parse_responses(inputs.responses(spark, TINY)))
+    reviews = document_reviews(spark, TINY)[0].select("review_id", "text")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plain = exchanged(tags.validate(entries, reviews))
+        stored = exchanged(tags.validate(entries, storage.bucketed(reviews, "review_id", "reviews", 6)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert any("text#" in x for x in plain)
+    assert stored and not any("text#" in x for x in stored)
+
+
+def test_csv_files_are_read_once(spark, tmp_path, monkeypatch):
+    spark.range(500).selectExpr("id", "concat('t', id) AS t").repartition(4).write.option("header", True).csv(str(tmp_path / "c"))
+    written = []
+
+    def watched(df, name):
+        written.append(plan(df))
+        return settle(df, name)
+
+    monkeypatch.setattr(files, "settle", watched)
+    rows = files.read_csv(spark, str(tmp_path / "c"))
+    assert sum("FileScan csv" in x for x in written) == 1 and "FileScan csv" not in plan(rows) and exchanged(rows) == []
+    assert sorted(r.row_pos for r in rows.collect()) == list(range(1, 501))
+
+
+def test_rows_of_an_id_that_occurs_once_are_not_exchanged(spark):
+    """Typed rows are written once; of the second pass only rows that the filter admits are joined."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = ingest.classify(inputs.raw_reviews(spark, TINY))
+        lines = plan(made)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    single, matched = lines.split("SortMergeJoin")[0], lines.split("SortMergeJoin")[1]
+    assert "Exchange hashpartitioning(review_id" in matched and "Exchange hashpartitioning(review_id" not in single
+    assert "regexp" not in lines and lines.count("FileScan parquet") == 5
+
+
 def test_scans_read_only_what_they_need(spark):
     rows = document_reviews(spark, TINY)[0]
     assert "text" not in plan(ingest.product_stats(rows)).split("ReadSchema")[1].split("\n")[0]

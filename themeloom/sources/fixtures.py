@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from themeloom.functions.text import blank_to_null
-from themeloom.model import SampleLimits, Theme
+from themeloom.model import InputError, SampleLimits, Theme
 from themeloom.sources.files import SAMPLE, as_reviews, read_feedback
 
 STAND_IN_LABEL = "Synthetic product records"
@@ -53,9 +53,19 @@ def preferred(spark: SparkSession, path: str, stand_in: str, label: str) -> Data
     )
 
 
-def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """Raw tagger responses (run_id, batch_id, payload) from Parquet."""
-    return spark.read.schema("run_id string, batch_id long, payload string").parquet(path)
+def read_responses(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
+    """Raw tagger responses (run_id, batch_id, payload).
+
+    ``parquet`` and ``json`` (one object a line) state all three. In ``text`` each file is the payload of one
+    response, as it came, in the folder ``run_id=…/batch_id=…``.
+    """
+    kind = "run_id string, batch_id long, payload string"
+    if form == "text":
+        whole = spark.read.schema("value string, run_id string, batch_id long").option("wholetext", True).text(path)
+        return whole.select("run_id", "batch_id", F.col("value").alias("payload"))
+    if form not in ("parquet", "json"):
+        raise InputError(f"responses cannot be read from {form}")
+    return spark.read.schema(kind).format(form).load(path)
 
 
 def read_mixed_labels(spark: SparkSession, path: str) -> DataFrame:

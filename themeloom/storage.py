@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 _written: list[str] = []
+_tables: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -44,9 +45,28 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str, buckets: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder in buckets of ``key``, sorted, and return it as a table read from there.
+
+    Each bucket is one file, made by one shuffle. Later joins and aggregates on ``key`` do not
+    shuffle this side again: what it meets is dealt into its buckets. ``buckets`` is the number
+    of shuffle partitions if not given; a table of many terabytes wants it stated. The table lives in the
+    session's catalog until ``release``.
+    """
+    spark = df.sparkSession
+    count = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table, path = f"{name}_{uuid.uuid4().hex}", f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    (df.repartition(count, key).write.format("parquet").bucketBy(count, key).sortBy(key).option("path", path).saveAsTable(table))
+    _written.append(path)
+    _tables.append(table)
+    return spark.table(table)
+
+
 def release(spark: SparkSession) -> None:
-    """Delete what ``settle`` has written in this process; results that read it must be done."""
+    """Delete what ``settle`` and ``bucketed`` have written in this process; results that read it must be done."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
     while _written:
         path = hadoop.Path(_written.pop())
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -450,6 +450,36 @@ ORACLE["evaluate_run_quality"] = """WITH x AS (SELECT event_type AS model, 'f' |
 SELECT model, fixture, string_agg(DISTINCT stop, ',' ORDER BY stop) AS stop_reasons, round(avg(CASE WHEN i % 3 > 0 THEN (i % 11) / 10 END), 9) AS avg_evidence_validity,
   round(avg(i % 17), 9) AS avg_distinct_themes, round(avg(CASE WHEN i % 4 = 0 THEN (i % 2) / 2 END), 9) AS avg_mixed_recall,
   round(avg(CASE WHEN i % 5 = 0 THEN i % 3 END), 9) AS avg_misattributed FROM x GROUP BY ALL"""
+# -- files, gates and empty scopes ---------------------------------------------
+
+ORACLE["ingest_text_sample_of_reviews"] = _with(R) + f"""SELECT row_pos, review_id, text_bytes, CAST(total AS BIGINT) AS total_bytes FROM (
+  SELECT row_pos, review_id, text_bytes, sum(text_bytes) OVER (ORDER BY row_pos) AS total,
+    sum(body + 1) OVER (ORDER BY row_pos) + 13 AS request FROM (
+    SELECT row_pos, review_id, strlen({_trim('text')}) AS text_bytes, strlen(CAST(json_object('id', review_id, 'text', {_trim('text')}) AS VARCHAR)) AS body
+    FROM r WHERE {_trim('text')} <> '' ORDER BY 1 LIMIT 12))
+  WHERE total <= 204800 AND request <= 256000"""
+ORACLE["ingest_gate"] = _INGEST + """SELECT 'all' AS selection, true AS usable, count(*) AS parsed, count(*) FILTER (reject_reason IS NULL) AS accepted FROM cls
+  UNION ALL SELECT 'without_id', false, count(*), 0 FROM cls WHERE review_id = ''"""
+ORACLE["sources_export_files"] = ORACLE["ingest_export_reviews"]
+ORACLE["sources_preferred"] = _with(EXP) + """SELECT 'Parts' AS dataset_label, false AS is_synthetic, count(*) AS rows, count(DISTINCT product_id) AS products FROM z
+  UNION ALL SELECT 'Synthetic product records', true, count(*), count(DISTINCT product_id) FROM z"""
+ORACLE["sources_samples"] = _with(R) + """SELECT 'sample' AS source, count(*) AS rows, CAST(sum(stars) AS BIGINT) AS stars FROM (VALUES (5), (4), (1), (2), (3), (5), (4), (2)) x(stars)
+  UNION ALL SELECT 'uploaded', count(*), CAST(sum(rating) AS BIGINT) FROM r"""
+ORACLE["sources_labelled_sets"] = """SELECT 'd' || doc_id AS review_id, CASE doc_id % 3 WHEN 0 THEN 'mixed' WHEN 1 THEN 'praise-only' ELSE 'fault-only' END AS kind,
+  lang AS cluster, md5(substr(text, 1, length(text) // 2)) AS praise_md5, doc_id % 11 = 0 AS wrong FROM documents"""
+ORACLE["sources_results"] = ORACLE["themes_findings"]
+ORACLE["scopes_windows"] = _with(R) + """, e AS (SELECT min(review_date) AS a, max(review_date) AS b, (max(review_date) - min(review_date)) // 4 AS q FROM r)
+SELECT 'upright' AS "window", count(*) AS rows FROM r, e WHERE review_date BETWEEN a + CAST(q AS INTEGER) AND b - CAST(q AS INTEGER)
+UNION ALL SELECT 'inverted', NULL"""
+ORACLE["briefs_record_actions"] = _with(EXP, RECORDS, S, f"k(theme, theme_key, label, kw, advice) AS (VALUES {_PART_VALUES})", H, M, T,
+  F0.replace("HAVING count(*) >= 2", "").replace("review_date, row_pos", "row_pos"), F1) + """, a AS (SELECT scope_kind, scope_key,
+  string_agg(rank || '. ' || advice, chr(10) ORDER BY rank) AS steps FROM f WHERE polarity = 'negative' GROUP BY ALL)
+SELECT DISTINCT s.scope_kind, s.scope_key, coalesce(steps, 'No actions can be derived: each rating is an average, and an average hides single complaints.') AS actions
+  FROM s LEFT JOIN a USING (scope_kind, scope_key)"""
+ORACLE["tags_from_files"] = ORACLE["tags_entries"]
+ORACLE["tags_valid_from_buckets"] = ORACLE["tags_valid"]
+ORACLE["tag_findings_scarce"] = ORACLE["tag_findings_below_threshold"].replace("mentions < 8", "mentions < 60")
+ORACLE["briefs_tags_of_few"] = ORACLE["briefs_tags"].replace("WHERE well_formed AND contains", "WHERE well_formed AND d.lang = 'de' AND contains")
 
 # -- columns ------------------------------------------------------------------
 

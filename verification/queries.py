@@ -14,11 +14,11 @@ from themeloom.corpora import VOCABULARY, document_reviews, document_rows, sale_
 from themeloom.functions.category import category_path, leaf_category, top_category
 from themeloom.functions.dates import short_date
 from themeloom.functions.text import attribution, label_key, lower_first
-from themeloom.model import DateWindow, LabelLimits, PRODUCT_RECORD, REVIEW, Sizing
+from themeloom.model import DateWindow, InputError, LabelLimits, PRODUCT_RECORD, REVIEW, SelectionError, Sizing
 from themeloom.operators import evaluate, ingest, labels, promotions, scopes, sizing, tag_findings, tags, themes
 from themeloom.plans import briefs, report
 from themeloom.sources import files, fixtures
-from themeloom.storage import settle, shared_folder, with_position
+from themeloom.storage import bucketed, settle, shared_folder, with_position
 from verification import inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,6 +120,91 @@ def ingest_text_sample(spark: SparkSession, sf: str) -> DataFrame:
     return fixtures.size_bounded_sample(rows).select("row_pos", "review_id", "text_bytes", "total_bytes")
 
 
+@query
+def ingest_text_sample_of_reviews(spark: SparkSession, sf: str) -> DataFrame:
+    """The sample over the documents' own ids, so that the row and byte limits decide."""
+    return fixtures.size_bounded_sample(document_rows(spark, sf).select("row_pos", "review_id", "text")).select(
+        "row_pos", "review_id", "text_bytes", "total_bytes")
+
+
+@query
+def ingest_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether a selection of raw rows can be analysed at all: all of them, and those without an id."""
+    raw = inputs.raw_reviews(spark, sf)
+
+    def judged(name: str, rows: DataFrame) -> DataFrame:
+        classified = settle(ingest.classify(rows), "judged-selection")
+        try:
+            ingest.require_accepted(classified)
+            usable = True
+        except InputError:
+            usable = False
+        return ingest.load_stats(classified).select(F.lit(name).alias("selection"), F.lit(usable).alias("usable"), "parsed", "accepted")
+
+    return judged("all", raw).unionByName(judged("without_id", raw.filter("trim(review_id) = ''")))
+
+
+def _written(df: DataFrame, form: str, **options: object) -> str:
+    path = f"{shared_folder(df.sparkSession)}/{form}-{uuid.uuid4().hex}"
+    df.write.options(**options).format(form).save(path)
+    return path
+
+
+@query
+def sources_export_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A product export as CSV files in order, read back by header; listings count from 1."""
+    raw = inputs.raw_export(spark, sf).repartitionByRange(3, "row_pos").sortWithinPartitions("row_pos").drop("row_pos")
+    path = _written(raw, "csv", header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    rows = ingest.classify(files.read_product_export(spark, path))
+    return rows.select("row_pos", "review_id", "product_id", "category", "rating", "source_rating",
+                       "review_date", "promotion", "discount_percent", "reject_reason")
+
+
+@query
+def sources_preferred(spark: SparkSession, sf: str) -> DataFrame:
+    """The real file where it is there, else the stand-in, which says so."""
+    path = _written(inputs.raw_export(spark, sf).drop("row_pos"), "csv", header=True, escape='"')
+    there = fixtures.preferred(spark, path, "nowhere", "Parts")
+    missing = fixtures.preferred(spark, f"{path}-missing", path, "Parts")
+    return there.unionByName(missing).groupBy("dataset_label", "is_synthetic").agg(
+        F.count("*").alias("rows"), F.countDistinct("product_id").alias("products"))
+
+
+@query
+def sources_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """The sample rows beside the documents, by the unit their source decides."""
+    rows = ingest.accepted(ingest.classify(fixtures.sample_reviews(spark))).select("source", "rating").unionByName(
+        document_rows(spark, sf).select("source", "rating"))
+    return rows.groupBy("source").agg(F.count("*").alias("rows"), F.sum("rating").cast("long").alias("stars"))
+
+
+@query
+def sources_labelled_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as labelled JSON files, a part each, read back; every eleventh fault clause is not of its text."""
+    d, half = F.col("doc_id"), F.floor(F.char_length("text") / 2).cast("int")
+    entry = F.struct(
+        F.concat(F.lit("d"), d).alias("id"), "text", inputs.pick(d % 3, "mixed", "praise-only", "fault-only").alias("kind"),
+        F.substring("text", F.lit(1), half).alias("praiseClause"),
+        F.concat(F.substring("text", half + 1, F.char_length("text")), F.when(d % 11 == 0, "#~").otherwise("")).alias("faultClause"),
+        F.col("lang").alias("cluster"))
+    parts = table(spark, sf, "documents").groupBy(F.expr("doc_id div 100").alias("part")).agg(
+        F.to_json(F.struct(F.collect_list(entry).alias("reviews"))).alias("value"))
+    path = f"{shared_folder(spark)}/labels-{uuid.uuid4().hex}"
+    parts.write.partitionBy("part").text(path)
+    mixed, clusters = fixtures.read_mixed_labels(spark, path), fixtures.read_cluster_labels(spark, path)
+    wrong = fixtures.mislabelled(mixed).withColumn("wrong", F.lit(True))
+    return mixed.join(clusters.select("review_id", "cluster"), "review_id").join(wrong, "review_id", "left").select(
+        "review_id", "kind", "cluster", F.md5("praise_clause").alias("praise_md5"), F.coalesce("wrong", F.lit(False)).alias("wrong"))
+
+
+@query
+def sources_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings stored by scope kind and read again."""
+    path = f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"
+    fixtures.write_results(_findings(spark, sf).drop("theme"), path)
+    return spark.read.parquet(path)
+
+
 # -- scopes -------------------------------------------------------------------
 
 
@@ -163,6 +248,23 @@ def scopes_unknown(spark: SparkSession, sf: str) -> DataFrame:
     return scopes.unknown_scopes(asked, products)
 
 
+@query
+def scopes_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows in the middle half of the dates, and what becomes of the same window upside down."""
+    rows = document_rows(spark, sf)
+    first, last = ingest.dataset_span(rows).select("first_date", "last_date").first()
+    quarter = (last - first) // 4
+
+    def selected(name: str, start: date, end: date) -> DataFrame:
+        try:
+            chosen = scopes.in_window(rows, DateWindow(start, end)).agg(F.count("*").alias("rows"))
+        except SelectionError:
+            chosen = rows.limit(1).select(F.lit(None).cast("long").alias("rows"))
+        return chosen.select(F.lit(name).alias("window"), "rows")
+
+    return selected("upright", first + quarter, last - quarter).unionByName(selected("inverted", last - quarter, first + quarter))
+
+
 @query
 def scopes_partition_check(spark: SparkSession, sf: str) -> DataFrame:
     reviews, products = document_reviews(spark, sf)
@@ -264,6 +366,16 @@ def briefs_reports(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("scope_kind", "scope_key", "report")
 
 
+@query
+def briefs_record_actions(spark: SparkSession, sf: str) -> DataFrame:
+    """The last section of the reports on product records, of which each rating is an average."""
+    rows = ingest.classify(files.route(inputs.raw_export(spark, sf)))
+    made = briefs.rule_briefs(ingest.accepted(rows), ingest.product_dimension(rows), inputs.PART_VOCABULARY, PRODUCT_RECORD)
+    text = report.report(made, date(2026, 8, 2), PRODUCT_RECORD, report.RATING)
+    return text.select("scope_kind", "scope_key", F.regexp_extract(
+        "report", r"(?s)## Recommended checks\n\n(.*)\n\n---\n\nMade on", 1).alias("actions"))
+
+
 # -- tag engine ---------------------------------------------------------------
 
 
@@ -281,6 +393,25 @@ def tags_entries(spark: SparkSession, sf: str) -> DataFrame:
     return _entries(spark, sf)[1].drop("run_id")
 
 
+@query
+def tags_from_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries of responses that were stored as text files, one each, and as lines of JSON."""
+    raw = settle(inputs.responses(spark, sf), "responses")
+    as_text = F.col("batch_id") % 25 == 3
+    path = f"{shared_folder(spark)}/responses-{uuid.uuid4().hex}"
+    raw.filter(as_text).write.partitionBy("run_id", "batch_id").text(path)
+    read = fixtures.read_responses(spark, path, "text").unionByName(
+        fixtures.read_responses(spark, _written(raw.filter(~as_text), "json"), "json"))
+    return tags.entries(tags.parse_responses(read)).drop("run_id")
+
+
+@query
+def tags_valid_from_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    """Valid tags, of reviews that are stored in buckets of their id: no text is exchanged to ground a tag."""
+    reviews = bucketed(document_reviews(spark, sf)[0].select("review_id", "text"), "review_id", "reviews_by_id")
+    return tags.validate(_entries(spark, sf)[1], reviews, inputs.asked(spark, sf)).drop("run_id")
+
+
 @query
 def tags_valid(spark: SparkSession, sf: str) -> DataFrame:
     return _valid(spark, sf).drop("run_id")
@@ -453,6 +584,12 @@ def tag_findings_below_threshold(spark: SparkSession, sf: str) -> DataFrame:
     return tag_findings.below_threshold(_canonical(spark, sf), replace(REVIEW, min_evidence=8))
 
 
+@query
+def tag_findings_scarce(spark: SparkSession, sf: str) -> DataFrame:
+    """With a threshold that themes of small scopes miss."""
+    return tag_findings.below_threshold(_canonical(spark, sf), replace(REVIEW, min_evidence=60))
+
+
 @query
 def tag_findings_mapping_problems(spark: SparkSession, sf: str) -> DataFrame:
     """Canonical tags of which the neutral ones were relabelled by mistake."""
@@ -472,6 +609,14 @@ def tag_findings_comparison(spark: SparkSession, sf: str) -> DataFrame:
         F.col("right.mentions").alias("rule_mentions"))
 
 
+@query
+def briefs_tags_of_few(spark: SparkSession, sf: str) -> DataFrame:
+    """Only documents in German were tagged: all other scopes have nothing found, and say so."""
+    german = table(spark, sf, "documents").filter("lang = 'de'").select(F.concat(F.lit("d"), F.col("doc_id")).alias("review_id"))
+    return _flat_briefs(briefs.tag_briefs(
+        _valid(spark, sf).join(german, "review_id", "left_semi"), *document_reviews(spark, sf), inputs.group_by_first_word, REVIEW))
+
+
 @query
 def briefs_tags(spark: SparkSession, sf: str) -> DataFrame:
     return _flat_briefs(briefs.tag_briefs(
