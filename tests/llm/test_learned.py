@@ -4,6 +4,7 @@ import html
 import re
 
 import numpy as np
+import pytest
 
 from themeloom.llm import html_text, language, secrets
 from themeloom.llm.queries import QUERIES
@@ -97,6 +98,32 @@ def test_furniture_of_other_pages(spark):
     assert model.extract(page) == "T <x> Body text, longer than a few words. Point one of the list."
 
 
+ARTICLE = "<article><h1>A title of the article</h1><p>One paragraph of some length, with commas, and a full stop.</p>{}<p>Another paragraph, which is long enough, too.</p></article>"
+
+
+@pytest.mark.parametrize("page, want", (
+    ("<html><head><meta charset='utf-8'><title>T</title><body>" + ARTICLE.format(""), "A title"),
+    ("<html><head><link rel='x'>" + ARTICLE.format(""), "A title"),
+    (ARTICLE.format('<p class="notice">Here is a note that belongs to the article, and stays.</p>'), "Here is a note"),
+    (ARTICLE.format('<h2 id="search-results">What the search found</h2><p>It found much, as one would expect.</p>'), "What the search found"),
+    (ARTICLE.format('<h3 id="legal-status">Where the law stands</h3><p>It stands where it stood, we are told.</p>'), "Where the law stands"),
+    ('<body class="has-sidebar"><nav><ul><li><a href="/">Home</a></li></ul></nav>' + ARTICLE.format("") + "</body>", "Another paragraph"),
+    ('<main class="with-sidebar">' + ARTICLE.format("") + "</main>", "Another paragraph")))
+def test_blocks_of_articles_stay(spark, page, want):
+    model = _model(spark)
+    assert want in model.extract(page) and "One paragraph of some length" in model.extract(page)
+    assert "Home" not in model.extract(page)
+
+
+_models = []
+
+
+def _model(spark):
+    if not _models:
+        _models.append(html_text.train(spark.read.parquet(f"{SMALL}/pages.parquet")))
+    return _models[0]
+
+
 def plain_spans(text):
     """The base patterns as they are stated, and the limits after that."""
     out = []

@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from themeloom.llm import exact, surrogates, urls
 from themeloom.llm.queries import QUERIES
 
@@ -79,3 +81,24 @@ def test_no_python_in_plans(spark):
     for made in (urls.judge(pages, urls.rule_table(spark, urls.RULES)), exact.groups(documents), surrogates.replace(documents, "k")):
         plan = made._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow|NestedLoop|Cartesian", plan)
+
+
+def test_surrogates_end_where_nothing_can_be_exchanged(spark, monkeypatch):
+    """Addresses without a letter or digit before the sign, whose domains have few surrogates: all get one of their own."""
+    monkeypatch.setattr(surrogates, "WIDEN", 1)
+    texts = [f"_@{c}.com" for c in "abcdefghijklmnopqrstuvwxyz"]
+    made = replaced(spark, texts, "key")
+    assert len(set(made)) == 26 and not set(made) & set(texts)
+    assert all(m.endswith(".com") and m.startswith("_") for m in made)
+
+
+def test_every_form_can_be_widened(spark):
+    """From ``WIDEN`` tries on, surrogates of one entity differ from try to try and keep its kind's look."""
+    kinds = {"email": "_@a.com", "ip": "10.0.0.1", "iban": "DE00 1234 5678 9012", "phone": "+49 30 1234567", "ssn": "123-45-6789",
+             "card": "4111 1111 1111 1111", "name": "Dr Иванов"}
+    tries = spark.createDataFrame([(k, v, t) for k, v in kinds.items() for t in range(surrogates.WIDEN + 8)], "kind string, value string, t int")
+    made = tries.select("kind", "value", "t", surrogates.surrogate(F.col("kind"), F.col("value"), F.col("t"), "key").alias("made")).collect()
+    for kind, value in kinds.items():
+        late = [r["made"] for r in made if r["kind"] == kind and r["t"] >= surrogates.WIDEN]
+        assert len(set(late)) == 8 and value not in late
+    assert all(re.fullmatch(r"Dr [а-яА-ЯёЁ]+", r["made"]) for r in made if r["kind"] == "name")

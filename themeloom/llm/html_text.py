@@ -46,6 +46,10 @@ FURNITURE = frozenset(
     "toolbar complementary contentinfo skip toc masthead".split())
 MAIN = frozenset("article main content post entry story articlebody post-content entry-content".split())
 SEMANTIC = frozenset(("article", "main"))
+#: Elements that carry the text itself: classes and ids, often made from a heading's words, say nothing against them.
+TEXTUAL = frozenset("html body main article p h1 h2 h3 h4 h5 h6".split())
+#: What a class begins with that tells of something else on the page, as in ``has-sidebar``.
+_MODIFIER = re.compile(r"(?:has|no|not|with|without|is)[-_]", re.I)
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({SKIPPED})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
@@ -72,9 +76,10 @@ def _names(tag: str, attributes: str) -> set[str]:
     if "=" in attributes:
         for groups in _NAMES.findall(attributes):
             for name in "".join(groups).split():
-                found.add(name.lower())
-                found.update(w.lower() for w in _WORD.findall(name))
-    return found
+                if not _MODIFIER.match(name):
+                    found.add(name.lower())
+                    found.update(w.lower() for w in _WORD.findall(name))
+    return found - FURNITURE if tag in TEXTUAL else found
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
@@ -82,9 +87,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
 
     White space in a block is one space, inline elements leave no mark, a line break is white
     space. End tags that are left out are supplied; those of elements that are not open are ignored.
+    A head needs no end tag: what is text or a block there belongs to the body, as in a browser.
     """
     nodes, texts = [Node("#", -1)], []
-    stack, pieces, links, in_head, linked = [0], [], 0, False, 0
+    stack, pieces, links, linked = [0], [], 0, 0
     dropped: list[str] = []  # open elements of DROPPED; the end of a block around them ends them too
 
     def end_block() -> None:
@@ -103,7 +109,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
 
     def text(raw: str) -> None:
         nonlocal linked
-        if raw and not in_head and not dropped:
+        if raw and not dropped:
             raw = entities.unescape(raw) if "&" in raw else raw
             pieces.append(raw)
             if links:
@@ -126,9 +132,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         if dropped and tag in BLOCKS and (tag != "div" or closing) and "template" not in dropped:
             dropped.clear()  # one that is left open takes no more than its block along
-        if tag == "head":
-            in_head = not closing
-        elif tag == "a":
+        if tag == "a":
             links = 0 if closing else 1
         elif tag == "br":
             pieces.append(" ")
@@ -143,7 +147,6 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         else:
             end_block()
             links = 0
-            in_head = in_head and tag != "body"
             if nodes[stack[-1]].tag == "p":
                 stack.pop()
             if tag in CLOSES:

@@ -5,7 +5,10 @@ phone numbers, and names after a title. Each gets a replacement of its own kind
 hash: characters keep their class, case and script, numbers their format and check digit, given
 names their gender. One entity has one surrogate in the whole corpus. A collision check sees to
 it that no two have the same one and that none is itself an entity of the corpus: those that
-clash are hashed again, round by round, until none is left.
+clash are hashed again, round by round, until none is left. A form can be too narrow for that: no letter
+or digit to exchange, or all its surrogates taken. From the ``WIDEN``-th try on, characters of the hash
+are appended, two more with each try, so that the surrogates of an entity at different tries are all
+different; as there are finitely many entities, every one finds a free surrogate in the end.
 
 Only distinct entities and the lists of entities of documents are shuffled for that; texts
 without entities pass straight through, the others meet the surrogates of their list once.
@@ -28,6 +31,9 @@ GIVEN = {"m": "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jakob Karl Leon
          "n": "Alex Andrea Charlie Dominique Eden Finley Jordan Kim Luca Morgan Noel Quinn Robin Sascha Taylor Toni"}
 SYLLABLES = "ba be bo da de do fa fe fi ga go ka ke ko la le lo ma me mo na ne no pa pe ra re ro sa se so ta te to va vi wa we za zo"
 
+#: Tries after which surrogates become longer than what they stand for.
+WIDEN = 6
+
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
 _CAPITAL = r"\p{Lu}[\p{L}'’-]{1,30}"
 PATTERNS = {
@@ -102,19 +108,23 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
         return F.sha2(F.concat_ws("\x1f", F.lit(key), kind, of, tries.cast("string")), 256)
 
     own = seed(value)
+    extra = F.greatest(F.lit(0), 2 * (attempt - WIDEN + 1))
+    letters = F.substring(own, F.lit(1), extra)
+    numbers = F.translate(letters, "abcdef", "012345")
     domain = F.regexp_extract(value, r"@(.*)\.", 1)
-    email = F.concat(shaped(F.regexp_extract(value, r"^([^@]*)@", 1), own), F.lit("@"), shaped(domain, seed(domain, F.lit(0))),
+    email = F.concat(shaped(F.regexp_extract(value, r"^([^@]*)@", 1), own), letters, F.lit("@"), shaped(domain, seed(domain, F.lit(0))),
                      F.regexp_extract(value, r"(\.[^.]*)$", 1))
     ip = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (_number(own, i, 254) + 1).cast("string")), ".")
-    code = F.concat(F.substring(value, 1, 2), shaped(F.substring(value, 3, 200), own))
+    ip = F.when(extra > 0, F.concat(ip, F.lit("."), numbers)).otherwise(ip)
+    code = F.concat(F.substring(value, 1, 2), shaped(F.substring(value, 3, 200), own), numbers)
     call = F.regexp_extract(value, r"^(\+\d{1,3}(?=[ .(-]))?", 1)
-    phone = F.concat(call, shaped(F.regexp_replace(value, r"^\+\d{1,3}(?=[ .(-])", ""), own))
-    digits = shaped(value, own)
+    phone = F.concat(call, shaped(F.regexp_replace(value, r"^\+\d{1,3}(?=[ .(-])", ""), own), numbers)
+    digits = F.concat(shaped(value, own), numbers)
     # The last digit is chosen so that the check digit is right where it was.
     body = F.regexp_replace(digits, r"\d$", "")
     checked = F.element_at(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(body, d.cast("string"))),
                                     lambda x: F.call_function("luhn_check", F.regexp_replace(x, r"\D", ""))), 1)
-    card = F.when(F.call_function("luhn_check", F.regexp_replace(value, r"\D", "")), checked).otherwise(digits)
+    card = F.when(F.call_function("luhn_check", F.regexp_replace(value, r"\D", "")), checked).otherwise(digits)  # a widened one is right, too
     title = F.regexp_extract(value, rf"^((?:{_TITLE})\.? )", 1)
     names = F.split(F.regexp_replace(value, rf"^(?:{_TITLE})\.? ", ""), " ")
     gender = F.lit("n")
@@ -122,12 +132,15 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
         gender = F.when(title.rlike(rf"^(?:{'|'.join(TITLES[g])})\.? $"), g).otherwise(gender)
     last, latin = F.element_at(names, -1), F.element_at(names, -1).rlike(r"^[\p{IsLatin}'’-]+$")
     family = F.when(latin, F.initcap(_syllables(seed(last, F.lit(0)), F.lit(3)))).otherwise(shaped(last, seed(last, F.lit(0))))
-    more = F.when(attempt > 0, _syllables(own, attempt)).otherwise("")
+    # A clash adds syllables, or letters of the name's own script.
+    more = F.when(attempt == 0, "").when(latin, _syllables(own, attempt)).otherwise(
+        F.lower(F.substring(shaped(F.repeat(last, attempt), own), F.lit(1), attempt)))
     given = F.lit("")
     for g, pool in GIVEN.items():
         given = F.when(gender == g, _chosen(pool, _number(own, 0, len(pool.split())))).otherwise(given)
     first = F.element_at(names, 1)
-    given = F.when(first.rlike(r"^[\p{IsLatin}'’-]+$"), F.concat(given, more)).otherwise(shaped(first, own))
+    given = F.when(first.rlike(r"^[\p{IsLatin}'’-]+$"), F.concat(given, F.when(attempt > 0, _syllables(own, attempt)).otherwise(""))).otherwise(
+        F.concat(shaped(first, own), F.lower(F.substring(shaped(F.repeat(first, attempt), own), F.lit(1), attempt))))
     name = F.concat(title, F.when(F.size(names) > 1, F.concat(given, F.lit(" "), family)).otherwise(F.concat(family, more)))
     made = {"email": email, "ip": ip, "iban": code, "phone": phone, "ssn": digits, "card": card, "name": name}
     out = F.lit(None)
