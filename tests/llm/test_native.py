@@ -102,3 +102,51 @@ def test_every_form_can_be_widened(spark):
         late = [r["made"] for r in made if r["kind"] == kind and r["t"] >= surrogates.WIDEN]
         assert len(set(late)) == 8 and value not in late
     assert all(re.fullmatch(r"Dr [а-яА-ЯёЁ]+", r["made"]) for r in made if r["kind"] == "name")
+
+
+def test_one_entity_in_many_spellings(spark):
+    """Case, spacing, title and format of a mention are its own; its entity decides what it is replaced by."""
+    a, b, c, d, e = replaced(spark, [
+        "Mr John Smith met Mr. John Smith and Dr John Smith. Later SMITH, no, Smith and John left; Smithers stayed.",
+        "Ask Bob.Lee@X1.example.com, bob.lee@x1.example.com or BOB.LEE@X1.EXAMPLE.COM.",
+        "4539 1488 0343 6467 is 4539148803436467; DE89 3704 0044 0532 0130 00 is DE89370400440532013000.",
+        "+49 30 1234567, +49301234567 and +49-30-1234567; 555-123-4567 or 555.123.4567; 020 7946 0958, 030/1234567.",
+        "2001:db8:0:0:0:0:0:42 is 2001:0DB8::42, 10:20:30 is a time and a::b a name."])
+    m = re.match(r"Mr (\w+) (\w+) met Mr\. (\w+) (\w+) and Dr (\w+) (\w+)\. Later SMITH, no, (\w+) and (\w+) left; Smithers stayed\.$", a)
+    assert m and m[1] == m[3] == m[5] == m[8] != "John" and m[2] == m[4] == m[6] == m[7] != "Smith"
+    mails = re.match(r"Ask (\S+), (\S+) or (\S+)\.$", b).groups()
+    assert mails[0].lower() == mails[1] == mails[2].lower() and mails[2].isupper() and mails[0][0].isupper() and "bob" not in mails[1]
+    m = re.match(r"(\d{4} \d{4} \d{4} \d{4}) is (\d{16}); (DE.*) is (DE\w{20})\.$", c)
+    assert m and m[1].replace(" ", "") == m[2] != "4539148803436467" and m[3].replace(" ", "") == m[4] and len(m[3]) == 27
+    m = re.match(r"(\+49 \d\d \d{7}), (\+49\d{9}) and (\+49-\d\d-\d{7}); (\d{3}-\d{3}-\d{4}) or (\d{3}\.\d{3}\.\d{4}); (\d{3} \d{4} \d{4}), (\d{3}/\d{7})\.$", d)
+    assert m and len({re.sub(r"\D", "", m[i]) for i in (1, 2, 3)}) == 1 and m[4].replace("-", "") == m[5].replace(".", "")
+    assert not any(x in d for x in ("1234567", "4567", "0958"))
+    m = re.match(r"(\w{4}:\w{1,4}:0:0:0:0:0:\w{4}) is (\w{4}:\w{4}::\w{4}), 10:20:30 is a time and a::b a name\.$", e)
+    assert m and m[1].split(":")[0] == m[2].split(":")[0].lower() and m[1].split(":")[-1] == m[2].split(":")[-1].lower() and "2001" not in e
+
+
+def test_names_without_title_are_replaced_where_introduced(spark):
+    a, b = replaced(spark, ["Anna said that Frau Anna Lang was late. Lang left.", "Anna Lang is not introduced here."])
+    m = re.match(r"(\w+) said that Frau (\w+) (\w+) was late\. (\w+) left\.$", a)
+    assert m and m[1] == m[2] != "Anna" and m[3] == m[4] != "Lang" and b == "Anna Lang is not introduced here."
+
+
+def test_surrogates_against_plain_code(spark):
+    """Over a whole table: texts between mentions stay, and mentions and surrogates are one to one, as plain code finds them."""
+    import regex
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{TINY}/documents.parquet").collect()}
+    made = QUERIES["op7_surrogates"](spark, TINY).collect()
+    assert sorted(r["doc_id"] for r in made) == sorted(texts)
+    pattern, forth, back = regex.compile(surrogates._ANY.replace(r"\z", r"\Z"), regex.V0), {}, {}
+    for row in made:
+        spans = [m.span() for m in pattern.finditer(texts[row["doc_id"]])]
+        titled = any(regex.match(surrogates._TITLED, texts[row["doc_id"]][a:b]) for a, b in spans)
+        if titled:
+            continue
+        assert row["n_entities"] == len(spans) == sum(row[f"n_{k}"] for k in surrogates.KINDS)
+        between = [texts[row["doc_id"]][a:b] for a, b in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), None])]
+        found = regex.fullmatch("(?s)" + "(.+?)".join(map(regex.escape, between)), row["text"])
+        assert found
+        for (s, e), new in zip(spans, found.groups()):
+            old = texts[row["doc_id"]][s:e].lower()
+            assert forth.setdefault(old, new.lower()) == new.lower() and back.setdefault(new.lower(), old) == old and old != new.lower()
