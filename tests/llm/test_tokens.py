@@ -63,6 +63,21 @@ def test_copies_of_a_long_text_are_cut_once(spark):
     assert "".join(part for k, _, part in made if k == "key 1") == text
 
 
+def test_long_runs_without_white_space(spark, library, monkeypatch):
+    """Long words are cut anywhere and joined in a tree of more than one round; other words, special tokens and copies among them."""
+    monkeypatch.setattr(bpe, "FAN", 3)
+    r = random.Random(3)
+    word = "".join(r.choice(["th", "in", "e", "ing", "s", "ti", "on", "aa", "é"]) for _ in range(20_000))
+    rows = [(1, word), (2, f"some words, {word.upper()}<|endoftext|>42!{word[:9000]}\u00a0and more {'!' * 5000}x {'a' * 3333}"), (3, word),
+            (4, "e\u0301" * 4000), (5, "漢字123abc" * 900), (6, "<|startoftext|>" * 300)]
+    made = bpe.encode(spark.createDataFrame(rows, "doc_id long, text string"), TOKENIZER, segment=500).collect()
+    assert sorted(row["doc_id"] for row in made) == [1, 2, 3, 4, 5, 6]
+    for row in made:
+        want = ids(library, dict(rows)[row["doc_id"]])
+        assert row["ids_sha256"] == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest(), row["doc_id"]
+        assert row["decoded_sha256"] == hashlib.sha256(library.decode(want, skip_special_tokens=False).encode()).hexdigest()
+
+
 def test_registered_round_trip(spark, library):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{TINY}/documents.parquet").collect()}
     made = QUERIES["op8_bpe_round_trip"](spark, TINY).collect()

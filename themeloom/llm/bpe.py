@@ -9,13 +9,16 @@ pair is the encoding of that pair's text; the window's inner pairs hold because
 the outer ones because they were there before, so the joined sequence is exact.
 
 Texts longer than ``SEGMENT`` code points are cut at white space, which no word crosses; the
-segments are encoded in parallel tasks and concatenated in order. A run without any white space
-stays in one task, as it came in one row, and goes through the tree there.
+segments are encoded in parallel tasks and concatenated in order. A segment that is still long holds
+a run without white space: it is cut between words, and a word of more than ``SEGMENT`` symbols
+anywhere. Its parts are encoded in parallel tasks, too, and joined by windows in a tree of shuffles,
+``FAN`` neighbours in each task, pair by pair.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import struct
 import unicodedata
@@ -33,6 +36,8 @@ from themeloom.llm.batches import bounded, filled
 LEAF = 256
 #: Code points of a text that one task encodes; longer texts are cut at white space.
 SEGMENT = 32_768
+#: Parts of one word that a task joins before its result meets those of other tasks.
+FAN = 256
 #: Words and runs between white space that a worker remembers before it starts anew.
 WORD_CACHE, RUN_CACHE = 600_000, 200_000
 
@@ -130,21 +135,78 @@ class Bpe:
         half = len(symbols) // 2
         return self.join(self.tree(symbols[:half]), self.tree(symbols[half:]))
 
-    def join(self, left: list[int], right: list[int]) -> list[int]:
-        """Encoding of the text of both, by windows around the join that grow until both sides agree."""
+    def window(self, left, right) -> tuple[int, list[int], int]:
+        """How many tokens at the join are replaced on the left, by what, and how many on the right.
+
+        The window is encoded anew and grown until its outer tokens are those that both sides have.
+        """
         a = b = 4
         while True:
             a, b = min(a, len(left)), min(b, len(right))
-            window = self.merge(self.spread(left[-a:] + right[:b]))
+            window = self.merge(self.spread([*map(int, left[-a:]), *map(int, right[:b])]))
             before = a == len(left) or window[0] == left[-a]
             after = b == len(right) or window[-1] == right[b - 1]
             if before and after and (len(window) > 1 or (a == len(left) and b == len(right))):
-                return left[:-a] + window + right[b:]
+                return a, window, b
             if not before or len(window) < 2:
                 a *= 2
             if not after or len(window) < 2:
                 b *= 2
 
+    def join(self, left: list[int], right: list[int]) -> list[int]:
+        """Encoding of the text of both."""
+        a, window, b = self.window(left, right)
+        return left[:-a] + window + right[b:]
+
+    def joined(self, parts: list[np.ndarray]) -> np.ndarray:
+        """Encoding of the text of neighbouring parts, joined pair by pair."""
+        while len(parts) > 1:
+            pairs = []
+            for left, right in zip(parts[::2], parts[1::2], strict=False):
+                a, window, b = self.window(left, right)
+                pairs.append(np.concatenate([left[:-a], np.array(window, "<u4"), right[b:]]))
+            parts = pairs + parts[len(pairs) * 2:]
+        return parts[0]
+
+    def pieces(self, text: str, size: int) -> Iterator[tuple[str, int, bytes]]:
+        """``(kind, word, content)`` of a text's pieces, each of at most about ``size`` symbols, in order.
+
+        Kind ``words`` holds whole words, kind ``ids`` what is a token already, and kind ``part`` symbols
+        of a long word, whose parts all state the number of its first piece as ``word``.
+        """
+        words, held, at = [], 0, 0
+        inner = np.array(self.inner, "<u4")
+        for chunk in _GAPS.split(text) if _ODD.search(text) else text.split():
+            for bit in self.specials.split(chunk) if self.specials else [chunk]:
+                found = [] if bit in self.special else self.words.findall(self._normal(bit))
+                for word in [None] if bit in self.special else found:
+                    raw = b"" if word is None else word.encode("utf-8", "surrogatepass")
+                    whole = word is not None and len(raw) <= size
+                    if words and (not whole or held + len(raw) > size):
+                        yield "words", at, " ".join(words).encode("utf-8", "surrogatepass")
+                        words, held, at = [], 0, at + 1
+                    if whole:
+                        words.append(word)
+                        held += len(raw)
+                    elif word is None:
+                        yield "ids", at, struct.pack("<I", self.special[bit])
+                        at += 1
+                    else:
+                        symbols = inner[np.frombuffer(raw, "u1")]
+                        symbols[-1] = self.final[int(symbols[-1])]
+                        first = at
+                        for start in range(0, len(symbols), size):
+                            yield "part", first, symbols[start:start + size].tobytes()
+                            at += 1
+        if words:
+            yield "words", at, " ".join(words).encode("utf-8", "surrogatepass")
+
+    def encode_piece(self, kind: str, content: bytes) -> bytes:
+        """Ids of a piece."""
+        if kind == "words":
+            return b"".join(map(self.word_ids.__getitem__, content.decode("utf-8", "surrogatepass").split(" ")))
+        return content if kind == "ids" else np.array(self.tree(np.frombuffer(content, "<u4").tolist()), "<u4").tobytes()
+
     def _word(self, word: str) -> bytes:
         inner = self.inner
         symbols = [inner[b] for b in word.encode("utf-8", "surrogatepass")]
@@ -152,10 +214,13 @@ class Bpe:
         ids = self.merge(symbols) if len(symbols) <= self.leaf else self.tree(symbols)
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _plain(self, text: str) -> bytes:
+    def _normal(self, text: str) -> str:
         if not text.isascii() and not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
-        text = text.replace("Σ", "σ").lower()
+        return text.replace("Σ", "σ").lower()
+
+    def _plain(self, text: str) -> bytes:
+        text = self._normal(text)
         if text.isalpha():
             return self.word_ids[text]
         if text[:-1].isalpha() and not text[-1].isalpha():
@@ -201,6 +266,41 @@ def cut(keyed: DataFrame, size: int = SEGMENT) -> DataFrame:
     return parts.groupBy("_key", "_at").agg(F.first("_part").alias("_part"))
 
 
+def long_runs(parts: DataFrame, path: str, size: int = SEGMENT) -> DataFrame:
+    """``_ids`` of the pieces of segments ``_part``, numbered by ``_sub``: words of many parts in one piece.
+
+    Pieces are encoded wherever their number sends them. Parts of a word are joined ``FAN`` at a time, and
+    what that makes is joined again: a task of the second round holds ids of one word, as its row will.
+    """
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        coder = loaded(path)
+        for batch in batches:
+            for key, at, part in zip(batch["_key"], batch["_at"], batch["_part"], strict=True):
+                made = ((key, at, sub, *piece) for sub, piece in enumerate(coder.pieces(part, size)))
+                while some := list(itertools.islice(made, 64)):
+                    yield pd.DataFrame(some, columns=["_key", "_at", "_sub", "_kind", "_word", "_content"])
+
+    @F.pandas_udf("binary")
+    def ids(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        coder = loaded(path)
+        for kinds, contents in batches:
+            yield pd.Series([coder.encode_piece(k, c) for k, c in zip(kinds, contents, strict=True)], dtype=object)
+
+    def joined(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("_sub")
+        first = group.iloc[[0]].copy()
+        first["_ids"] = [loaded(path).joined([np.frombuffer(x, "<u4") for x in group["_ids"]]).tobytes()]
+        return first
+
+    columns = "_key string, _at int, _sub int, _word int, _kind string, _ids binary"
+    made = (parts.select("_key", "_at", "_part").mapInPandas(pieces, "_key string, _at int, _sub int, _kind string, _word int, _content binary")
+            .repartition("_key", "_at", "_sub").select("_key", "_at", "_sub", "_word", "_kind", ids("_kind", "_content").alias("_ids")))
+    near = F.floor((F.col("_sub") - F.col("_word")) / FAN)
+    words = (made.filter("_kind = 'part'").groupBy("_key", "_at", "_word", near).applyInPandas(joined, columns)
+             .groupBy("_key", "_at", "_word").applyInPandas(joined, columns))
+    return made.filter("_kind <> 'part'").unionByName(words).select("_key", "_at", "_sub", "_ids")
+
+
 def encode(df: DataFrame, path: str, text: str = "text", segment: int = SEGMENT) -> DataFrame:
     """Add ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of each whole text to the other columns.
 
@@ -234,13 +334,16 @@ def encode(df: DataFrame, path: str, text: str = "text", segment: int = SEGMENT)
             yield pd.Series([coder.encode(t) for t in batch], dtype=object)
 
     def concatenated(group: pd.DataFrame) -> pd.DataFrame:
-        ids = b"".join(group.sort_values("_at")["_ids"])
+        ids = b"".join(group.sort_values(["_at", "_sub"])["_ids"])
         return pd.DataFrame([(group["_key"].iloc[0], *digests(ids, loaded(path).decode(ids)))],
                             columns=["_key", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     short = rows.filter(~is_long).select("_row", whole("_text").alias("_made"))
     keyed = rows.filter(is_long).withColumn("_key", F.sha2("_text", 256))
-    long = (cut(keyed, segment).select("_key", "_at", part("_part").alias("_ids"))
+    parts = cut(keyed, segment)
+    is_run = F.length("_part") > 2 * segment
+    plain = parts.filter(~is_run).select("_key", "_at", F.lit(0).alias("_sub"), part("_part").alias("_ids"))
+    long = (plain.unionByName(long_runs(parts.filter(is_run), path, segment))
             .groupBy("_key").applyInPandas(concatenated, "_key string, " + kind))
     joined = keyed.select("_row", "_key").join(long, "_key").select(
         "_row", F.struct("n_tokens", "ids_sha256", "decoded_sha256").alias("_made"))
