@@ -276,7 +276,6 @@ def replace(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """
     counts = ["n_entities", *(f"n_{k}" for k in KINDS)]
     kept = [c for c in df.columns if c != text and c not in counts]
-    none = F.array().cast("array<string>")
     titled = F.filter("_first", lambda v: v.rlike(_TITLED))
     words = F.transform(titled, lambda v: F.split(F.regexp_replace(v, _TITLED, ""), " "))
 
@@ -287,16 +286,18 @@ def replace(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     # A text's pattern: what all texts are searched for, and the names that it introduces with a title.
     own = F.concat(F.lit(rf"{_ANY}|(?<![\p{{L}}\p{{N}}])(?:"), F.array_join(F.array_sort(F.concat("_given", "_family"), lambda a, b: F.length(b) - F.length(a)), "|"),
                    F.lit(r")(?![\p{L}\p{N}])"))
-    rows = (df.select(F.struct(*[F.col(c) for c in kept]).alias("_row") if kept else F.lit(None).alias("_row"), filled(text).alias("_text"))
-            .withColumn("_first", F.when(F.col("_text").rlike(_HINT), F.regexp_extract_all("_text", F.lit(_ANY), 0)).otherwise(none))
+    every = df.select(F.struct(*[F.col(c) for c in kept]).alias("_row") if kept else F.lit(None).alias("_row"), filled(text).alias("_text"))
+    # Told by the first mention, and by the text alone: a filter on what is found would be pushed down as many searches.
+    some = F.col("_text").rlike(_HINT) & F.col("_text").rlike(_ANY)
+    rows = (every.filter(some)
+            .withColumn("_first", F.regexp_extract_all("_text", F.lit(_ANY), 0))
             .withColumns({"_given": long_enough(given), "_family": long_enough(F.transform(words, lambda w: F.element_at(w, -1)))})
             .withColumn("_pattern", F.when(F.size("_given") + F.size("_family") > 0, own).otherwise(F.lit(_ANY)))
             .withColumn("_values", F.when(F.size("_given") + F.size("_family") > 0, F.regexp_extract_all("_text", F.col("_pattern"), 0)).otherwise(F.col("_first")))
             .select("_row", "_text", "_pattern", F.transform("_values", lambda v: F.struct(
                 F.when(F.array_contains("_given", v) & ~F.array_contains("_family", v), "given").otherwise(kind_of(v)).alias("kind"),
                 v.alias("value"))).alias("_found")))
-    some = F.size("_found") > 0
-    lists = settle(rows.select("_found").filter(some).distinct().withColumn("_list", F.sha2(F.to_json("_found"), 256)), "entity-lists")
+    lists = settle(rows.select("_found").distinct().withColumn("_list", F.sha2(F.to_json("_found"), 256)), "entity-lists")
     each = lists.select("_list", F.posexplode("_found").alias("at", "e")).select("_list", "at", "e.kind", "e.value")
     mentions = settle(each.select("kind", "value").distinct().select("kind", "value", F.explode(_entities(F.col("kind"), F.col("value"))).alias("of"))
                       .select("kind", "value", F.col("of.kind").alias("_kind"), F.col("of.value").alias("_value"), "of.gender"), "mentions")
@@ -315,8 +316,9 @@ def replace(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     parts = F.split("_text", F.col("_pattern"), -1)
     # Texts between entities, each but the last followed by a surrogate.
     whole = F.array_join(F.zip_with(parts, "_new", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    changed = rows.filter(some).withColumn("_list", F.sha2(F.to_json("_found"), 256)).join(made, "_list").withColumn("_text", whole)
-    both = rows.filter(~some).select("_row", "_text", "_found").unionByName(changed.select("_row", "_text", "_found"))
+    changed = rows.withColumn("_list", F.sha2(F.to_json("_found"), 256)).join(made, "_list").withColumn("_text", whole)
+    nothing = F.array().cast("array<struct<kind:string,value:string>>").alias("_found")
+    both = every.filter(~some).select("_row", "_text", nothing).unionByName(changed.select("_row", "_text", "_found"))
     number = [F.size("_found").cast("long").alias("n_entities")]
     kinds = F.col("_found.kind")
     kinds = F.transform(kinds, lambda k: F.when(k == "given", "name").otherwise(k))
