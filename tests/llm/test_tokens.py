@@ -4,8 +4,10 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -133,3 +135,12 @@ def test_registered_packing(spark, library):
             assert (row["start"], row["length"], row["ids_crc32"]) == (start, len(cut), zlib.crc32(cut.tobytes()))
     assert len(parts) == len(texts)
     assert len(placed) <= -(-total // packing.CAPACITY) + 1
+
+
+def test_packing_forgets_its_words(spark):
+    df = SimpleNamespace(sparkSession=spark, select=lambda *a: SimpleNamespace(mapInPandas=lambda cut, schema: cut))
+    texts = [f"qzxjvw unheardof{i} qzxjvw." for i in range(40)]
+    made = list(packing.pieces(df, TOKENIZER)(iter([pd.DataFrame({"doc_id": range(40), "text": texts})])))
+    assert len(made[0]) == 40
+    coder = packing.loaded(TOKENIZER)
+    assert not any("qzxjvw" in c for c in (coder.word_ids, coder.chunk_ids, getattr(coder, "_known", ())))

@@ -9,6 +9,7 @@ that are done leave the matrix. The ids are those of ``Bpe``, hence of the token
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from itertools import chain
 from operator import add
 
@@ -130,6 +131,10 @@ class BatchBpe(Bpe):
             out[i] = ids
         return out
 
+    def forget(self) -> None:
+        """Give the memory of remembered words back."""
+        self._known = {}
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
         if len(self._known) > REMEMBERED:
@@ -150,6 +155,19 @@ class BatchBpe(Bpe):
         return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
 
 
+def runs(texts: list[str], together: int) -> Iterator[list[str]]:
+    """``texts`` in runs of ``together`` code points at most, or of one text."""
+    run, size = [], 0
+    for text in texts:
+        if run and size + len(text) > together:
+            yield run
+            run, size = [], 0
+        run.append(text)
+        size += len(text)
+    if run:
+        yield run
+
+
 _loaded: dict[str, BatchBpe] = {}
 
 

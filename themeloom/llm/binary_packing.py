@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from themeloom.llm.batch_bpe import loaded
+from themeloom.llm.batch_bpe import loaded, runs
 from themeloom.llm.batches import bounded, filled
 from themeloom.storage import settle
 
@@ -41,19 +41,6 @@ def lengths(total: int, capacity: int = CAPACITY) -> list[int]:
     return [capacity] * whole + [1 << bit for bit in range(rest.bit_length() - 1, -1, -1) if rest >> bit & 1]
 
 
-def _runs(texts: list[str]) -> Iterator[list[str]]:
-    """``texts`` in runs of ``TOGETHER`` code points at most, or of one text."""
-    run, size = [], 0
-    for text in texts:
-        if run and size + len(text) > TOGETHER:
-            yield run
-            run, size = [], 0
-        run.append(text)
-        size += len(text)
-    if run:
-        yield run
-
-
 def pieces(df: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
     """Pieces of each document, with the task that cut them and their rank among its pieces of equal length."""
     bounded(df.sparkSession)
@@ -63,7 +50,7 @@ def pieces(df: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id",
         met: dict[int, int] = {}
         for batch in batches:
             rows, keys = [], iter(batch["doc_id"].astype("Int64").array)
-            for run in _runs(batch["text"].tolist()):
+            for run in runs(batch["text"].tolist(), TOGETHER):
                 for ids, key in zip(coder.encode_all(run), keys, strict=False):  # ids first: a run takes its own keys only
                     ids += end
                     total, start = len(ids) // 4, 0

@@ -23,11 +23,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from themeloom.llm.batch_bpe import loaded, runs
 from themeloom.llm.batches import bounded, filled
-from themeloom.llm.bpe import loaded
 from themeloom.storage import settle
 
 CAPACITY, END_OF_TEXT = 4096, 1
+#: Code points of the texts that are encoded at once.
+TOGETHER = 1 << 20
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _RANK_BITS = 44
 
@@ -163,14 +165,18 @@ def pieces(df: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id",
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder, end, size = loaded(path), struct.pack("<I", END_OF_TEXT), 4 * capacity
-        for batch in batches:
-            rows = []
-            for key, whole in zip(batch["doc_id"].array, batch["text"], strict=True):
-                ids = coder.encode(whole) + end
-                rows += [(key, at // size, at // 4, len(part := ids[at:at + size]) // 4, zlib.crc32(part))
-                         for at in range(0, len(ids), size)]
-            made = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield made.astype({"doc_id": "Int64"})
+        try:
+            for batch in batches:
+                rows, keys = [], iter(batch["doc_id"].astype("Int64").array)
+                for run in runs(batch["text"].tolist(), TOGETHER):
+                    for ids, key in zip(coder.encode_all(run), keys, strict=False):  # ids first: a run takes its own keys only
+                        ids += end
+                        rows += [(key, at // size, at // 4, len(part := ids[at:at + size]) // 4, zlib.crc32(part))
+                                 for at in range(0, len(ids), size)]
+                made = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                yield made.astype({"doc_id": "Int64"})
+        finally:
+            coder.forget()  # Spark keeps the worker for what comes next, which has its own memory
 
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), filled(text).alias("text")).mapInPandas(cut, PIECE)
 
