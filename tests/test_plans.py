@@ -13,7 +13,7 @@ from themeloom.model import DateWindow, REVIEW
 from themeloom.operators import ingest, scopes, tags, themes
 from themeloom.sources import files
 from themeloom.storage import settle, with_position
-from verification import inputs
+from verification import inputs, queries
 from verification.queries import QUERIES, WINDOW
 
 
@@ -197,3 +197,18 @@ def test_one_hot_product(spark):
     own = {(r.theme_key, r.polarity): (r.mentions, r.row_pos) for r in made.filter("scope_kind = 'product'").collect()}
     wide = {(r.theme_key, r.polarity): (r.mentions, r.row_pos) for r in made.filter("scope_kind = 'category'").collect()}
     assert own == wide and own
+
+
+def test_csv_files_of_queries_follow_the_input(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "shared_folder", lambda spark: str(tmp_path))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(before, ("13", "false"), strict=True):
+            spark.conf.set(k, v)
+        rows = queries.sources_csv_rows(spark, TINY).collect()
+        queries.sources_export_files(spark, TINY)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [len(list(d.glob("part-*.csv"))) for d in tmp_path.glob("csv-*")] == [13, 13]
+    assert sorted(r["row_pos"] for r in rows) == sorted(r["doc_id"] for r in spark.read.parquet(f"{TINY}/documents.parquet").collect())

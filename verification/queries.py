@@ -50,7 +50,7 @@ def sources_csv_rows(spark: SparkSession, sf: str) -> DataFrame:
         "row_pos", "review_id", "product_id", "product_name", "category", F.col("stars_value").alias("rating"),
         "review_text", "review_date", "review_title", "verified_purchase", "country", "promotion", "discount_percent")
     path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
-    raw.repartitionByRange(4, "row_pos").sortWithinPartitions("row_pos").drop("row_pos").write.options(
+    raw.repartitionByRange("row_pos").sortWithinPartitions("row_pos").drop("row_pos").write.options(
         header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     return ingest.classify(files.read_feedback(spark, path)).select(
         (F.col("row_pos") - 1).alias("row_pos"), "review_id", "product_id", "rating", "review_date", "reject_reason",
@@ -153,7 +153,7 @@ def _written(df: DataFrame, form: str, **options: object) -> str:
 @query
 def sources_export_files(spark: SparkSession, sf: str) -> DataFrame:
     """A product export as CSV files in order, read back by header; listings count from 1."""
-    raw = inputs.raw_export(spark, sf).repartitionByRange(3, "row_pos").sortWithinPartitions("row_pos").drop("row_pos")
+    raw = inputs.raw_export(spark, sf).repartitionByRange("row_pos").sortWithinPartitions("row_pos").drop("row_pos")
     path = _written(raw, "csv", header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     rows = ingest.classify(files.read_product_export(spark, path))
     return rows.select("row_pos", "review_id", "product_id", "category", "rating", "source_rating",
