@@ -8,6 +8,7 @@ import pytest
 
 from themeloom.llm import html_text, language, secrets
 from themeloom.llm.queries import QUERIES
+from themeloom.storage import settle
 
 SMALL, TINY = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
 
@@ -254,3 +255,17 @@ def test_gradients_are_right():
 def test_values_are_taken_out():
     text = "x token = \"0123456789abcdef01234567\" y"
     assert secrets.without(text, secrets.base_spans(text)) == "x token = \"[SECRET]\" y"
+
+
+def test_secrets_are_learned_from_all_texts(spark, monkeypatch):
+    texts = [f"some words of prose {i}, token = \"k{i * 7919:07d}Zq\" and more of it, item{i}x" for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    made = {}
+    monkeypatch.setattr(secrets, "settle", lambda df, name: made.setdefault(name, settle(df, name)))
+    scanner = secrets.train(docs, documents=20, plant=40)
+    want = {t[slice(*at)] for t in texts for at in secrets.candidates(t) if secrets.overlaps(at, secrets.base_spans(t))}
+    rows = made["secret-examples"].filter("label = 1").select("inside").collect()
+    assert len(want) == len(rows) == 120 and {r["inside"] for r in rows} == want
+    assert scanner.recall >= secrets.RECALL - 1e-9
+    every = {t[slice(*at)] for t in texts for at in secrets.candidates(t)}
+    assert made["secret-candidates"].select("order").distinct().count() == len(every)
