@@ -43,6 +43,18 @@ def test_batches_of_words_are_merged_as_the_library_does(library):
     assert coder.encode_all(texts) == [plain.encode(t) for t in texts]
 
 
+def test_spellings_of_a_word_are_merged_once(library):
+    coder, merged = batch_bpe.BatchBpe(TOKENIZER), []
+    several = coder._several
+    coder._several = lambda words: (merged.extend(words), several(words))[1]
+    texts = ["Qzxjvw, qzxjvw", "QZXJVW. qzxjvw", "(qzxjvw) qzxjvw's", "<|endoftext|>Qzxjvw <|ENDOFTEXT|>", "<|endoftext|>"]
+    for text in texts:
+        assert np.frombuffer(coder.encode_all([text])[0], "<u4").tolist() == ids(library, text), text
+    assert merged.count(b"qzxjvw") == 1
+    coder.forget()
+    assert [np.frombuffer(i, "<u4").tolist() for i in coder.encode_all(texts)] == [ids(library, t) for t in texts]
+
+
 def test_binary_lengths():
     for total in range(1, 300):
         made = binary_packing.lengths(total, 16)

@@ -8,9 +8,9 @@ that are done leave the matrix. The ids are those of ``Bpe``, hence of the token
 
 from __future__ import annotations
 
-import unicodedata
+import struct
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 from operator import add
 
 import numpy as np
@@ -23,7 +23,8 @@ REMEMBERED = 700_000
 #: Words that are merged at once, and the longest of them in bytes; longer ones go through the tree.
 TOGETHER, LONGEST = 16_384, 48
 
-_ODD = regex.compile("[\x1c-\x1f]")
+#: Characters that Python's split() takes for white space and Unicode does not.
+_ODD = "\x1c\x1d\x1e\x1f"
 _GAPS = regex.compile(f"[{WHITE}]+")
 _NEVER = np.int32(1 << 30)
 
@@ -40,7 +41,10 @@ class BatchBpe(Bpe):
         self._made = np.array(self.merged, np.int32)
         self._inner = np.array(self.inner, np.int32)
         self._final = np.array([self.final[i] for i in self.inner], np.int32)
-        self._known: dict[str, bytes] = {}
+        # Ranks of the merges of two bytes, within a word and at its end: left byte * 256 + right byte.
+        self._pairs = self._rank(self._inner[:, None], self._inner).ravel()
+        self._last_pairs = self._rank(self._inner[:, None], self._final).ravel()
+        self.forget()
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the merge of each pair of symbols; symbols under zero merge with nothing."""
@@ -61,12 +65,19 @@ class BatchBpe(Bpe):
 
     def _matrix(self, words: list[bytes], sizes: np.ndarray) -> list[bytes]:
         n, width = len(words), int(sizes.max())
+        inside, ends = np.arange(width + 1) < sizes[:, None], np.cumsum(sizes) - 1
+        joined = np.frombuffer(b"".join(words), np.uint8)
         symbols = np.full((n, width + 1), -1, np.int32)
-        inside = np.arange(width + 1) < sizes[:, None]
-        raw = np.frombuffer(b"".join(words), np.uint8)
-        symbols[inside] = self._inner[raw]
-        symbols[np.arange(n), sizes - 1] = self._final[raw[np.cumsum(sizes) - 1]]
-        ranks = self._rank(symbols[:, :-1], symbols[:, 1:])
+        symbols[inside] = self._inner[joined]
+        symbols[np.arange(n), sizes - 1] = self._final[joined[ends]]
+        # The pair at a word's last byte crosses to the next word, and merges with nothing.
+        pairs = joined[:-1].astype(np.int32) << 8 | joined[1:]
+        flat = np.append(self._pairs[pairs], _NEVER)
+        flat[ends] = _NEVER
+        last = ends[sizes > 1] - 1
+        flat[last] = self._last_pairs[pairs[last]]
+        ranks = np.full((n, width), _NEVER, np.int32)
+        ranks[inside[:, :width]] = flat
         done = np.empty((n, width + 1), np.int32)
         left, own = sizes.copy(), np.arange(n)
         while True:
@@ -84,11 +95,12 @@ class BatchBpe(Bpe):
             left[own] -= 1
             symbols[rows, best] = self._made[rank]
             # What stands right of the merged pair moves one place to the left.
-            source = np.arange(symbols.shape[1] - 1)
-            source = source + (source > best[:, None])
-            symbols = np.take_along_axis(symbols, source, 1)
-            source = source[:, :-1] if source.shape[1] > 1 else source[:, :0]
-            ranks = np.take_along_axis(ranks, np.minimum(source, ranks.shape[1] - 1), 1)
+            kept = np.ones(symbols.shape, bool)
+            kept[rows, best + 1] = False
+            symbols = symbols[kept].reshape(len(own), -1)
+            kept = np.ones(ranks.shape, bool)
+            kept[rows, best] = False
+            ranks = ranks[kept].reshape(len(own), -1)
             if ranks.shape[1]:
                 at = np.minimum(best, ranks.shape[1] - 1)
                 ranks[rows, at] = self._rank(symbols[rows, at], symbols[rows, at + 1])
@@ -99,30 +111,17 @@ class BatchBpe(Bpe):
         return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def _learn(self, chunks: list[str]) -> None:
-        """Remember the ids of runs of text without white space."""
-        stems, tails, odd = [], [], {}
-        for chunk in chunks:
-            if not chunk.isascii() and not unicodedata.is_normalized("NFC", chunk):
-                chunk = unicodedata.normalize("NFC", chunk)
-            low = chunk.replace("Σ", "σ").lower()
-            if low.isalpha():
-                stems.append(low)
-                tails.append("")
-            elif (stem := low[:-1]).isalpha() and not (tail := low[-1]).isalpha():
-                stems.append(stem)
-                tails.append(tail)
-            else:
-                odd[len(stems)] = self.words.findall(low)
-                stems.append("")
-                tails.append("")
-        words = {*stems, *tails, *chain.from_iterable(odd.values())}
-        words.discard("")
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        ids = dict(zip(words, self._several(raw), strict=True))
-        ids[""] = b""
-        self._known.update(zip(chunks, map(add, map(ids.__getitem__, stems), map(ids.__getitem__, tails)), strict=True))
-        for i, found in odd.items():
-            self._known[chunks[i]] = b"".join(map(ids.__getitem__, found))
+        """Remember the ids of normalised runs of text without white space, and of the words in them."""
+        known = self._known
+        plain = {c for c in chunks if c.isalpha()}
+        tailed = [c for c in chunks if c not in plain and c[:-1].isalpha() and not c[-1].isalpha()]
+        odd = list(set(chunks).difference(plain, tailed))
+        found = list(map(self.words.findall, odd))
+        stems, tails = [c[:-1] for c in tailed], [c[-1] for c in tailed]
+        new = list(plain.union(stems, tails, *found).difference(known))
+        known.update(zip(new, self._several([w.encode("utf-8", "surrogatepass") for w in new]), strict=True))
+        known.update(zip(tailed, map(add, map(known.__getitem__, stems), map(known.__getitem__, tails)), strict=True))
+        known.update(zip(odd, (b"".join(map(known.__getitem__, words)) for words in found), strict=True))
 
     def _several(self, words: list[bytes]) -> list[bytes]:
         out = [b"" if len(w) <= LONGEST else self._word(w.decode("utf-8", "surrogatepass")) for w in words]
@@ -133,26 +132,34 @@ class BatchBpe(Bpe):
 
     def forget(self) -> None:
         """Give the memory of remembered words back."""
-        self._known = {}
+        # No run holds white space, so none is taken for a special token, however it is spelled.
+        self._known = {" " + s: struct.pack("<I", i) for s, i in self.special.items()}
+
+    def _split(self, text: str) -> list[str]:
+        """The normalised runs of a text between white space; special tokens are those of ``forget``."""
+        if any(s in text for s in self.special):
+            return list(chain.from_iterable(
+                [" " + bit] if bit in self.special else self._runs(bit) for bit in self.specials.split(text)))
+        return self._runs(text)
+
+    def _runs(self, text: str) -> list[str]:
+        text = self._normal(text)
+        return [c for c in _GAPS.split(text) if c] if any(c in text for c in _ODD) else text.split()
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
         if len(self._known) > REMEMBERED:
-            self._known.clear()
-        known, split = self._known, []
-        new: set[str] = set()
+            self.forget()
+        chunks, ends = [], [0]
         for text in texts:
-            chunks = [c for c in _GAPS.split(text) if c] if _ODD.search(text) else text.split()
-            split.append(chunks)
-            new.update(chunks)
-        new.difference_update(known)
-        special = []
-        if any(s in text for text in texts for s in self.special):
-            special = [c for c in new if any(s in c for s in self.special)]
-            new.difference_update(special)
-        self._learn(list(new))
-        known.update((c, self._chunk(c)) for c in special)
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+            chunks += self._split(text)
+            ends.append(len(chunks))
+        ids = list(map(self._known.get, chunks))
+        missing = [i for i, known in enumerate(ids) if known is None]
+        self._learn(list({chunks[i] for i in missing}))
+        for i in missing:
+            ids[i] = self._known[chunks[i]]
+        return [b"".join(ids[a:b]) for a, b in pairwise(ends)]
 
 
 def runs(texts: list[str], together: int) -> Iterator[list[str]]:
