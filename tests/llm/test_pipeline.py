@@ -112,3 +112,9 @@ def test_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, TINY)
     assert docs.collect() == []
+
+
+def test_language_is_predicted_once(spark):
+    docs = spark.read.parquet(f"{TINY}/documents.parquet")
+    plan = corpus_pipeline.language_id(spark, docs, TINY)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1

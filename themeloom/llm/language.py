@@ -180,6 +180,8 @@ def predict(df: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_
         for batch in batches:
             yield pd.DataFrame([scorer.predict(t) for t in batch], columns=["lang_pred", "score"])
 
-    made = df.withColumn("held_out", held_out(doc_id)).withColumn("_made", scored(filled(text)))
+    # A filter on the result would otherwise be pushed below it, with a second evaluation of every text.
+    once = scored.asNondeterministic()
+    made = df.withColumn("held_out", held_out(doc_id)).withColumn("_made", once(filled(text)))
     rest = [c for c in made.columns if c not in ("lang_pred", "score", "_made")]
     return made.select(*rest, "_made.lang_pred", "_made.score")
