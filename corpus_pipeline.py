@@ -14,6 +14,8 @@ from themeloom.llm.queries import TOKENIZER
 from themeloom.storage import settle
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Runs of text whose ids a worker remembers when it packs. Here its memory comes on top of what earlier stages left in the executor.
+REMEMBERED = 250_000
 #: Texts whose best language has a smaller share than this are rejected.
 LEAST_SCORE = 0.3
 
@@ -59,7 +61,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token pieces of all documents, null texts being empty, and their places in sequences; other columns go."""
-    return packing.pack(docs, TOKENIZER)
+    return packing.pack(docs, TOKENIZER, remembered=REMEMBERED)
 
 
 STAGES = [

@@ -3,10 +3,14 @@
 import random
 import re
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from themeloom.llm import secrets, simhash
+from themeloom.llm import packing, secrets, simhash
+from themeloom.llm.batches import bounded
+from themeloom.llm.queries import TOKENIZER
 
 TINY = "/root/testdata/sf0.001"
 
@@ -118,3 +122,18 @@ def test_language_is_predicted_once(spark):
     docs = spark.read.parquet(f"{TINY}/documents.parquet")
     plan = corpus_pipeline.language_id(spark, docs, TINY)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_workers_get_small_batches(spark):
+    """A batch is in a worker several times, and two workers stand beside an executor's heap."""
+    bounded(spark)
+    texts = spark.range(4_000, numPartitions=1).select(F.repeat(F.lit("word "), 400).alias("text"))
+    sizes = texts.mapInPandas(lambda batches: (pd.DataFrame({"n": [int(b["text"].str.len().sum())]}) for b in batches), "n long").collect()
+    assert sum(r["n"] for r in sizes) == 4_000 * 2_000
+    assert max(r["n"] for r in sizes) <= 2_500_000
+
+
+def test_packing_remembers_few_words(spark):
+    docs = spark.read.parquet(f"{TINY}/documents.parquet").limit(200)
+    few, all_of_them = (sorted(map(tuple, packing.pack(docs, TOKENIZER, remembered=n).collect())) for n in (20, 700_000))
+    assert few == all_of_them

@@ -44,6 +44,7 @@ class BatchBpe(Bpe):
         # Ranks of the merges of two bytes, within a word and at its end: left byte * 256 + right byte.
         self._pairs = self._rank(self._inner[:, None], self._inner).ravel()
         self._last_pairs = self._rank(self._inner[:, None], self._final).ravel()
+        self.remembered = REMEMBERED
         self.forget()
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -148,7 +149,7 @@ class BatchBpe(Bpe):
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
-        if len(self._known) > REMEMBERED:
+        if len(self._known) > self.remembered:
             self.forget()
         chunks, ends = [], [0]
         for text in texts:

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from themeloom.llm.batches import bounded, filled
+from themeloom.llm.batches import bounded, filled, give_back
 
 #: Bounds of what is fitted: labelled rows, and words and n-grams of the model.
 SAMPLE_ROWS, MODEL_WORDS, MODEL_GRAMS = 20_000, 60_000, 60_000
@@ -32,7 +32,7 @@ EVIDENCE = 12
 #: Added to each count; an unseen word or n-gram is as frequent as this.
 SMOOTHING = 0.5
 #: Words that a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 UNKNOWN = "und"
 _WORD = regex.compile(r"\p{L}+")
 
@@ -177,8 +177,11 @@ def predict(df: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_
     @F.pandas_udf("lang_pred string, score double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = _Scorer(spread.value)
-        for batch in batches:
-            yield pd.DataFrame([scorer.predict(t) for t in batch], columns=["lang_pred", "score"])
+        try:
+            for batch in batches:
+                yield pd.DataFrame([scorer.predict(t) for t in batch], columns=["lang_pred", "score"])
+        finally:
+            give_back()
 
     # A filter on the result would otherwise be pushed below it, with a second evaluation of every text.
     once = scored.asNondeterministic()

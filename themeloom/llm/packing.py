@@ -23,8 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from themeloom.llm.batch_bpe import loaded, runs
-from themeloom.llm.batches import bounded, filled
+from themeloom.llm.batch_bpe import REMEMBERED, loaded, runs
+from themeloom.llm.batches import bounded, filled, give_back
 from themeloom.storage import settle
 
 CAPACITY, END_OF_TEXT = 4096, 1
@@ -159,12 +159,17 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray,
     return np.array(sorted(runs), dtype=np.int64).reshape(-1, 5), used
 
 
-def pieces(df: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
-    """Token pieces of each document: its ids, then the end-of-text id, cut where longer than ``capacity``."""
+def pieces(df: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY,
+           remembered: int = REMEMBERED) -> DataFrame:
+    """Token pieces of each document: its ids, then the end-of-text id, cut where longer than ``capacity``.
+
+    A worker remembers the ids of about ``remembered`` runs of text; fewer take less memory and more time.
+    """
     bounded(df.sparkSession)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder, end, size = loaded(path), struct.pack("<I", END_OF_TEXT), 4 * capacity
+        coder.remembered = remembered
         try:
             for batch in batches:
                 rows, keys = [], iter(batch["doc_id"].astype("Int64").array)
@@ -177,11 +182,13 @@ def pieces(df: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id",
                 yield made.astype({"doc_id": "Int64"})
         finally:
             coder.forget()  # Spark keeps the worker for what comes next, which has its own memory
+            give_back()
 
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), filled(text).alias("text")).mapInPandas(cut, PIECE)
 
 
-def pack(df: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
+def pack(df: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY,
+         remembered: int = REMEMBERED) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null text counts as empty (one end-of-text token); a null or repeated ``doc_id`` is kept, each
@@ -189,7 +196,7 @@ def pack(df: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", c
     Pieces of equal length are dealt in the order of doc_id, piece and content, so the result does
     not depend on partitions. Rows equal in all of these can be exchanged for each other.
     """
-    cut = settle(pieces(df, path, text, doc_id, capacity), "pieces")
+    cut = settle(pieces(df, path, text, doc_id, capacity, remembered), "pieces")
     order = ["length", "doc_id", "piece", "start", "ids_crc32"]
     numbered = settle(
         cut.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()),

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from themeloom.llm.batches import bounded, filled
+from themeloom.llm.batches import bounded, filled, give_back
 from themeloom.storage import settle
 
 # The base patterns and the least length of what they find.
@@ -57,8 +57,10 @@ BEFORE, AFTER = 24, 8
 WIDTH, EMBEDDED, FILTERS, FILTERS_AROUND, EPOCHS, BATCH = 5, 8, 24, 12, 5, 64
 #: The most that what stands around a candidate adds to its score or takes away.
 REACH = 3.0
-#: Characters of texts whose candidates are held at once, positions that are looked at together, and runs that a worker remembers.
-TOGETHER, SLICE, REMEMBERED = 1 << 19, 1 << 14, 300_000
+#: Characters of texts whose candidates are held at once, and positions that are looked at together.
+TOGETHER, SLICE = 1 << 19, 1 << 14
+#: Runs that a worker remembers when it scans, and when it states candidates.
+REMEMBERED, STATED = 150_000, 300_000
 _ALPHABET = 98  # padding, printable ASCII, white space, any other
 
 
@@ -311,9 +313,6 @@ class Scanner:
 
     def _weigh(self, runs: set[str]) -> None:
         """Remember which runs could be findings; those that could not whatever is around them are cold."""
-        if len(self._cold) + len(self._warm) > REMEMBERED:
-            self._cold.clear()
-            self._warm.clear()
         words, least = list(runs), self.least_logit() - REACH
         size = 0
         part: list[str] = []
@@ -334,6 +333,9 @@ class Scanner:
         spans = [base_spans(t, max(map(len, r), default=0)) for t, r in zip(texts, runs, strict=True)]
         if self.net is None:
             return spans
+        if len(self._cold) + len(self._warm) > REMEMBERED:  # before what these texts need of it is looked up
+            self._cold.clear()
+            self._warm.clear()
         new = set().union(*runs).difference(self._cold)
         self._weigh(new.difference(self._warm))
         where = [(i, m.span()) for i, t in enumerate(texts) if not self._warm.keys().isdisjoint(runs[i])
@@ -462,8 +464,9 @@ def examples(df: DataFrame, net: CharNet, text: str = "text") -> DataFrame:
                     yield pd.DataFrame(rows, columns=["inside", "before", "after", "label", "far"])
                     made, size = [{}, {}], 0
                     for s in seen:
-                        if len(s) > REMEMBERED:
+                        if len(s) > STATED:
                             s.clear()
+        give_back()
 
     kind = "inside string, before string, after string, label int, far boolean"
     near = [F.when(~F.col("far"), F.col(c)).alias(c) for c in ("before", "inside", "after")]
@@ -612,6 +615,7 @@ def scan(df: DataFrame, scanner: Scanner, text: str = "text") -> DataFrame:
                 n = [sum(s.kind == k for s in base) for k in KINDS[:3]]
                 rows.append((*n, hashlib.sha256(written(base).encode()).hexdigest(), written(spans), without(t, spans)))
             yield pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans", "clean_text"])
+        give_back()
 
     names = {"n_assign", "n_access", "n_hex", "base_sha256", "spans", "clean_text"}
     return df.withColumn("_made", scanned(filled(text))).select(*[c for c in df.columns if c not in names], "_made.*")

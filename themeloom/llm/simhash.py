@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from themeloom.llm.batches import bounded, filled
+from themeloom.llm.batches import bounded, filled, give_back
 from themeloom.llm.components import components
 from themeloom.storage import settle
 
@@ -389,6 +389,7 @@ def similar_texts(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shi
             sets = [shingle_set(t, shingle) for t in batch]
             yield pd.DataFrame({"code": np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64),
                                 "print": np.array([fingerprint_of_set(s) for s in sets], np.int64), "bands": list(map(bands_of, sets))})
+        give_back()
 
     whole = df.select(F.col(doc_id).alias("doc_id"), filled(text).alias("text"))
     rows = settle(whole.select("doc_id", F.xxhash64("text").alias("key"), printed("text").alias("made")).select("doc_id", "key", "made.*"), "shingle-sets")
